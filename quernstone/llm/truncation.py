@@ -12,6 +12,11 @@ of them is; empty tables give empty results; texts may be of any length.
 """
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,17 +42,56 @@ TAILS = (
 )
 
 
-def units(text: Column) -> Column:
+UPPER = "".join(c for c in map(chr, range(0x530)) if c.isupper())
+LOWER = "".join(c for c in map(chr, range(0x530)) if c.islower())
+_WRAP = re.compile(rf"[ \t]*\n(?:> ?)?(?=[{LOWER}£€$\d])(?!\d{{1,2}} [{UPPER}]\w+ \d+(?:\n|$))")
+_STOP = re.compile(rf"[.!?][\"”’)]*\s+(?=[{UPPER}“\"(])")
+_FIGURE = re.compile(r"\d[\d,.]*\d|\d")
+_NAME = re.compile(rf"[{UPPER}][\w'’-]*")
+_WORD = re.compile(r"(?<!\w)[^\W\d_]+(?:['’-][^\W\d_]+)*(?!\w)")
+_LAST_WORD = re.compile(r"(?<!\w)[^\W\d_]+(?:['’-][^\W\d_]+)*$")
+_OMISSION, _CLOSED = re.compile(OMISSION, re.I), re.compile(CLOSED)
+
+
+def units(text: str) -> list[str]:
     """The units of a text, in order: lines, and the sentences of paragraphs."""
-    joined = F.regexp_replace(F.trim(text), r"[ \t]*\n(> ?)?(?=[\p{Ll}£€$\p{N}])(?!\d{1,2} \p{Lu}\p{L}+ \d+$)", " ")
-    parts = F.split(joined, r"\s*\n\s*|(?<=[.!?]|[.!?][\"”’)])\s+(?=[\p{Lu}“\"(])")
-    return F.filter(parts, lambda u: F.trim(u) != "")
+    out = []
+    for line in _WRAP.sub(" ", text.strip()).split("\n"):
+        at = 0
+        for m in _STOP.finditer(line):
+            out.append(line[at : m.end()].strip())
+            at = m.end()
+        out.append(line[at:].strip())
+    return [u for u in out if u]
 
 
-def masked(unit: Column) -> Column:
+def masked(text: str) -> str:
     """Names as X, numbers as 9. The stop stays: a sentence without it begins the same sentence with it."""
-    m = F.regexp_replace(unit, r"\d[\d,.]*\d|\d", "9")
-    return F.trim(F.regexp_replace(m, r"\p{Lu}[\p{L}\p{N}'’-]*", "X"))
+    return _NAME.sub("X", _FIGURE.sub("9", text))
+
+
+EXTRACT = "kind string, doc_id {}, source string, omitted boolean, closed boolean, v string, word string, tail string, line string, n bigint"
+
+
+def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each batch: the last units (L), how often each masked unit stands before others (V), and each word (W)."""
+    names = ["kind", "doc_id", "source", "omitted", "closed", "v", "word", "tail", "line", "n"]
+    for b in batches:
+        last, values, words = [], Counter(), Counter()
+        for doc_id, source, text in zip(b["doc_id"], b["source"], b["text"]):
+            own = units(text) if text else []
+            if not own:
+                continue
+            omitted = bool(_OMISSION.search(text))
+            tail = _OMISSION.sub("", own[-1]).strip()
+            word = _LAST_WORD.search(tail)
+            last.append(("L", doc_id, source, omitted, bool(_CLOSED.search(own[-1])), masked(tail), word[0] if word else "", tail, text.rstrip().rpartition("\n")[2], 1))
+            body = "\x00".join(own[:-1])
+            values.update(v for v in masked(body).split("\x00") if v)
+            words.update(set(_WORD.findall(body)))
+        last += [("V", None, None, None, None, v, None, None, None, n) for v, n in values.items()]
+        last += [("W", None, None, None, None, None, w, None, None, n) for w, n in words.items()]
+        yield pd.DataFrame(last, columns=names)
 
 
 def _next_longer(values: DataFrame, key: Column, value: str, count: str) -> DataFrame:
@@ -60,18 +104,12 @@ def _next_longer(values: DataFrame, key: Column, value: str, count: str) -> Data
 
 def cut_texts(documents: DataFrame) -> DataFrame:
     """``documents`` (doc_id, source, text) to (doc_id, source, cut, reason)."""
-    d = documents.select("doc_id", "source", "text").where("doc_id IS NOT NULL").withColumn("u", units(F.coalesce("text", F.lit(""))))
-    tail = F.element_at("u", -1)
-    bare = F.trim(F.regexp_replace(tail, OMISSION, ""))
-    last = d.where(F.size("u") > 0).select(
-        "doc_id", "source", F.col("text").rlike(OMISSION).alias("omitted"), tail.rlike(CLOSED).alias("closed"), bare.alias("tail"), masked(bare).alias("v"),
-        F.regexp_extract(bare, r"([\p{L}][\p{L}'’-]*)$", 1).alias("word"), (F.size("u") > 1).alias("after"),
-        F.regexp_extract(F.rtrim("text"), r"[^\n]*$", 0).alias("line"),
-    )
-    last = materialize(last, "last-units")
-
-    whole = d.select(F.explode(F.slice("u", 1, F.greatest(F.size("u") - 1, F.lit(0)))).alias("u")).select(masked(F.col("u")).alias("v"), F.lit(1).alias("c"), F.lit(0).alias("f"))
-    ends = last.where("NOT omitted").select("v", F.lit(0).alias("c"), F.lit(1).alias("f"))
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    d = documents.select("doc_id", "source", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    read = materialize(d.mapInPandas(_extract, EXTRACT.format(kind)), "units")
+    last = read.where("kind = 'L'").drop("kind", "n")
+    whole = read.where("kind = 'V'").select("v", F.col("n").alias("c"), F.lit(0).alias("f"))
+    ends = last.where("NOT omitted AND NOT closed").select("v", F.lit(0).alias("c"), F.lit(1).alias("f"))
     values = whole.unionByName(ends).where("v <> ''").groupBy("v").agg(F.sum("c").alias("n_whole"), F.sum("f").alias("n_last"))
     values = materialize(values.withColumn("n", F.col("n_whole") + F.col("n_last")), "values")
     long = _next_longer(values.where(F.length("v") >= PREFIX), F.substring("v", 1, PREFIX), "v", "n")
@@ -79,12 +117,10 @@ def cut_texts(documents: DataFrame) -> DataFrame:
     own = values.where(F.length("v") < PREFIX).select("v", F.col("n_whole").alias("w"), F.col("n_last").alias("l"))
     short = _next_longer(heads, F.substring("v", 1, SHORT), "v", "n").join(own, "v").select("v", F.col("w").alias("n_whole"), F.col("l").alias("n_last"), "n_longer")
     facts = long.select("v", "n_whole", "n_last", "n_longer").unionByName(short)
-    # omitted tails are values too: what they begin is not asked, they are cut anyway
-    tails = last.where("NOT omitted").select("v").distinct()
+    tails = last.where("NOT omitted AND NOT closed").select("v").distinct()
     facts = facts.join(tails, "v")
 
-    words = d.select(F.explode(F.array_distinct(F.regexp_extract_all(F.array_join(F.slice("u", 1, F.greatest(F.size("u") - 1, F.lit(0))), " "), F.lit(r"[\p{L}][\p{L}'’-]*"), F.lit(0)))).alias("w"))
-    spoken = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    spoken = read.where("kind = 'W'").groupBy(F.col("word").alias("w")).agg(F.sum("n").alias("n"))
     asked = last.where("NOT omitted AND NOT closed AND word <> ''").select(F.col("word").alias("w"), F.lit(0).cast("bigint").alias("n")).distinct()
     both = spoken.unionByName(asked).groupBy("w").agg(F.sum("n").alias("n"))
     stub = _next_longer(both, F.substring("w", 1, 2), "w", "n").where("n = 0 AND n_longer > 0").select(F.col("w").alias("word"), F.lit(True).alias("stub"))
