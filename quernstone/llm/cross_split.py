@@ -2,8 +2,8 @@
 
 Records are canonicalised (case folded, everything but letters and digits a space, passages sorted) and hashed; records of
 one hash are one class, and evaluation classes are joined with training classes: the hash itself finds exact copies. Near
-copies are found by the hashes of the five-word shingles of the canonical text. Only shingles that both sides have can link;
-of those a class keeps its rarest, so many that two classes sharing ``SHARED`` of them must meet in one kept shingle (prefix
+copies are found by the hashes of the five-word shingles of the canonical text, winnowed: of every four in a row the least, so
+that eight words in a row in common are a common key. Only keys that both sides have can link; of those a class keeps its rarest, so many that two classes sharing ``SHARED`` of them must meet in one kept key (prefix
 filter, no cap on partners). A bit signature of the query is compared inside that join, before any pair is stored, and what is
 left is verified on the words of both records.
 
@@ -20,10 +20,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernstone.plans.materialize import materialize
-from quernstone.plans.skew import salted_join
+from quernstone.plans.skew import HOT_PARTS, salted_join
 from quernstone.sources.tables import table
 
 SHINGLE = 5
+#: Of each run of so many shingles the least hash is kept, so any eight words in a row that two records share give a common key.
+WINDOW = 4
 #: Two near-same records share at least this part of the shingles by which either could meet the other side.
 SHARED = 0.7
 #: Least part of the words of the longer query, and of the longer set of passages, that the other record has too.
@@ -34,11 +36,17 @@ def canonical(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
 
 
-def shingles(text: Column, n: int = SHINGLE) -> Column:
-    """Hashes of the runs of n words; of a shorter text, one hash of the whole."""
-    words = F.split(text, " ")
+def shingles(words: Column, n: int = SHINGLE) -> Column:
+    """Hashes of the runs of n words; of a shorter text, one hash of the whole. ``words`` is best a column or a lambda's
+    variable: as an expression it would be worked out again for every run."""
     starts = F.sequence(F.lit(1), F.greatest(F.size(words) - F.lit(n - 1), F.lit(1)))
-    return F.when(text != "", F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, n), " ")))).otherwise(F.array().cast("array<bigint>"))
+    return F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, n), " ")))
+
+
+def winnowed(hashes: Column, w: int = WINDOW) -> Column:
+    """The least hash of every w neighbours: texts with w shingles in a row in common have one of these in common."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(hashes) - F.lit(w - 1), F.lit(1)))
+    return F.array_distinct(F.transform(starts, lambda i: F.array_min(F.slice(hashes, i, w))))
 
 
 def _bits(text: Column) -> Column:
@@ -57,7 +65,7 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             (not (q or r) or _overlap(q, r) >= SAME_QUERY) and (not (p or s) or _overlap(p, s) >= SAME_TEXT)
             for q, r, p, s in zip(b["t_query"], b["e_query"], b["t_text"], b["e_text"])
         ]
-        yield b.loc[ok, ["t", "e"]]
+        yield b.loc[ok, ["t_class", "e_class"]].set_axis(["t", "e"], axis=1)
 
 
 def cross_split_pairs(records: DataFrame, train: tuple[str, ...] = ("train",), held_out: tuple[str, ...] = ("dev", "test")) -> DataFrame:
@@ -70,20 +78,26 @@ def cross_split_pairs(records: DataFrame, train: tuple[str, ...] = ("train",), h
     members = materialize(r.select("id", "side", "class").distinct(), "members")
     reps = materialize(r.groupBy("class").agg(F.first("cq").alias("cq"), F.first("cp").alias("cp"), F.max((F.col("side") == "t").cast("int")).alias("nt"), F.max((F.col("side") == "e").cast("int")).alias("ne")), "classes")
 
-    parts = F.array_union(F.array("cq"), F.col("cp"))
-    each = reps.select("class", "nt", "ne", _bits(F.col("cq")).alias("bits"), F.explode(F.array_distinct(F.flatten(F.transform(parts, shingles)))).alias("h"))
-    df = each.groupBy("h").agg(F.sum("nt").alias("in_t"), F.sum("ne").alias("in_e")).where("in_t > 0 AND in_e > 0").select("h", (F.col("in_t") + F.col("in_e")).alias("df"))
-    can = salted_join(each, df, "h")
-    own = Window.partitionBy("class")
+    parts = F.transform(F.filter(F.array_union(F.array("cq"), F.col("cp")), lambda t: t != ""), lambda t: F.split(t, " "))
+    keys = F.transform(F.transform(parts, shingles), winnowed)
+    # the key stages know a class by 64 bits; should two classes share them, both are verified
+    each = reps.select(F.xxhash64("class").alias("k"), (F.col("nt") + 2 * F.col("ne")).cast("byte").alias("sides"), _bits(F.col("cq")).alias("bits"), F.explode(F.array_distinct(F.flatten(keys))).alias("h"))
+    has = lambda side: F.max((F.col("sides").bitwiseAND(side) > 0).cast("byte"))
+    df = each.groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("df"), has(1).alias("in_t"), has(2).alias("in_e")).where("in_t > 0 AND in_e > 0").select("h", "df")
+    df = materialize(df, "document-frequencies")
+    most = df.agg(F.sum("df")).first()[0] or 0
+    hot = [(r["h"],) for r in df.where(F.col("df") > max(most / HOT_PARTS, 1000)).select("h").collect()]  # fewer than HOT_PARTS
+    can = salted_join(each, df, "h", hot=hot)
+    own = Window.partitionBy("k")
     kept = can.withColumn("r", F.row_number().over(own.orderBy("df", "h"))).withColumn("m", F.count(F.lit(1)).over(own))
-    kept = materialize(kept.where(F.col("r") <= F.col("m") - F.ceil(F.col("m") * SHARED) + 1).select("class", "nt", "ne", "bits", "h"), "keys")
-    t = kept.where("nt = 1").select("h", F.col("class").alias("t"), F.col("bits").alias("tb"))
-    e = kept.where("ne = 1").select("h", F.col("class").alias("e"), F.col("bits").alias("eb"))
+    kept = materialize(kept.where(F.col("r") <= F.col("m") - F.ceil(F.col("m") * SHARED) + 1).select("k", "sides", "bits", "h"), "keys")
+    t = kept.where("sides <> 2").select("h", F.col("k").alias("t"), F.col("bits").alias("tb"))
+    e = kept.where("sides <> 1").select("h", F.col("k").alias("e"), F.col("bits").alias("eb"))
     # words in common set bits in common: the bits test passes whatever the exact test on words would pass
     alike = F.bit_count(F.col("tb").bitwiseAND(F.col("eb"))) >= 0.6 * SAME_QUERY * F.greatest(F.bit_count("tb"), F.bit_count("eb"))
     near = materialize(salted_join(t, e, "h").where((F.col("t") != F.col("e")) & alike).select("t", "e").distinct(), "near")
-    text = lambda c: reps.select(F.col("class").alias(c), F.col("cq").alias(f"{c}_query"), F.array_join("cp", " ").alias(f"{c}_text"))
-    checked = near.join(text("t"), "t").join(text("e"), "e").mapInPandas(_verify, "t binary, e binary")
+    text = lambda c: reps.select(F.xxhash64("class").alias(c), F.col("class").alias(f"{c}_class"), F.col("cq").alias(f"{c}_query"), F.array_join("cp", " ").alias(f"{c}_text"))
+    checked = near.join(text("t"), "t").join(text("e"), "e").select("t_class", "t_query", "t_text", "e_class", "e_query", "e_text").mapInPandas(_verify, "t binary, e binary")
     same = reps.where("nt = 1 AND ne = 1").select(F.col("class").alias("t"), F.col("class").alias("e"))
     classes = materialize(checked.unionByName(same), "pairs")
     left = members.where("side = 't'").select(F.col("class").alias("t"), F.col("id").alias("train_id"))
