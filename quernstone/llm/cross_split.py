@@ -79,7 +79,7 @@ def cross_split_pairs(records: DataFrame, train: tuple[str, ...] = ("train",), h
     reps = materialize(r.groupBy("class").agg(F.first("cq").alias("cq"), F.first("cp").alias("cp"), F.max((F.col("side") == "t").cast("int")).alias("nt"), F.max((F.col("side") == "e").cast("int")).alias("ne")), "classes")
 
     parts = F.transform(F.filter(F.array_union(F.array("cq"), F.col("cp")), lambda t: t != ""), lambda t: F.split(t, " "))
-    keys = F.transform(F.transform(parts, shingles), winnowed)
+    keys = F.transform(F.transform(parts, lambda p: shingles(p)), lambda s: winnowed(s))  # a function of two arguments would get the index
     # the key stages know a class by 64 bits; should two classes share them, both are verified
     each = reps.select(F.xxhash64("class").alias("k"), (F.col("nt") + 2 * F.col("ne")).cast("byte").alias("sides"), _bits(F.col("cq")).alias("bits"), F.explode(F.array_distinct(F.flatten(keys))).alias("h"))
     has = lambda side: F.max((F.col("sides").bitwiseAND(side) > 0).cast("byte"))
