@@ -8,7 +8,7 @@ fitted on the passages of about ``fit_documents`` documents chosen by hash, and
 it. A passage's vector is the sum of its words' rows, so projecting costs a row lookup for each word.
 
 All evaluation items, in blocks, are compared with all passages; pairs of a document and an item with a cosine of ``COSINE`` in
-some window are candidates. A candidate must share bigrams with the item, and is then checked by the longest common subsequence
+some window are candidates. A candidate must share three-word runs with the item, and is then checked by the longest common subsequence
 of the stretch it holds: at least half of the item's words, in order and in one stretch.
 
 Defined results: null and empty texts hold nothing and are held nowhere; an item shorter than a window is one window; repeated
@@ -33,9 +33,9 @@ BLOCK = 16
 TERMS = 1 << 14
 RANK = 96
 PASSES = 2
-COSINE = 0.6
-#: Share of an item's bigrams that a document holding half of it shares at least, however many single words are altered.
-BIGRAMS = 0.18
+COSINE = 0.65
+#: Share of an item's three-word runs that a document holding half of it shares at least, with a fifth of the words altered one by one.
+RUNS = 0.2
 #: Least part of the item's words in the stretch, least part of the stretch that is common, most words between matches.
 HELD, COMMON, GAP = 0.49, 0.72, 8
 #: Items compared at once; more are compared in further passes over the documents.
@@ -50,10 +50,18 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def term_ids(own: list[str], known: dict[str, int]) -> np.ndarray:
-    for w in set(own) - known.keys():
-        known[w] = zlib.crc32(w.encode()) % TERMS
-    return np.fromiter(map(known.__getitem__, own), dtype=np.int32, count=len(own))
+class Terms(dict):
+    """Word to term, kept as words come."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 2_000_000:
+            self.clear()
+        term = self[word] = zlib.crc32(word.encode()) % TERMS
+        return term
+
+
+def term_ids(own: list[str], known: Terms) -> np.ndarray:
+    return np.array(list(map(known.__getitem__, own)), dtype=np.int32)
 
 
 def blocks(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,15 +107,15 @@ def inverse_document_frequencies(documents: DataFrame) -> tuple[np.ndarray, int]
     """idf of each term over all documents, and the number of documents."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df, known = np.zeros(TERMS + PARTS, dtype=np.int64), {}
+        df, known = np.zeros(TERMS + PARTS, dtype=np.int64), Terms()
         for b in batches:
-            if len(known) > 2_000_000:
-                known.clear()
+            seen: Counter = Counter()
             for t in b["text"]:
                 own = set(words(t))
-                if own:
-                    df[np.unique(term_ids(list(own), known))] += 1
-                    df[-1] += 1
+                seen.update(own)
+                df[-1] += bool(own)
+            if seen:
+                np.add.at(df, term_ids(list(seen), known), np.fromiter(seen.values(), dtype=np.int64))
         yield _emit(df, int(df[-1]) % 64)
 
     total = _summed(documents.select("text").mapInPandas(run, "part int, salt int, sums binary"), "int64")
@@ -128,7 +136,7 @@ def latent_rows(documents: DataFrame, idf: np.ndarray, n: int, fit_documents: in
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             q, w = shared.value
-            z, known, seen = np.zeros((TERMS, RANK), np.float32), {}, 0
+            z, known, seen = np.zeros((TERMS, RANK), np.float32), Terms(), 0
             for b in batches:
                 docs = [d for d in (term_ids(words(t), known) for t in b["text"]) if len(d)]
                 for i in range(0, len(docs), 256):
@@ -211,16 +219,14 @@ def find_leaks(documents: DataFrame, items: DataFrame, fit_documents: int = 4000
 
 def _search(documents: DataFrame, items: list[tuple], rows: np.ndarray, kinds: tuple[str, str]) -> DataFrame:
     items = [(i, w) for i, w in items if w]
-    vectors, owner = passages([term_ids(w, {}) for _, w in items], rows) if items else (np.zeros((0, RANK), np.float32), np.zeros(0, int))
-    pairs = [frozenset(zip(w, w[1:])) for _, w in items]
+    vectors, owner = passages([term_ids(w, Terms()) for _, w in items], rows) if items else (np.zeros((0, RANK), np.float32), np.zeros(0, int))
+    pairs = [frozenset(zip(w, w[1:], w[2:])) for _, w in items]
     shared = documents.sparkSession.sparkContext.broadcast((rows, vectors.astype(np.float32), owner, items, pairs))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         basis, m, of, its, grams = shared.value
-        known: dict[str, int] = {}
+        known = Terms()
         for b in batches:
-            if len(known) > 2_000_000:
-                known.clear()
             own = [(d, w) for d, w in zip(b["doc_id"], map(words, b["text"])) if w]
             out = []
             for i in range(0, len(own) if its else 0, 128):
@@ -228,15 +234,16 @@ def _search(documents: DataFrame, items: list[tuple], rows: np.ndarray, kinds: t
                 v, doc = passages([term_ids(w, known) for _, w in part], basis)
                 pairs_found = set()
                 for c in range(0, len(m), 4096):
-                    x, y = np.nonzero(v @ m[c : c + 4096].T >= COSINE)
+                    near = v @ m[c : c + 4096].T
+                    x, y = np.divmod(np.flatnonzero(near.ravel() >= COSINE), near.shape[1])
                     pairs_found.update(np.unique(doc[x].astype(np.int64) * len(its) + of[c + y]).tolist())
                 by = defaultdict(list)
                 for p in pairs_found:
                     by[p // len(its)].append(p % len(its))
                 for d, cand in by.items():
                     text = part[d][1]
-                    held = set(zip(text, text[1:]))
-                    cand = [k for k in cand if len(grams[k] & held) >= BIGRAMS * len(grams[k])]
+                    held = set(zip(text, text[1:], text[2:]))
+                    cand = [k for k in cand if len(grams[k] & held) >= RUNS * len(grams[k])]
                     if not cand:
                         continue
                     where = defaultdict(list)
