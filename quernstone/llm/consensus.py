@@ -50,41 +50,61 @@ def ballots(passes: DataFrame) -> DataFrame:
     return p.groupBy("item", "annotator").agg(F.max(F.struct("at", "label"))["label"].alias("label"))
 
 
-def _likelihood(sigma: np.ndarray, tau: np.ndarray | None, who: np.ndarray, item: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log P(label | class) for each ballot and class, and P(every label | class)."""
-    z = sigma[who] if tau is None else sigma[who] + tau[item]
-    z = z - z.max(axis=2, keepdims=True)
-    p = np.exp(z)
-    p /= p.sum(axis=2, keepdims=True)
-    return np.log(p[np.arange(len(who)), :, label] + 1e-300), p
-
-
-def _posterior(log_p: np.ndarray, item: np.ndarray, n: int, prior: np.ndarray) -> np.ndarray:
-    out = np.tile(np.log(prior), (n, 1))
-    np.add.at(out, item, log_p)
-    out -= out.max(axis=1, keepdims=True)
-    np.exp(out, out=out)
-    return out / out.sum(axis=1, keepdims=True)
-
-
-def _item_tilts(sigma: np.ndarray, post: np.ndarray, who: np.ndarray, item: np.ndarray, label: np.ndarray, n: int, weight: float, steps: int) -> np.ndarray:
-    """Dual ascent in the items' tilts, given posteriors and annotators' tilts."""
-    tau = np.zeros((n, sigma.shape[1], sigma.shape[2]))
-    seen = np.zeros_like(tau)
-    np.add.at(seen, (item, slice(None), label), post[item])
-    for _ in range(steps):
-        _, p = _likelihood(sigma, tau, who, item, label)
-        w = post[item][:, :, None]
-        expected, curve = np.zeros_like(tau), np.zeros_like(tau)
-        np.add.at(expected, item, w * p)
-        np.add.at(curve, item, w * p * (1 - p))
-        tau += (seen - expected - tau * weight) / (curve + weight)
-    return tau
-
-
-def _pack(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    sizes = b["who"].map(len).to_numpy()
-    return np.concatenate(b["who"].tolist()), np.repeat(np.arange(len(b)), sizes), np.concatenate(b["label"].tolist()), len(b)
+class Ballots:
+    """The ballots of a batch of items, in the order of items, and in the order of annotators."""
+
+    def __init__(self, b: pd.DataFrame):
+        sizes = b["who"].map(len).to_numpy()
+        self.n = len(b)
+        self.who = np.concatenate(b["who"].tolist())
+        self.label = np.concatenate(b["label"].tolist())
+        self.item = np.repeat(np.arange(self.n), sizes)
+        self.first = np.cumsum(sizes) - sizes
+        self.given = np.eye(LABELS, dtype=np.float32)[self.label]
+        self.by_who = np.argsort(self.who, kind="stable")
+        self.people, self.first_of = np.unique(self.who[self.by_who], return_index=True)
+
+    def per_item(self, x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(x, self.first, axis=0)
+
+    def add_per_person(self, total: np.ndarray, x: np.ndarray) -> None:
+        total[self.people] += np.add.reduceat(x[self.by_who], self.first_of, axis=0)
+
+    def probabilities(self, sigma: np.ndarray, tau: np.ndarray | None) -> np.ndarray:
+        """P(label | class) of every ballot, class and label."""
+        z = sigma[self.who] if tau is None else sigma[self.who] + tau[self.item]
+        z -= z.max(axis=2, keepdims=True)
+        np.exp(z, out=z)
+        z /= z.sum(axis=2, keepdims=True)
+        return z
+
+    def posterior(self, p: np.ndarray, prior: np.ndarray) -> np.ndarray:
+        log_p = np.log(np.take_along_axis(p, self.label[:, None, None], axis=2)[:, :, 0] + 1e-30)
+        out = self.per_item(log_p) + np.log(prior)
+        out -= out.max(axis=1, keepdims=True)
+        np.exp(out, out=out)
+        return out / out.sum(axis=1, keepdims=True)
+
+    def item_tilts(self, sigma: np.ndarray, post: np.ndarray, weight: float, steps: int) -> np.ndarray:
+        """Dual ascent in the items' tilts, given posteriors and annotators' tilts."""
+        w = post[self.item][:, :, None]
+        seen = self.per_item(w * self.given[:, None, :])
+        tau = np.zeros_like(seen)
+        for _ in range(steps):
+            p = self.probabilities(sigma, tau)
+            wp = w * p
+            tau += (seen - self.per_item(wp) - tau * weight) / (self.per_item(wp * (1 - p)) + weight)
+        return tau
+
+
+def _added(parts: DataFrame) -> np.ndarray | None:
+    """The sum of arrays of one size, emitted as (salt, sums): at most 64 of them reach the driver."""
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"salt": pdf["salt"][:1], "sums": [sum(np.frombuffer(bytes(x)) for x in pdf["sums"]).tobytes()]})
+
+    rows = parts.groupBy("salt").applyInPandas(add, "salt int, sums binary").collect()
+    return sum(np.frombuffer(bytes(r["sums"])) for r in rows) if rows else None
 
 
 def minimax_entropy(votes: DataFrame, rounds: int = 12, annotator_weight: float = 2.0, item_weight: float = 4.0, steps: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -104,33 +124,33 @@ def minimax_entropy(votes: DataFrame, rounds: int = 12, annotator_weight: float
     sigma = np.tile(np.log(0.7 * compatible / compatible.sum(axis=1, keepdims=True) + 0.3 / m), (n, 1, 1))
     prior = np.full(k, 1 / k)
     for r in range(rounds if names else 0):
-        shared = spark.sparkContext.broadcast((sigma, prior, r > 0))
+        shared = spark.sparkContext.broadcast((sigma.astype(np.float32), prior.astype(np.float32), r > 0))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             s, pr, tilt = shared.value
-            seen, expected, curve, mass = np.zeros_like(s), np.zeros_like(s), np.zeros_like(s), np.zeros(len(pr))
+            seen, expected, curve, mass, count = np.zeros_like(s), np.zeros_like(s), np.zeros_like(s), np.zeros(len(pr)), 0
             for b in batches:
                 if not len(b):
                     continue
-                who, item, label, size = _pack(b)
-                log_p, p = _likelihood(s, None, who, item, label)
-                post = _posterior(log_p, item, size, pr)
+                v = Ballots(b)
+                p = v.probabilities(s, None)
+                post = v.posterior(p, pr)
                 if tilt:
-                    tau = _item_tilts(s, post, who, item, label, size, item_weight, steps)
-                    log_p, p = _likelihood(s, tau, who, item, label)
-                    post = _posterior(log_p, item, size, pr)
-                w = post[item]
-                np.add.at(seen, (who, slice(None), label), w)
-                np.add.at(expected, who, w[:, :, None] * p)
-                np.add.at(curve, who, w[:, :, None] * p * (1 - p))
+                    p = v.probabilities(s, v.item_tilts(s, post, item_weight, steps))
+                    post = v.posterior(p, pr)
+                w = post[v.item][:, :, None]
+                v.add_per_person(seen, w * v.given[:, None, :])
+                wp = w * p
+                v.add_per_person(expected, wp)
+                v.add_per_person(curve, wp * (1 - p))
                 mass += post.sum(axis=0)
-            yield pd.DataFrame({"sums": [np.concatenate([x.ravel() for x in (seen, expected, curve, mass)]).tobytes()]})
+                count += v.n
+            sums = np.concatenate([x.ravel().astype(np.float64) for x in (seen, expected, curve, mass)])
+            yield pd.DataFrame({"salt": np.array([count % 64], dtype=np.int32), "sums": [sums.tobytes()]})
 
-        parts = packed.select("who", "label").mapInPandas(run, "sums binary").toLocalIterator()  # one row of fixed size for each task
-        total = None
-        for row in parts:
-            x = np.frombuffer(bytes(row["sums"]))
-            total = x if total is None else total + x
+        total = _added(packed.select("who", "label").mapInPandas(run, "salt int, sums binary"))
+        if total is None:
+            break
         size = n * k * m
         seen, expected, curve = (total[i * size : (i + 1) * size].reshape(n, k, m) for i in range(3))
         mass = total[3 * size :]
@@ -142,7 +162,7 @@ def minimax_entropy(votes: DataFrame, rounds: int = 12, annotator_weight: float
             sigma = sigma + (seen - expected - (sigma - base) * 0.1 * annotator_weight) / (curve + 0.1 * annotator_weight)
             sigma = np.clip(sigma - sigma.max(axis=2, keepdims=True), -9, 0)
         prior = (mass + 1) / (mass.sum() + k)
-    shared = spark.sparkContext.broadcast((sigma, prior))
+    shared = spark.sparkContext.broadcast((sigma.astype(np.float32), prior.astype(np.float32)))
     kind = votes.schema["item"].dataType.simpleString()
 
     def label_items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,12 +170,10 @@ def minimax_entropy(votes: DataFrame, rounds: int = 12, annotator_weight: float
         for b in batches:
             if not len(b):
                 continue
-            who, item, label, size = _pack(b)
-            post = _posterior(_likelihood(s, None, who, item, label)[0], item, size, pr)
-            tau = _item_tilts(s, post, who, item, label, size, item_weight, steps)
-            post = _posterior(_likelihood(s, tau, who, item, label)[0], item, size, pr)
-            counts = np.zeros((size, m))
-            np.add.at(counts, (item, label), 1)
+            own = Ballots(b)
+            post = own.posterior(own.probabilities(s, None), pr)
+            post = own.posterior(own.probabilities(s, own.item_tilts(s, post, item_weight, steps)), pr).astype(np.float64)
+            counts = own.per_item(own.given)
             v = counts.sum(axis=1)
             pairs = (counts * (counts - 1)).sum(axis=1)
             with np.errstate(invalid="ignore", divide="ignore"):
