@@ -77,9 +77,12 @@ def knn_label_accuracy(spark, sf_dir):
 
 def _overlap_ranking(spark, sf_dir, k):
     """Documents by token overlap with the item; the items are a stated query set."""
-    q = _items(spark, sf_dir).select("qid", F.array_distinct(T.tokens(F.col("text"))).alias("qt"))
-    d = documents(spark, sf_dir).where("text IS NOT NULL").select("doc_id", F.array_distinct(T.tokens(F.col("text"))).alias("dt"))
-    scored = d.crossJoin(q).select("qid", "doc_id", F.round(T.jaccard(F.col("qt"), F.col("dt")), 9).alias("score"))
+    terms = lambda d, key: d.where("text IS NOT NULL").select(key, F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
+    q, d = terms(_items(spark, sf_dir), "qid"), terms(documents(spark, sf_dir), "doc_id")
+    common = d.join(q, "term").groupBy("qid", "doc_id").agg(F.count(F.lit(1)).alias("c"))
+    size = lambda x, key, n: x.groupBy(key).agg(F.count(F.lit(1)).alias(n))
+    scored = common.join(size(q, "qid", "nq"), "qid").join(size(d, "doc_id", "nd"), "doc_id")
+    scored = scored.select("qid", "doc_id", F.round(F.col("c") / (F.col("nq") + F.col("nd") - F.col("c")), 9).alias("score"))
     return R.top_k(scored, "qid", [F.desc("score"), F.asc("doc_id")], k)
 
 
