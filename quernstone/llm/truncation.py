@@ -34,6 +34,8 @@ USUAL = 3
 
 OMISSION = r"(\.\.\.+|…|\[(…|\.\.\.+)\]|\((…|\.\.\.+)\)|\[?\b(truncated|cut off)\]?)\s*$"
 CLOSED = r"[.!?][\"'”’)\]*]*$"
+# Words that open a sentence and no name.
+OPENERS = r"^(The|A|An|Your|You|If|When|Where|For|From|Since|Until|In|On|At|As|Along|After|Under|Without|With|No|Some|Someone|People|Holders|Staff|Keep|Send|Tell)\b"
 # Openings of closing lines, which end a text without a stop.
 TAILS = (
     r"(?i)^(thanks|thank you|many thanks|best wishes|best regards|kind regards|warm regards|regards|yours|sincerely|cheers|hope (this|that)|"
@@ -137,6 +139,7 @@ def cut_texts(documents: DataFrame) -> DataFrame:
     named = ~F.col("line").rlike(r"(^|[\s,])(?!(of|and|the|de|la|y|und|et|i)\b)\p{Ll}")  # a line of names and figures: an address, a signature
     inside = F.length("tail") < F.length(F.trim("line"))  # behind other sentences of a paragraph
     usual = (F.col("n_longer") == 0) & (F.col("n_whole") + F.col("n_last") >= USUAL)
+    named = named & ~F.col("line").rlike(OPENERS)
     prose = ~item & (inside | (~known_tail & ~named & ~usual))
     reason = (
         F.when(F.col("omitted"), "omission")

@@ -125,7 +125,7 @@ def test_cuts_at_the_strongest_boundary():
 
 def test_oversized_items_with_dirt(spark):
     d = spark.createDataFrame([("a", ["x y z", None], 2, 1, 9), ("a", ["x y z", None], 2, 1, 9), ("b", None, 2, 1, 9), ("c", ["x y z"], None, 1, 9), ("d", [], 0, None, 9), ("e", ["x y"], 1, None, 9)], "id string, elements array<string>, max_words int, overlap_words int, piece int")
-    assert rows(split_boundaries.split_oversized(d).distinct(), "id", "text") == [("a", "x"), ("a", "x y"), ("a", "y z"), ("e", "x"), ("e", "y")]
+    assert set(rows(split_boundaries.split_oversized(d), "id", "text")) == {("a", "x"), ("a", "x y"), ("a", "y z"), ("e", "x"), ("e", "y")}
     assert split_boundaries.split_oversized(d.limit(0)).count() == 0
     assert spark.range(1).select(split_boundaries.n_words(F.lit(" a b\n| c "))).first()[0] == 4
 
