@@ -28,9 +28,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the plan after it starts at a scan."""
+    """Write ``df`` to the shared folder and read it back: the plan after it starts at a scan. What an application wrote stands
+    in one folder of its own, which can go when the application has ended."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quernstone-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quernstone/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quernstone_path = path
