@@ -1,6 +1,10 @@
 """Lexical and dense retrieval, rank fusion and ranking metrics."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,28 +13,64 @@ from quernstone.plans.materialize import materialize
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
+#: Queries multiplied at once.
+QUERIES = 1000
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int = 8) -> DataFrame:
     """``queries`` (qid, text) over ``docs`` (doc_id, text) to (qid, doc_id, score, rank): the k best that share a term.
 
-    Documents are tokenised once; an inverted index holds only terms that queries have, so what is joined follows the queries.
-    A negative idf counts as EPSILON times the mean idf of the whole vocabulary. Scores are rounded to nine places before they
-    are ranked, ties go to the smaller doc_id.
+    The queries are a stated set: in blocks of ``QUERIES`` they become a matrix of terms by queries, and every document is read
+    once and multiplied with it, so what is moved is k rows for each query and batch. A negative idf counts as EPSILON times
+    the mean idf of the whole vocabulary. Scores are rounded to nine places before they are ranked, ties go to the smaller
+    doc_id.
     """
-    tf = docs.where("text IS NOT NULL").select("doc_id", tokens(F.col("text")).alias("t"))
-    tf = tf.select("doc_id", F.size("t").cast("bigint").alias("dl"), F.explode("t").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    tf = materialize(tf, "term-frequencies")
-    size = docs.where("text IS NOT NULL").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(F.col("text")))).alias("avgdl"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.crossJoin(F.broadcast(size)).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # size: one row
-    mean = idf.agg(F.avg("idf").alias("mean"))
-    idf = idf.crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
-    q = queries.where("text IS NOT NULL").select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    asked = q.join(idf, "term")
-    weight = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    score = tf.join(asked, "term").groupBy("qid", "doc_id").agg(F.round(F.sum(weight), 9).alias("score"))
-    return top_k(score, "qid", [F.desc("score"), F.asc("doc_id")], k)
+    d = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", tokens(F.col("text")).alias("t"))
+    size = d.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avgdl"))
+    df = d.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = df.crossJoin(F.broadcast(size)).select("term", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))  # size: one row
+    idf = materialize(idf, "idf")
+    mean = idf.agg(F.avg("idf")).first()[0]
+    q = queries.where("qid IS NOT NULL AND text IS NOT NULL").select("qid", tokens(F.col("text")).alias("t"))
+    blocks = max(1, -(-q.count() // QUERIES))
+    out = None
+    for i in range(blocks):
+        block = q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
+        asked = block.select("qid", F.explode("t").alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
+        rows = asked.join(idf, "term").select("qid", "term", "qtf", "idf", "avgdl").collect()  # the terms of one block of queries
+        best = _bm25_block(d, rows, mean, k, queries.schema["qid"].dataType.simpleString())
+        out = best if out is None else out.unionByName(best)
+    return top_k(out, "qid", [F.desc("score"), F.asc("doc_id")], k)
+
+
+def _bm25_block(d: DataFrame, rows: list, mean: float | None, k: int, qid_type: str) -> DataFrame:
+    qids = sorted({r["qid"] for r in rows})
+    terms = {t: i for i, t in enumerate(sorted({r["term"] for r in rows}))}
+    weight, has = np.zeros((len(terms), len(qids))), np.zeros((len(terms), len(qids)), dtype=bool)
+    column = {x: i for i, x in enumerate(qids)}
+    for r in rows:
+        weight[terms[r["term"]], column[r["qid"]]] = r["qtf"] * (EPSILON * mean if r["idf"] < 0 else r["idf"]) * (K1 + 1)
+        has[terms[r["term"]], column[r["qid"]]] = True
+    avgdl = rows[0]["avgdl"] if rows else 1.0
+    shared = d.sparkSession.sparkContext.broadcast((terms, weight, has, qids, avgdl))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, w, h, names, mean_length = shared.value
+        for b in batches:
+            b = b.sort_values("doc_id", ignore_index=True)
+            scores = np.full((len(b), len(names)), -np.inf)
+            for i, t in enumerate(b["t"]):
+                ids, tf = np.unique([known[x] for x in t if x in known], return_counts=True)
+                if len(ids):
+                    ids = ids.astype(int)
+                    s = (tf / (tf + K1 * (1 - B + B * len(t) / mean_length))) @ w[ids]
+                    scores[i] = np.where(h[ids].any(axis=0), np.round(s, 9), -np.inf)
+            top = np.argsort(-scores, axis=0, kind="stable")[:k]  # documents are in order, so ties go to the smaller id
+            value = np.take_along_axis(scores, top, axis=0)
+            at, col = np.nonzero(np.isfinite(value))
+            yield pd.DataFrame({"qid": [names[c] for c in col], "doc_id": b["doc_id"].to_numpy()[top[at, col]], "score": value[at, col]})
+
+    return d.mapInPandas(run, f"qid {qid_type}, doc_id {d.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def top_k(scored: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:

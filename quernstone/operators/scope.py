@@ -118,24 +118,31 @@ def partition(frames: DataFrame, key: str) -> DataFrame:
     status). Every sign vector that some case satisfies is a region; the most specific frames inside decide, and if they
     disagree the region is contested. A key has few frames; regions of more than ``MOST`` are refused."""
     kind = dict(frames.dtypes)[key]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        scopes = [{a["name"]: a for a in attrs} for attrs in pdf["attributes"]]
-        names, outcomes, n = pdf["frame"].tolist(), pdf["outcome"].tolist(), len(pdf)
-        if n > MOST:
-            raise ValueError(f"more than {MOST} frames of one key")
-        rows = []
-        for signs in product([True, False], repeat=n):
-            ins = [i for i in range(n) if signs[i]]
-            if not ins or not _satisfiable([scopes[i] for i in ins], [scopes[i] for i in range(n) if not signs[i]]):
-                continue
-            least = [i for i in ins if not any(j != i and _within(scopes[j], scopes[i]) for j in ins)]
-            said = sorted({outcomes[i] for i in least})
-            rows.append((pdf[key].iloc[0], " ".join(names[i] for i in ins), said[0] if len(said) == 1 else None, "settled" if len(said) == 1 else "contested"))
-        return pd.DataFrame(rows, columns=[key, "inside", "outcome", "status"])
-
-    return frames.groupBy(key).applyInPandas(run, f"{key} {kind}, inside string, outcome string, status string")
+    packed = frames.groupBy(key).agg(F.slice(F.sort_array(F.collect_list(F.struct("frame", "outcome", "attributes"))), 1, MOST + 1).alias("frames"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(k, *region) for k, own in zip(b[key], b["frames"]) for region in regions(list(own))]
+            yield pd.DataFrame(rows, columns=[key, "inside", "outcome", "status"])
+
+    return packed.mapInPandas(run, f"{key} {kind}, inside string, outcome string, status string")
+
+
+def regions(frames: list[dict]) -> list[tuple[str, str | None, str]]:
+    """(inside, outcome, status) of every sign vector that some case satisfies."""
+    n = len(frames)
+    if n > MOST:
+        raise ValueError(f"more than {MOST} frames of one key")
+    scopes = [{a["name"]: a for a in f["attributes"]} for f in frames]
+    out = []
+    for signs in product([True, False], repeat=n):
+        ins = [i for i in range(n) if signs[i]]
+        if not ins or not _satisfiable([scopes[i] for i in ins], [scopes[i] for i in range(n) if not signs[i]]):
+            continue
+        least = [i for i in ins if not any(j != i and _within(scopes[j], scopes[i]) for j in ins)]
+        said = sorted({str(frames[i]["outcome"]) for i in least})
+        out.append((" ".join(frames[i]["frame"] for i in ins), said[0] if len(said) == 1 else None, "settled" if len(said) == 1 else "contested"))
+    return out
 
 
 MOST = 8

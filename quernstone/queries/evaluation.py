@@ -86,7 +86,7 @@ def _scores(spark, sf_dir):
     return cells(spark, sf_dir).select("system", s.alias("score"), (F.col("bad_citations") > 0).alias("label"))
 
 
-@query(f"WITH {SCORES} SELECT system, max(np)::BIGINT AS n_pos, max(nn)::BIGINT AS n_neg, round(sum(pos * (nn - fp) + 0.5 * pos * neg) / max(np * nn), 6) AS auc FROM tt GROUP BY system")
+@query(f"WITH {SCORES} SELECT system, max(np)::BIGINT AS n_pos, max(nn)::BIGINT AS n_neg, round(sum(pos * (nn - fp) + 0.5 * pos * neg) / nullif(max(np * nn), 0), 6) AS auc FROM tt GROUP BY system")
 def auc_with_ties(spark, sf_dir):
     """AUC of a score for bad citations, ties counted half."""
     return M.auc(_scores(spark, sf_dir), "score", "label", ["system"])
@@ -99,11 +99,11 @@ def best_thresholds(spark, sf_dir):
     return M.best_threshold(_scores(spark, sf_dir), "score", "label", ["system"])
 
 
-@query(f"""WITH {SCORES} SELECT system, round(sum(CASE WHEN pos > 0 THEN pos * (tp / (tp + fp)) ELSE 0 END) / max(np), 6) AS average_precision FROM tt GROUP BY system""")
+@query(f"""WITH {SCORES} SELECT system, round(sum(CASE WHEN pos > 0 THEN pos * (tp / (tp + fp)) ELSE 0 END) / nullif(max(np), 0), 6) AS average_precision FROM tt GROUP BY system""")
 def average_precision(spark, sf_dir):
     """Step-wise average precision over distinct scores."""
     t = M.threshold_table(_scores(spark, sf_dir), "score", "label", ["system"])
-    return t.groupBy("system").agg(F.round(F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.max("n_pos"), 6).alias("average_precision"))
+    return t.groupBy("system").agg(F.round(F.try_divide(F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))), F.max("n_pos").cast("double")), 6).alias("average_precision"))
 
 
 @query(f"""WITH {Q}, m AS (SELECT model, system, strategy, round(avg(CASE WHEN ok THEN 1.0 ELSE 0 END), 9) AS okr, round(avg(ct), 9) AS cost FROM c GROUP BY ALL),

@@ -155,3 +155,13 @@ def test_salted_join_keeps_rows(spark):
     for how in ("inner", "left", "left_semi", "left_anti"):
         plain, salted = big.join(small, "k", how), salted_join(big, small, "k", how, hot=[(0,), (6,)])
         assert sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, salted.select(*plain.columns).collect()), key=str)
+
+
+def test_regions_of_nested_and_crossing_frames():
+    base = {"frame": "b0", "outcome": "no", "attributes": []}
+    adult = {"frame": "b1", "outcome": "yes", "attributes": [attr("age", "numeric", lo=18)]}
+    tier = {"frame": "b2", "outcome": "no", "attributes": [attr("tier", "categorical", ["a"])]}
+    got = {r[0]: r[1:] for r in S.regions([base, adult, tier])}
+    assert got["b0"] == ("no", "settled") and got["b0 b1"] == ("yes", "settled") and got["b0 b1 b2"] == (None, "contested") and "b1" not in got
+    with pytest.raises(ValueError):
+        S.regions([base] * 9)
