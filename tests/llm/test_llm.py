@@ -262,7 +262,7 @@ def test_catalogue_has_every_problem():
     assert {f"p{i}_found" for i in range(1, 9)} <= set(catalogue.QUERIES)
 
 
-@pytest.mark.parametrize("name", ["p1_found", "p4_found"])
+@pytest.mark.parametrize("name", ["p1_found", "p4_found", "p7_found"])
 def test_found_matches_sql(spark, name):
     import sys
     from pathlib import Path
