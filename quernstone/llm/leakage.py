@@ -164,15 +164,16 @@ def held_stretch(item: list[str], doc: list[str], where: dict[tuple[str, str], l
     n = len(item)
     if n < 3:
         return float(any(doc[j : j + n] == item for j in range(len(doc) - n + 1))) if n else 0.0
-    hits = [(i, j) for i in range(n - 1) for j in where.get((item[i], item[i + 1]), ())]
-    lanes = Counter()
-    for i, j in hits:
-        lane = (j - i) // BLOCK
-        lanes[lane] += 1
-        lanes[lane + 1] += 1
+    lanes = defaultdict(list)
+    for i in range(n - 1):
+        for j in where.get((item[i], item[i + 1]), ()):
+            lanes[(j - i) // BLOCK].append((i, j))
     best = 0.0
-    for lane, count in lanes.most_common(3):
-        own = sorted((i, j) for i, j in hits if (j - i) // BLOCK in (lane, lane - 1))
+    for lane in lanes.keys() | {k + 1 for k in lanes}:
+        own = lanes.get(lane, []) + lanes.get(lane - 1, [])
+        if len(own) < least_hits(n):
+            continue
+        own.sort()
         runs, start = [], 0
         for k in range(1, len(own) + 1):
             if k == len(own) or own[k][0] - own[k - 1][0] > GAP:
@@ -188,6 +189,11 @@ def held_stretch(item: list[str], doc: list[str], where: dict[tuple[str, str], l
     return best
 
 
+def least_hits(n: int) -> float:
+    """Fewest word pairs in common of a stretch of ``HELD`` of ``n`` words: h pairs, at most ``GAP`` apart, reach over (h - 1) GAP + 2 words."""
+    return max(1.0, (HELD * n - 2) / GAP + 1 - 1e-9)
+
+
 def common_subsequence(a: list[str], b: list[str]) -> int:
     """Length of the longest common subsequence, a row of bits for each word of ``b``."""
     at: dict[str, int] = defaultdict(int)

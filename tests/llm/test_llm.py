@@ -201,6 +201,16 @@ def test_leaks_against_brute_force(spark):
     assert leakage.find_leaks(spark.createDataFrame(docs, "doc_id int, text string, held double"), spark.createDataFrame([], "item_id int, text string")).count() == 0
 
 
+def test_stock_sentences_hide_no_true_copy():
+    item = [f"w{i}" for i in range(60)]
+    stock, rest = item[:22], [w if k % 5 else "altered" for k, w in enumerate(item[22:56], 1)]
+    doc = stock + ["x"] * 40 + stock + ["y"] * 90 + rest + ["z"] * 70 + stock
+    where = {}
+    for j, g in enumerate(zip(doc, doc[1:])):
+        where.setdefault(g, []).append(j)
+    assert leakage.held_stretch(item, doc, where) >= leakage.HELD
+
+
 def test_common_subsequence_against_table():
     rng = random.Random(6)
     for _ in range(100):
