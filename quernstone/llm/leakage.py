@@ -8,8 +8,9 @@ fitted on the passages of about ``fit_documents`` documents chosen by hash, and
 it. A passage's vector is the sum of its words' rows, so projecting costs a row lookup for each word.
 
 All evaluation items, in blocks, are compared with all passages; pairs of a document and an item with a cosine of ``COSINE`` in
-some window are candidates. A candidate must share three-word runs with the item, and is then checked by the longest common subsequence
-of the stretch it holds: at least half of the item's words, in order and in one stretch.
+some window are candidates. Candidates without a run of common word
+pairs over ``HELD`` of the item, from which the check starts, are left out; the rest are checked by the longest common
+subsequence of the stretch they hold: at least half of the item's words, in order and in one stretch.
 
 Defined results: null and empty texts hold nothing and are held nowhere; an item shorter than a window is one window; repeated
 rows count once; empty tables give empty results; whole texts are read, of any length.
@@ -33,13 +34,13 @@ BLOCK = 16
 TERMS = 1 << 14
 RANK = 96
 PASSES = 2
-COSINE = 0.65
-#: Share of an item's three-word runs that a document holding half of it shares at least, with a fifth of the words altered one by one.
-RUNS = 0.2
+COSINE = 0.6
 #: Least part of the item's words in the stretch, least part of the stretch that is common, most words between matches.
 HELD, COMMON, GAP = 0.49, 0.72, 8
 #: Items compared at once; more are compared in further passes over the documents.
 ITEMS = 20_000
+#: Common word pairs looked at in one go, about.
+HITS = 1_000_000
 #: Parts into which a sum over terms is cut.
 PARTS = 16
 
@@ -206,6 +207,53 @@ def common_subsequence(a: list[str], b: list[str]) -> int:
     return row.bit_count()
 
 
+class Runs:
+    """Tells which documents can hold which items: those with a run of common word pairs from which ``held_stretch`` starts."""
+
+    def __init__(self, items: list[list[str]]):
+        grams = [list(zip(w, w[1:])) for w in items]
+        self.length = np.array([len(w) for w in items], dtype=np.int64)
+        self.ids: dict[tuple[str, str], int] = {}
+        gram = np.array([self.ids.setdefault(g, len(self.ids)) for own in grams for g in own], dtype=np.int64)
+        sizes = np.array([len(own) for own in grams], dtype=np.int64)
+        order = np.argsort(gram, kind="stable")
+        self.item = np.repeat(np.arange(len(items)), sizes)[order]
+        self.at = (np.arange(len(gram)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[order]
+        self.first = np.searchsorted(gram[order], np.arange(len(self.ids) + 1))
+
+    def possible(self, docs: list[list[str]], pairs: np.ndarray) -> np.ndarray:
+        """Of ``pairs`` (document x items + item), those with a run that reaches over ``HELD`` of the item; items under three words stay."""
+        n = len(self.length)
+        wanted = np.zeros(len(docs) * n, dtype=bool)
+        wanted[pairs] = True
+        kept = [pairs[self.length[pairs % n] < 3]]
+        found = [(d, j, self.ids[g]) for d, w in enumerate(docs) for j, g in enumerate(zip(w, w[1:])) if g in self.ids]
+        if not found:
+            return kept[0]
+        doc, place, gram = np.array(found, dtype=np.int64).T
+        times = self.first[gram + 1] - self.first[gram]
+        longest = int(self.length.max())
+        low = longest // BLOCK + 1
+        lanes, stride = int(place.max()) // BLOCK + low + 3, longest + GAP + 2
+        part = (np.cumsum(times) - times) // HITS
+        for c in np.split(np.arange(len(doc)), np.flatnonzero(np.diff(part[np.searchsorted(doc, doc)])) + 1):  # whole documents
+            t = times[c]
+            at = np.repeat(self.first[gram[c]] - (np.cumsum(t) - t), t) + np.arange(t.sum())
+            pair, i, j = np.repeat(doc[c] * n, t) + self.item[at], self.at[at], np.repeat(place[c], t)
+            use = np.flatnonzero(wanted[pair])
+            if not len(use):
+                continue
+            pair, i, j = pair[use], i[use], j[use]
+            code = (pair * lanes + (j - i) // BLOCK + low) * stride + i
+            code = np.concatenate([code, code + stride])  # a lane holds the hits of its own and of the one before
+            code.sort()
+            cut = np.flatnonzero(np.diff(code) > GAP)
+            start, end = code[np.append(0, cut + 1)], code[np.append(cut, len(code) - 1)]
+            pair = start // stride // lanes
+            kept.append(pair[(end - start + 2) / self.length[pair % n] >= HELD])
+        return np.unique(np.concatenate(kept))
+
+
 def find_leaks(documents: DataFrame, items: DataFrame, fit_documents: int = 4000) -> DataFrame:
     """``documents`` (doc_id, text) and ``items`` (item_id, text) to distinct (item_id, doc_id, held)."""
     spark = documents.sparkSession
@@ -226,32 +274,27 @@ def find_leaks(documents: DataFrame, items: DataFrame, fit_documents: int = 4000
 def _search(documents: DataFrame, items: list[tuple], rows: np.ndarray, kinds: tuple[str, str]) -> DataFrame:
     items = [(i, w) for i, w in items if w]
     vectors, owner = passages([term_ids(w, Terms()) for _, w in items], rows) if items else (np.zeros((0, RANK), np.float32), np.zeros(0, int))
-    pairs = [frozenset(zip(w, w[1:], w[2:])) for _, w in items]
-    shared = documents.sparkSession.sparkContext.broadcast((rows, vectors.astype(np.float32), owner, items, pairs))
+    shared = documents.sparkSession.sparkContext.broadcast((rows, vectors.astype(np.float32), owner, items))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        basis, m, of, its, grams = shared.value
-        known = Terms()
+        basis, m, of, its = shared.value
+        known, runs = Terms(), Runs([w for _, w in its])
         for b in batches:
             own = [(d, w) for d, w in zip(b["doc_id"], map(words, b["text"])) if w]
             out = []
             for i in range(0, len(own) if its else 0, 128):
                 part = own[i : i + 128]
                 v, doc = passages([term_ids(w, known) for _, w in part], basis)
-                pairs_found = set()
+                near_pairs = []
                 for c in range(0, len(m), 4096):
                     near = v @ m[c : c + 4096].T
                     x, y = np.divmod(np.flatnonzero(near.ravel() >= COSINE), near.shape[1])
-                    pairs_found.update(np.unique(doc[x].astype(np.int64) * len(its) + of[c + y]).tolist())
+                    near_pairs.append(doc[x].astype(np.int64) * len(its) + of[c + y])
                 by = defaultdict(list)
-                for p in pairs_found:
+                for p in runs.possible([w for _, w in part], np.unique(np.concatenate(near_pairs))).tolist():
                     by[p // len(its)].append(p % len(its))
                 for d, cand in by.items():
                     text = part[d][1]
-                    held = set(zip(text, text[1:], text[2:]))
-                    cand = [k for k in cand if len(grams[k] & held) >= RUNS * len(grams[k])]
-                    if not cand:
-                        continue
                     where = defaultdict(list)
                     for j, g in enumerate(zip(text, text[1:])):
                         where[g].append(j)

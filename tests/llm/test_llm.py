@@ -211,6 +211,31 @@ def test_stock_sentences_hide_no_true_copy():
     assert leakage.held_stretch(item, doc, where) >= leakage.HELD
 
 
+def test_altered_halves_pass_the_filters(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    prose = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, prose(rng.randint(60, 120))) for i in range(10)]
+    docs = []
+    for d in range(80):
+        w, body = items[d % 10][1], prose(rng.randint(20, 150))
+        n = -(-len(w) // 2) + 3
+        s = rng.randint(0, len(w) - n)
+        body[20:20] = [x if k % 4 else "altered" for k, x in enumerate(w[s : s + n], 1)] if d < 40 else []
+        docs.append((d, body))
+    brute = set()
+    for d, w in docs:
+        where = {}
+        for j, g in enumerate(zip(w, w[1:])):
+            where.setdefault(g, []).append(j)
+        brute |= {(i, d) for i, own in items if leakage.held_stretch(own, w, where) >= leakage.HELD}
+    runs = leakage.Runs([w for _, w in items])
+    kept = runs.possible([w for _, w in docs], leakage.np.arange(len(docs) * len(items)))
+    assert brute <= {(int(p) % 10, int(p) // 10) for p in kept} and len(kept) < 2 * len(brute) and len(brute) >= 36
+    frame = lambda x, names: spark.createDataFrame([(k, " ".join(w)) for k, w in x], names)
+    assert set(rows(leakage.find_leaks(frame(docs, "doc_id int, text string"), frame(items, "item_id int, text string")), "item_id", "doc_id")) == brute
+
+
 def test_common_subsequence_against_table():
     rng = random.Random(6)
     for _ in range(100):
