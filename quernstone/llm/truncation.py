@@ -2,9 +2,9 @@
 
 A text is cut into units: lines, and sentences inside paragraphs (wrapped lines are joined first). Names and numbers in a unit
 are masked, so that a unit has copies elsewhere. The last unit of each text is a value, and so is every unit; values are grouped
-by a fixed-length prefix and sorted inside the group, where a value that is a strict prefix of another stands right before one
-that it begins. A last unit that begins a longer unit, and hardly ever stands as a whole itself, was cut off. The same self-join
-on single words finds a last word that begins a longer word and occurs nowhere else. Marks of omission, and prose that ends
+by a fixed-length prefix and sorted inside the group, where all that a value begins stand right behind it; the most frequent of
+them counts. A last unit that begins a longer unit, and hardly ever stands as a whole itself, was cut off. The same self-join
+on single words finds a last word that begins a longer spoken word and occurs nowhere else. Marks of omission, and prose that ends
 without a stop, are found by a check of the ending.
 
 Defined results: null and blank texts are not cut; repeated rows count once; a doc_id delivered with several texts is cut if one
@@ -17,7 +17,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.plans.materialize import materialize
@@ -26,7 +26,7 @@ from quernstone.sources.tables import table
 #: Length of the prefix by which values are grouped; shorter last units are compared with the prefixes themselves.
 PREFIX = 16
 SHORT = 4
-#: A last unit with longer copies is whole if it stands as a whole at least this often for each copy of the next longer unit.
+#: A last unit with longer copies is whole if it stands as a whole at least this often for each copy of the most frequent longer unit.
 WHOLE_SHARE = 0.3
 NAME_SHARE = 0.05
 #: A closing line without longer copies that so many texts have is a form of its own.
@@ -96,12 +96,33 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(last, columns=names)
 
 
-def _next_longer(values: DataFrame, key: Column, value: str, count: str) -> DataFrame:
-    """Of each distinct value: whether it is a strict prefix of a value in its group, and the count of the next such one."""
-    order = Window.partitionBy(key).orderBy(value)
-    nxt = F.lead(F.struct(value, count)).over(order)
-    v = values.withColumn("__n", nxt)
-    return v.withColumn("n_longer", F.when(F.col("__n")[value].startswith(F.col(value)), F.col("__n")[count]).otherwise(F.lit(0))).drop("__n")
+def _longer(values: DataFrame, key: Column, value: str, count: str) -> DataFrame:
+    """Of each distinct value: the largest count of the values in its group of which it is a strict prefix, 0 if there is none."""
+    names = [*values.columns, "n_longer"]
+    at, n_at = names.index(value), names.index(count)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[list] = []  # the values that begin the one at hand, each a prefix of the next, with their largest counts
+        for b in batches:
+            out = []
+            for row in b.itertuples(index=False, name=None):
+                while held and not row[at].startswith(held[-1][0][at]):
+                    out.append(_closed(held, n_at))
+                held.append([row, 0])
+            yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame([_closed(held, n_at) for _ in range(len(held))], columns=names)
+
+    # in the order of the bytes, values that one begins stand right behind it
+    ordered = values.repartition(key).sortWithinPartitions(F.encode(value, "UTF-8"))
+    return ordered.mapInPandas(run, ", ".join(f"{c} {t}" for c, t in values.dtypes) + ", n_longer bigint")
+
+
+def _closed(held: list[list], n_at: int) -> tuple:
+    """Takes off the last value, and hands its counts to the one that begins it."""
+    row, most = held.pop()
+    if held:
+        held[-1][1] = max(held[-1][1], most, row[n_at])
+    return (*row, most)
 
 
 def cut_texts(documents: DataFrame) -> DataFrame:
@@ -114,10 +135,10 @@ def cut_texts(documents: DataFrame) -> DataFrame:
     ends = last.where("NOT omitted AND NOT closed").select("v", F.lit(0).alias("c"), F.lit(1).alias("f"))
     values = whole.unionByName(ends).where("v <> ''").groupBy("v").agg(F.sum("c").alias("n_whole"), F.sum("f").alias("n_last"))
     values = materialize(values.withColumn("n", F.col("n_whole") + F.col("n_last")), "values")
-    long = _next_longer(values.where(F.length("v") >= PREFIX), F.substring("v", 1, PREFIX), "v", "n")
+    long = _longer(values.where(F.length("v") >= PREFIX), F.substring("v", 1, PREFIX), "v", "n")
     heads = values.groupBy(F.substring("v", 1, PREFIX).alias("v")).agg(F.sum("n_whole").alias("n_whole"), F.sum("n_last").alias("n_last"), F.sum("n").alias("n"))
     own = values.where(F.length("v") < PREFIX).select("v", F.col("n_whole").alias("w"), F.col("n_last").alias("l"))
-    short = _next_longer(heads, F.substring("v", 1, SHORT), "v", "n").join(own, "v").select("v", F.col("w").alias("n_whole"), F.col("l").alias("n_last"), "n_longer")
+    short = _longer(heads, F.substring("v", 1, SHORT), "v", "n").join(own, "v").select("v", F.col("w").alias("n_whole"), F.col("l").alias("n_last"), "n_longer")
     facts = long.select("v", "n_whole", "n_last", "n_longer").unionByName(short)
     tails = last.where("NOT omitted AND NOT closed").select("v").distinct()
     facts = facts.join(tails, "v")
@@ -125,7 +146,7 @@ def cut_texts(documents: DataFrame) -> DataFrame:
     spoken = read.where("kind = 'W'").groupBy(F.col("word").alias("w")).agg(F.sum("n").alias("n"))
     asked = last.where("NOT omitted AND NOT closed AND word <> ''").select(F.col("word").alias("w"), F.lit(0).cast("bigint").alias("n")).distinct()
     both = spoken.unionByName(asked).groupBy("w").agg(F.sum("n").alias("n"))
-    stub = _next_longer(both, F.substring("w", 1, 2), "w", "n").where("n = 0 AND n_longer > 0").select(F.col("w").alias("word"), F.lit(True).alias("stub"))
+    stub = _longer(both, F.substring("w", 1, 2), "w", "n").where("n = 0 AND n_longer > 0").select(F.col("w").alias("word"), F.lit(True).alias("stub"))
 
     x = last.join(facts, "v", "left").join(stub, "word", "left").fillna(0, ["n_whole", "n_last", "n_longer"])
     item = F.col("line").rlike(r"^\s*([-*•#|>]|\d+[.)] )")

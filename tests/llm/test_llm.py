@@ -288,6 +288,17 @@ def test_cut_texts(spark):
     assert truncation.cut_texts(d.limit(0)).count() == 0
 
 
+def test_cut_values_hide_no_longer_copies(spark):
+    values = [("- own a", 1), ("- own a sh", 1), ("- own a share", 300), ("- own a share of", 1), ("- own b", 7), ("- own é", 2), ("- own éa", 5)]
+    got = truncation._longer(spark.createDataFrame(values, "v string, n bigint"), F.substring("v", 1, 4), "v", "n")
+    assert dict(rows(got, "v", "n_longer")) == {"- own a": 300, "- own a sh": 300, "- own a share": 1, "- own a share of": 0, "- own b": 0, "- own é": 5, "- own éa": 0}
+    base = "You can ask if you:\n- keep the signed application form\n- ask twice"
+    cut = ["You can ask if you:\n- keep the signed appli", "You can ask if you:\n- keep the signed applic", "You can ask if you:\n- keep the", "You can ask if you:\n- keep the signed"]
+    data = [(i, "s", base) for i in range(20)] + [(100 + i, "s", t) for i, t in enumerate(cut)]
+    found = truncation.cut_texts(spark.createDataFrame(data, "doc_id int, source string, text string"))
+    assert dict(rows(found.where("cut"), "doc_id", "reason")) == {100: "word", 101: "word", 102: "prefix", 103: "prefix"}
+
+
 # the catalogue ----------------------------------------------------------------------------------------------------------------
 
 
