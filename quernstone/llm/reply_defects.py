@@ -2,7 +2,7 @@
 
 Replies are read as JSON, in a fence or in prose, or as plain text. Checks of termination, emptiness, copying and language label
 what they can. Openings of the other replies are masked and gathered with the number of prompts and the share of replies that
-cite evidence; distinct openings are clustered by MinHash of five-word shingles, verified by exact similarity of 0.8. An opening
+cite evidence; distinct openings are clustered by MinHash of their words, verified by exact similarity of 0.8. An opening
 that recurs across unrelated prompts, in replies that mostly cite nothing, is a refusal template; clusters with one lead of three
 words count together, so a template is found whatever it says it declines. Plain acts of declining are recognised besides.
 
@@ -26,7 +26,8 @@ from quernstone.plans.materialize import materialize
 from quernstone.plans.skew import salted_join
 from quernstone.sources.tables import table
 
-SHINGLE, SIMILAR = 5, 0.8
+#: Openings are sets of words: of twelve, one altered leaves 11/13; with five-word shingles 0.8 could not be reached.
+SIMILAR = 0.8
 OPENING, LEAD = 12, 3
 #: A template recurs across at least so many prompts, and at most this share of its replies cites evidence.
 PROMPTS, CITING = 3, 0.5
@@ -191,9 +192,7 @@ def refusal_templates(replies: DataFrame) -> DataFrame:
     """``replies`` (opening, prompt, cites) to (opening): openings of refusal templates."""
     seen = replies.where("opening <> ''").groupBy("opening", "prompt").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("cites").cast("bigint")).alias("cited"))
     seen = seen.groupBy("opening").agg(F.count(F.lit(1)).alias("prompts"), F.sum("n").alias("n"), F.sum("cited").alias("cited"))
-    words = F.split("opening", " ")
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - F.lit(SHINGLE - 1), F.lit(1)))
-    seen = materialize(seen.withColumn("sh", F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, SHINGLE), " "))))), "openings")
+    seen = materialize(seen.withColumn("sh", F.array_distinct(F.transform(F.split("opening", " "), lambda w: F.xxhash64(w)))), "openings")
     sig = F.transform(F.sequence(F.lit(0), F.lit(BANDS * ROWS - 1)), lambda k: F.array_min(F.transform("sh", lambda h: F.xxhash64(h, k))))
     bands = seen.withColumn("sig", sig).select("opening", "sh", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.slice("sig", b * ROWS + 1, ROWS)))).alias("band"))
     # within a band everything is compared with the band's least opening, and again in the other bands

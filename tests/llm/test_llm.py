@@ -77,6 +77,16 @@ def test_templates_reveal_refusals(spark):
     assert reply_defects.reply_defects(d.limit(0), MODEL).count() == 0
 
 
+def test_reworded_templates_are_one(spark):
+    said = "we keep to other {} matters than such a case at desk".format
+    data = [(said(w), k, False) for k, w in enumerate(["today", "now", "always"])]
+    data += [("the higher rate of the {} is paid to people with a home".format(w), k, True) for k, w in enumerate(["levy", "bond", "grant"])]
+    # other openings that share the lead, and cite
+    data += [(f"we keep to the rate {k} of a different page number altogether {k}", 10 + k, True) for k in range(9)]
+    got = reply_defects.refusal_templates(spark.createDataFrame(data, "opening string, prompt bigint, cites boolean"))
+    assert rows(got, "opening") == sorted((said(w),) for w in ["today", "now", "always"])
+
+
 # 3 ------------------------------------------------------------------------------------------------------------------------
 
 TEXT = "Interest of 38 per cent is added 22 months after the end of the tax year and the bank clerk splits the share before any money is paid out to the lodger"
