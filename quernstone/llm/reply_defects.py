@@ -2,7 +2,7 @@
 
 Replies are read as JSON, in a fence or in prose, or as plain text. Checks of termination, emptiness, copying and language label
 what they can. Openings of the other replies are masked and gathered with the number of prompts and the share of replies that
-cite evidence; distinct openings are clustered by MinHash of their words, verified by exact similarity of 0.8. An opening
+cite evidence; distinct openings are clustered by an exact similarity of 0.8 of their words. An opening
 that recurs across unrelated prompts, in replies that mostly cite nothing, is a refusal template; clusters with one lead of three
 words count together, so a template is found whatever it says it declines. Plain acts of declining are recognised besides.
 
@@ -31,7 +31,6 @@ SIMILAR = 0.8
 OPENING, LEAD = 12, 3
 #: A template recurs across at least so many prompts, and at most this share of its replies cites evidence.
 PROMPTS, CITING = 3, 0.5
-BANDS, ROWS = 8, 2
 #: Share of the question that the answer repeats, and of the answer that repeats the question.
 COPIED, ONLY = 0.65, 0.85
 #: By how many nats another language must be likelier than the question's.
@@ -188,17 +187,35 @@ def opening(reply: Column) -> Column:
     return F.array_join(F.slice(F.filter(F.split(bare, r"\s+"), lambda w: w != ""), 1, OPENING), " ")
 
 
+def similar_openings(seen: DataFrame) -> DataFrame:
+    """``seen`` (opening, sh: hashes of its distinct words) to links (a, b) whose components are those of all pairs with a similarity
+    of ``SIMILAR``. Sets of at most 13 words are so alike only if one lacks one or two words of the other, or each lacks one; so
+    they share a key, the words without none, one or two, and all of a key that are alike are linked to one of them."""
+    d = seen.select(F.xxhash64("opening").alias("o"), F.array_sort("sh").alias("sh"))
+    k = F.size("sh")
+
+    def less(drop: int, keys: Column) -> Column:
+        return F.transform(keys, lambda h: F.struct(h.alias("key"), F.lit(drop).alias("drop"), (k - drop).alias("k")))
+
+    one = F.transform("sh", lambda w: F.xxhash64(F.array_remove("sh", w)))
+    two = F.flatten(F.transform("sh", lambda w: F.transform(F.filter("sh", lambda x: x > w), lambda x: F.xxhash64(F.array_remove(F.array_remove("sh", w), x)))))
+    none = F.array().cast("array<bigint>")
+    keys = F.concat(less(0, F.array(F.xxhash64("sh"))), less(1, F.when(k - 1 >= SIMILAR * k, one).otherwise(none)), less(2, F.when(k - 2 >= SIMILAR * k, two).otherwise(none)))
+    keys = materialize(d.select("o", F.explode(keys).alias("x")).select("o", "x.*"), "opening_keys")
+    swapped = (F.col("drop") == 1) & (F.col("k") >= SIMILAR * (F.col("k") + 2))
+    heads = keys.groupBy("key").agg(F.min(F.when(F.col("drop") == 0, F.col("o"))).alias("whole"), F.min(F.when(swapped, F.col("o"))).alias("swap"), F.count(F.lit(1)).alias("n"))
+    heads = heads.where("n > 1").drop("n")
+    both = keys.join(heads, "key").select("o", F.explode(F.array("whole", F.when(swapped, F.col("swap")))).alias("p")).where("p IS NOT NULL AND p <> o").distinct()
+    name = seen.select(F.xxhash64("opening").alias("o"), F.col("opening").alias("a"))
+    return both.join(name, "o").join(name.select(F.col("o").alias("p"), F.col("a").alias("b")), "p").select("a", "b").distinct()
+
+
 def refusal_templates(replies: DataFrame) -> DataFrame:
     """``replies`` (opening, prompt, cites) to (opening): openings of refusal templates."""
     seen = replies.where("opening <> ''").groupBy("opening", "prompt").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("cites").cast("bigint")).alias("cited"))
     seen = seen.groupBy("opening").agg(F.count(F.lit(1)).alias("prompts"), F.sum("n").alias("n"), F.sum("cited").alias("cited"))
     seen = materialize(seen.withColumn("sh", F.array_distinct(F.transform(F.split("opening", " "), lambda w: F.xxhash64(w)))), "openings")
-    sig = F.transform(F.sequence(F.lit(0), F.lit(BANDS * ROWS - 1)), lambda k: F.array_min(F.transform("sh", lambda h: F.xxhash64(h, k))))
-    bands = seen.withColumn("sig", sig).select("opening", "sh", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.slice("sig", b * ROWS + 1, ROWS)))).alias("band"))
-    # within a band everything is compared with the band's least opening, and again in the other bands
-    head = bands.groupBy("band").agg(F.min_by(F.struct("opening", "sh"), "opening").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", F.col("head.opening").alias("b"), F.col("head.sh").alias("bsh"))
-    close = F.size(F.array_intersect("sh", "bsh")) >= SIMILAR * F.size(F.array_union("sh", "bsh"))
-    links = bands.join(head, "band").where(close).select(F.col("opening").alias("a"), "b").distinct()
+    links = similar_openings(seen.select("opening", "sh"))
     named = components(links).withColumnRenamed("node", "opening")
     clustered = seen.join(named, "opening", "left").select("opening", "prompts", "n", "cited", F.coalesce("component", "opening").alias("cluster"))
     by_cluster = clustered.groupBy("cluster").agg(F.sum("prompts").alias("cp"), F.sum("n").alias("cn"), F.sum("cited").alias("cc"))

@@ -87,6 +87,31 @@ def test_reworded_templates_are_one(spark):
     assert rows(got, "opening") == sorted((said(w),) for w in ["today", "now", "always"])
 
 
+def test_openings_link_as_by_brute_force(spark):
+    rng = random.Random(9)
+    texts = set()
+    for _ in range(25):
+        base = rng.sample("abcdefghijklmnopqrstuvwxyz", rng.randint(1, 12))
+        for _ in range(12):
+            w = [rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") if rng.random() < 0.1 else x for x in base if rng.random() > 0.06] or base
+            texts.add(" ".join(w))
+    sets = {t: set(t.split()) for t in texts}
+    top = {t: t for t in texts}
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    brute = {(a, b) for a in texts for b in texts if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    data = spark.createDataFrame([(t,) for t in texts], "opening string").withColumn("sh", F.array_distinct(F.transform(F.split("opening", " "), lambda w: F.xxhash64(w))))
+    links = {tuple(sorted(p)) for p in rows(reply_defects.similar_openings(data), "a", "b")}
+    assert links <= brute and len(brute) > 100
+    for a, b in links:
+        top[root(a)] = root(b)
+    assert all(root(a) == root(b) for a, b in brute)
+
+
 # 3 ------------------------------------------------------------------------------------------------------------------------
 
 TEXT = "Interest of 38 per cent is added 22 months after the end of the tax year and the bank clerk splits the share before any money is paid out to the lodger"
