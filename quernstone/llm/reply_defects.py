@@ -246,7 +246,7 @@ def reply_defects(cells: DataFrame, model: dict) -> DataFrame:
     rest = labelled.where("defect IS NULL AND reply <> ''").withColumn("opening", opening(F.col("reply")))
     templates = refusal_templates(rest).withColumn("template", F.lit(True))
     judged = salted_join(rest, templates, "opening", "left")
-    declined = judged.where(F.coalesce("template", F.lit(False)) | F.lower(F.substring("reply", 1, 400)).rlike(REFUSALS)).select("cell_id", F.lit("refusal").alias("defect"))
+    declined = judged.where(F.coalesce("template", F.lit(False)) | F.lower("reply").rlike(REFUSALS)).select("cell_id", F.lit("refusal").alias("defect"))
     return labelled.where("defect IS NOT NULL").select("cell_id", "defect").unionByName(declined).distinct()
 
 

@@ -112,6 +112,12 @@ def test_openings_link_as_by_brute_force(spark):
     assert all(root(a) == root(b) for a, b in brute)
 
 
+def test_refusal_behind_a_long_preamble(spark):
+    cells = "cell_id int, text string, answers array<string>, n_evidence int, question string, not_answerable boolean"
+    d = spark.createDataFrame([(1, "The rules of the grant are many and the office has them. " * 12 + "I cannot answer this question.", [], 1, "Can I claim the grant?", False)], cells)
+    assert rows(reply_defects.reply_defects(d, MODEL), "cell_id", "defect") == [(1, "refusal")]
+
+
 # 3 ------------------------------------------------------------------------------------------------------------------------
 
 TEXT = "Interest of 38 per cent is added 22 months after the end of the tax year and the bank clerk splits the share before any money is paid out to the lodger"
