@@ -138,7 +138,8 @@ def p7_shares(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> D
 
 def p7_found(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """Sources that fall short of their target."""
-    return p7_shares(spark, sf_dir, tokenizer).where("short").select("source")
+    shares = materialize(p7_shares(spark, sf_dir, tokenizer), "shares")  # else the plan drops the join with the mix, and nothing is sampled
+    return shares.where("short").select("source")
 
 
 QUERIES = {"p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares}

@@ -315,6 +315,13 @@ def test_mix_of_nothing_and_tokens(spark):
     assert rows(mixing.count_tokens(d), "doc_id", "n_tokens") == [(1, 2), (2, 0), (3, 0)]
 
 
+def test_found_sources_come_from_the_mix(spark, monkeypatch):
+    mix = mixing.mix
+    monkeypatch.setattr(mixing, "mix", lambda sizes, plan: mix(sizes, plan).withColumn("copies", F.raise_error(F.lit("sampled")).cast("int")))
+    with pytest.raises(Exception, match="sampled"):
+        mixing.p7_found(spark, "/root/testdata/sf0.001").collect()
+
+
 # 8 ------------------------------------------------------------------------------------------------------------------------
 
 
