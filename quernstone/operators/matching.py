@@ -4,7 +4,6 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import permutations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -80,7 +79,8 @@ def _f1(a: list, b: list) -> float:
 
 
 def conditional_score(predicted: list[tuple[str, list[str]]], gold: list[tuple[str, list[str]]]) -> tuple[float, float, float, float]:
-    """(EM, EM with conditions, F1, F1 with conditions): the best assignment of at most five answers to the gold ones; answers too
+    """(EM, EM with conditions, F1, F1 with conditions): the best assignment of the first five answers, as the reference
+    gives no more to its scorer, to all gold ones; answers too
     many cost exp(1 - given / gold); a condition where gold has none makes the conditional score 0."""
     predicted = predicted[:MOST]
     if not gold:
@@ -93,12 +93,12 @@ def conditional_score(predicted: list[tuple[str, list[str]]], gold: list[tuple[s
         for j, (g, gc) in enumerate(gold):
             em, f1, c = float(_tokens(p) == _tokens(g)), _f1(_tokens(p), _tokens(g)), _f1(sorted(set(pc)), sorted(set(gc)))
             cell[i, j] = (em, em * c, f1, f1 * c)
-    small, large = min(len(predicted), n), max(len(predicted), n)
-    best = [0.0] * 4
-    for order in permutations(range(large), small):
-        pairs = [(i, o) if len(predicted) <= n else (o, i) for i, o in enumerate(order)]
-        for k in range(4):
-            best[k] = max(best[k], sum(cell[x][k] for x in pairs) / n)
+    best = []
+    for k in range(4):
+        most = [0.0] * (1 << len(predicted))  # the best sum of each set of given answers with the gold ones so far
+        for j in range(n):
+            most = [max([x] + [most[s ^ (1 << i)] + cell[i, j][k] for i in range(len(predicted)) if s >> i & 1]) for s, x in enumerate(most)]
+        best.append(max(most) / n)
     cost = math.exp(1 - len(predicted) / n) if len(predicted) > n else 1.0
     return tuple(x * cost for x in best)
 
@@ -111,7 +111,7 @@ def scored_answers(cells: DataFrame, key: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            s = [conditional_score(pairs(p), pairs(g)[:MOST]) for p, g in zip(b["answers"], b["gold"])]
+            s = [conditional_score(pairs(p), pairs(g)) for p, g in zip(b["answers"], b["gold"])]
             yield pd.DataFrame(s, columns=["em", "em_conditions", "f1", "f1_conditions"]).assign(**{key: b[key].to_numpy()})[[key, "em", "em_conditions", "f1", "f1_conditions"]]
 
     return cells.select(key, "answers", "gold").mapInPandas(run, f"{key} {dict(cells.dtypes)[key]}, em double, em_conditions double, f1 double, f1_conditions double")

@@ -116,28 +116,43 @@ def _witness(must: list[dict], must_not: list[dict]) -> bool:
 def partition(frames: DataFrame, key: str) -> DataFrame:
     """``frames`` (key, frame, is_default, attributes, outcome) to the regions of each key's case space: (key, inside, outcome,
     status). Every sign vector that some case satisfies is a region; the most specific frames inside decide, and if they
-    disagree the region is contested. A key has few frames; regions of more than ``MOST`` are refused."""
+    disagree the region is contested. Signs that no case satisfies are not carried on, so the work follows the number of regions."""
     kind = dict(frames.dtypes)[key]
-    packed = frames.groupBy(key).agg(F.slice(F.sort_array(F.collect_list(F.struct("frame", "outcome", "attributes"))), 1, MOST + 1).alias("frames"))
+    packed = frames.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("frame", "outcome", "attributes"))).alias("frames"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, *region) for k, own in zip(b[key], b["frames"]) for region in regions(list(own))]
+            rows = [(k, *region) for k, own in zip(b[key], b["frames"]) for region in every_region(list(own))]
             yield pd.DataFrame(rows, columns=[key, "inside", "outcome", "status"])
 
     return packed.mapInPandas(run, f"{key} {kind}, inside string, outcome string, status string")
 
 
 def regions(frames: list[dict]) -> list[tuple[str, str | None, str]]:
+    """As ``every_region``, refused for more than ``MOST`` frames."""
+    if len(frames) > MOST:
+        raise ValueError(f"more than {MOST} frames of one key")
+    return every_region(frames)
+
+
+MOST = 8
+
+
+def every_region(frames: list[dict]) -> list[tuple[str, str | None, str]]:
     """(inside, outcome, status) of every sign vector that some case satisfies."""
     n = len(frames)
-    if n > MOST:
-        raise ValueError(f"more than {MOST} frames of one key")
     scopes = [{a["name"]: a for a in f["attributes"]} for f in frames]
     out = []
-    for signs in product([True, False], repeat=n):
-        ins = [i for i in range(n) if signs[i]]
-        if not ins or not _satisfiable([scopes[i] for i in ins], [scopes[i] for i in range(n) if not signs[i]]):
+    open_signs = [()]
+    while open_signs:
+        signs = open_signs.pop()
+        ins = [i for i, sign in enumerate(signs) if sign]
+        if ins and not _satisfiable([scopes[i] for i in ins], [scopes[i] for i, sign in enumerate(signs) if not sign]):
+            continue
+        if len(signs) < n:
+            open_signs += [(*signs, False), (*signs, True)]
+            continue
+        if not ins:
             continue
         least = [i for i in ins if not any(j != i and _within(scopes[j], scopes[i]) for j in ins)]
         said = sorted({str(frames[i]["outcome"]) for i in least})
@@ -145,9 +160,6 @@ def regions(frames: list[dict]) -> list[tuple[str, str | None, str]]:
     return out
 
 
-MOST = 8
-
-
 def _within(a: dict, b: dict) -> bool:
     """Whether scope a is strictly inside scope b."""
     return not _satisfiable([a], [b]) and _satisfiable([b], [a])

@@ -165,3 +165,13 @@ def test_regions_of_nested_and_crossing_frames():
     assert got["b0"] == ("no", "settled") and got["b0 b1"] == ("yes", "settled") and got["b0 b1 b2"] == (None, "contested") and "b1" not in got
     with pytest.raises(ValueError):
         S.regions([base] * 9)
+
+
+def test_answers_and_regions_are_not_cut():
+    from quernstone.operators.matching import conditional_score
+
+    gold = [(f"word{i}", []) for i in range(7)]
+    assert conditional_score(gold[:5], gold) == pytest.approx((5 / 7,) * 4)
+    assert conditional_score([("x", []), *gold[5:]], gold) == pytest.approx((2 / 7,) * 4)
+    frames = [{"frame": f"f{i:02}", "outcome": str(i), "attributes": [{"name": "age", "kind": "numeric", "lo": 10.0 * i, "hi": 10.0 * i + 5}]} for i in range(12)]
+    assert [r[0] for r in S.every_region(frames)] == [f"f{i:02}" for i in range(12)]
