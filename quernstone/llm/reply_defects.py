@@ -4,7 +4,9 @@ Replies are read as JSON, in a fence or in prose, or as plain text. Checks of te
 what they can. Openings of the other replies are masked and gathered with the number of prompts and the share of replies that
 cite evidence; distinct openings are clustered by an exact similarity of 0.8 of their words. An opening
 that recurs across unrelated prompts, in replies that mostly cite nothing, is a refusal template; clusters with one lead of three
-words count together, so a template is found whatever it says it declines. Plain acts of declining are recognised besides.
+words count together, so a template is found whatever it says it declines. No list of phrases is used: a refusal whose opening no
+other prompt got is not known as one. What the checks and templates leave is tested for termination (``endings``): an answer whose
+last words nearly always go on elsewhere, or whose last word only begins a usual one, is truncated.
 
 Defined results: null and blank replies are empty; no answer is no defect where the question is not answerable; a cell whose
 question is missing is never a copy or in another language; repeated rows count once; empty tables give empty results; the
@@ -21,6 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernstone.llm.endings import cut_short
 from quernstone.plans.components import components
 from quernstone.plans.materialize import materialize
 from quernstone.plans.skew import salted_join
@@ -36,27 +39,17 @@ COPIED, ONLY = 0.65, 0.85
 #: By how many nats another language must be likelier than the question's.
 MARGIN = 2.0
 
-# Common function words and short replies of each language.
+# Common function words of each language, yes and no among them.
 COMMON = {
     "en": "yes no the of and to a in is it you that for on with as are be this not or by at from your have an can will if after before they do up must may how what which when i am".split(),
-    "cy": "ydw nac nid yw nad oes mae mae'r mae'n y yr yn i o ar a am gan gyda ei eich chi os neu ond hynny'n hynny bosibl cael ganiatáu bydd byddwch ni na oddi wrth hwn allaf faint gofynnwch drwg gen ddrwg fydda".split(),
-    "pl": "tak nie jest to i w z na do od po za się że o dla oraz możliwe dozwolone jeśli lub przez ile czy mogę proszę zapytać przykro mi wolno".split(),
-    "de": "ja nein das ist nicht möglich erlaubt der die den des ein eine und in zu mit von für auf sie können wenn nach bei oder kann leider".split(),
-    "fr": "oui non c'est ce n'est pas possible le la les des un une et de du à en pour avec sur que vous si ou je ne peux désolé est autorisé".split(),
-    "es": "sí no está permitido eso es posible el la los las un una y de del en para con por que si o se puede usted lo siento".split(),
+    "cy": "ie ydw nac na ni nid nad y yr yn i o a ac ar am at gan gyda heb er dros trwy wrth oddi ei eich eu chi os neu ond fel pan mae yw oes bydd oedd wedi hwn hon hyn hynny mae'r mae'n dim".split(),
+    "pl": "tak nie i w z na do od po za się że o dla oraz ale lub czy jak jest są był być to ten ta te który przez przy nad bez jeśli gdy tylko już może ile mi mu".split(),
+    "de": "ja nein das ist nicht der die den dem des ein eine und in zu mit von für auf sie er es wir ich kann wenn nach bei oder aber auch nur noch wird sind hat".split(),
+    "fr": "oui non le la les des un une et de du à en pour avec sur que qui ne pas est ce il elle vous nous je si ou mais plus par dans sont c'est".split(),
+    "es": "sí no el la los las un una y de del en para con por que se es son lo le su si o pero más como está este esta eso muy ya".split(),
 }
 # What stands for no answer.
 PLACEHOLDERS = frozenset("- -- --- – — . .. ... … ? n/a na n.a. none null nil unknown tbd todo tba undefined empty blank [] {} \"\" '' [blank] [answer] <answer> answer xxx _ __ ___".split())
-# Acts of declining.
-REFUSALS = (
-    r"\b(i|we) (must|have to|will have to) (decline|refuse)\b|\bi(?:'| a)m (?:sorry,? but i |afraid i )?(?:can(?:'|no)t|not able to|unable to|am not able)\b|"
-    r"\bi(?:'m| am) (not able|unable|not permitted|not allowed|not in a position|not qualified) to\b|\bi (can(?:'|no)t|cannot|won't|will not) (answer|help|assist|give|provide|comment|discuss|say|assess|advise)\b|"
-    r"\bi(?:'d| would) rather not\b|\bas an? (ai|language model|assistant)\b|\bmy guidelines\b|\bthis (assistant|service|system) (is not|cannot|can't|may not)\b|"
-    r"\bnot be appropriate for me\b|\bi don't feel comfortable\b|\bno answer can be (offered|given)\b|\bi have no view\b|\blet's talk about something else\b|\bi would need to be a\b|"
-    r"\boutside what i am here\b|\bplease take this question to\b|\bquestions of this kind are best left\b|\bonly a solicitor or the office itself\b|"
-    r"\bni allaf\b|\bni chaf\b|\bnid wyf (yn|i)\b|\bgofynnwch i\b|\bnie mogę\b|\bnie wolno mi\b|\bprzykro mi\b|\bproszę zapytać\b|"
-    r"\bich kann (ihnen )?(dazu |das |leider )?nicht\b|\bje ne peux pas\b|\bno puedo\b"
-)
 QUOTING = re.compile(r"^\W*(user question|the question is|question|you asked|you wrote|your question|prompt|user|q)\s*(was\s*)?[:\-–—]+\s*", re.I)
 NOTICE = re.compile(r"^\W*(truncated\b|output (was )?(stopped|truncated|cut)|response (was )?(truncated|cut off)|finish_reason\W+length|max(imum)? tokens? (limit )?reached)|\[(truncated|cut off)\]", re.I)
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
@@ -138,33 +131,34 @@ def copies(answer: str, question: str) -> bool:
     return sum(w in sa for w in q) / len(q) >= COPIED and sum(w in sq for w in a) / len(a) >= ONLY
 
 
-def checks(text: str | None, answers: list[str], question: str | None, not_answerable: bool, model: dict, cache: dict) -> tuple[str | None, str]:
-    """The defect that the checks find, if any, and the reply's own words."""
+def checks(text: str | None, answers: list[str], question: str | None, not_answerable: bool, model: dict, cache: dict) -> tuple[str | None, list[str]]:
+    """The defect that the checks find, if any, and the answers of the reply."""
     raw = (text or "").strip()
     given = [a.strip() for a in answers if a and a.strip().lower() not in PLACEHOLDERS and a.strip()]
     json = "{" in raw
     if NOTICE.search(raw):
-        return "truncated", ""
+        return "truncated", []
     if json and not complete_json(raw):
-        return "truncated", ""
-    reply = " ".join(given) if given else "" if json else raw
+        return "truncated", []
+    said = given or ([] if json else [raw])
+    reply = " ".join(said)
     if reply.lower() in PLACEHOLDERS or not reply:
-        return (None if not_answerable else "empty"), ""
+        return (None if not_answerable else "empty"), []
     if question:
         if copies(reply, question):
-            return "copies_question", reply
+            return "copies_question", said
         if question not in cache:
             cache[question] = scores(model, question)
         q = cache[question]
         a = scores(model, reply)
         at = max(range(len(q)), key=q.__getitem__)
         if max(a) - a[at] > MARGIN:
-            return "other_language", reply
-    return None, reply
+            return "other_language", said
+    return None, said
 
 
 def label_checks(cells: DataFrame, model: dict) -> DataFrame:
-    """``cells`` (cell_id, text, answers array<string>, n_evidence, question, not_answerable) to (cell_id, defect, reply, question, cites)."""
+    """``cells`` (cell_id, text, answers array<string>, n_evidence, question, not_answerable) to (cell_id, defect, said array<string>, prompt, cites)."""
     shared = cells.sparkSession.sparkContext.broadcast(model)  # the words of a bounded sample
     kind = cells.schema["cell_id"].dataType.simpleString()
 
@@ -174,10 +168,10 @@ def label_checks(cells: DataFrame, model: dict) -> DataFrame:
             if len(cache) > 100_000:
                 cache.clear()
             found = [checks(t, list(a) if a is not None else [], q, bool(n), m, cache) for t, a, q, n in zip(b["text"], b["answers"], b["question"], b["not_answerable"])]
-            yield pd.DataFrame({"cell_id": b["cell_id"], "defect": [f[0] for f in found], "reply": [f[1] for f in found], "prompt": b["prompt"], "cites": b["n_evidence"] > 0})
+            yield pd.DataFrame({"cell_id": b["cell_id"], "defect": [f[0] for f in found], "said": [f[1] for f in found], "prompt": b["prompt"], "cites": b["n_evidence"] > 0})
 
     return cells.select("cell_id", "text", "answers", "n_evidence", "question", "not_answerable", F.xxhash64("question").alias("prompt")).mapInPandas(
-        run, f"cell_id {kind}, defect string, reply string, prompt bigint, cites boolean"
+        run, f"cell_id {kind}, defect string, said array<string>, prompt bigint, cites boolean"
     )
 
 
@@ -243,11 +237,12 @@ def sample_languages(documents: DataFrame, per_language: int = 300) -> list[tupl
 def reply_defects(cells: DataFrame, model: dict) -> DataFrame:
     """(cell_id, defect) of the defective cells; ``cells`` as for ``label_checks``."""
     labelled = materialize(label_checks(cells, model), "checked")
-    rest = labelled.where("defect IS NULL AND reply <> ''").withColumn("opening", opening(F.col("reply")))
-    templates = refusal_templates(rest).withColumn("template", F.lit(True))
-    judged = salted_join(rest, templates, "opening", "left")
-    declined = judged.where(F.coalesce("template", F.lit(False)) | F.lower("reply").rlike(REFUSALS)).select("cell_id", F.lit("refusal").alias("defect"))
-    return labelled.where("defect IS NOT NULL").select("cell_id", "defect").unionByName(declined).distinct()
+    rest = labelled.where("defect IS NULL AND size(said) > 0")
+    templates = refusal_templates(rest.withColumn("opening", opening(F.array_join("said", " "))))
+    declined = salted_join(rest.select("cell_id", opening(F.array_join("said", " ")).alias("opening")), templates, "opening", "left_semi").select("cell_id").distinct()
+    cut = cut_short(rest.select(F.col("cell_id").alias("id"), F.col("said").alias("texts"))).withColumnRenamed("id", "cell_id")
+    found = declined.withColumn("defect", F.lit("refusal")).unionByName(cut.join(declined, "cell_id", "left_anti").withColumn("defect", F.lit("truncated")))
+    return labelled.where("defect IS NOT NULL").select("cell_id", "defect").unionByName(found).distinct()
 
 
 def result_defects(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,7 +73,7 @@ def test_templates_reveal_refusals(spark):
     data += [(20, "Sorry, I am unable to discuss this topic", [], 0, "Can I claim it?", False, None, None), (20, "Sorry, I am unable to discuss this topic", [], 0, "Can I claim it?", False, None, None), (21, None, None, 0, None, None, None, None), (22, "a " * 50_000 + "word", [], 0, None, False, None, None)]
     d = spark.createDataFrame(data, cells).withColumn("not_answerable", F.coalesce("not_answerable", F.lit(False)))
     got = dict(rows(reply_defects.reply_defects(d, MODEL), "cell_id", "defect"))
-    assert got == {**{i: "refusal" for i in range(6)}, 20: "refusal", 21: "empty"}
+    assert got == {**{i: "refusal" for i in range(6)}, 21: "empty"}  # one prompt alone makes no template
     assert reply_defects.reply_defects(d.limit(0), MODEL).count() == 0
 
 
@@ -114,8 +114,19 @@ def test_openings_link_as_by_brute_force(spark):
 
 def test_refusal_behind_a_long_preamble(spark):
     cells = "cell_id int, text string, answers array<string>, n_evidence int, question string, not_answerable boolean"
-    d = spark.createDataFrame([(1, "The rules of the grant are many and the office has them. " * 12 + "I cannot answer this question.", [], 1, "Can I claim the grant?", False)], cells)
-    assert rows(reply_defects.reply_defects(d, MODEL), "cell_id", "defect") == [(1, "refusal")]
+    said = "The rules of the grant are many and the office has them. " * 12 + "I cannot answer this question."
+    d = spark.createDataFrame([(i, said, [], 0, f"Can I claim the grant {i}?", False) for i in range(3)], cells)
+    assert rows(reply_defects.reply_defects(d, MODEL), "cell_id", "defect") == [(i, "refusal") for i in range(3)]
+
+
+def test_answers_cut_inside_a_whole_reply(spark):
+    cells = "cell_id int, text string, answers array<string>, n_evidence int, question string, not_answerable boolean"
+    whole = "the higher rate is paid for {} weeks after the birth of the child".format
+    said = {i: [whole(i + 5)] for i in range(40)}
+    said |= {50: ["the higher rate is paid for 12 weeks after the"], 51: ["the higher rate is paid for 12 weeks after the birth of the chi"], 52: ["yes", "the higher rate is pa"], 53: ["the higher rate"], 54: ["yes"], 55: ["it is unlike all others"], 56: [None, ""]}
+    d = spark.createDataFrame([(i, "x", a, 1, None, False) for i, a in said.items()] + [(50, "x", said[50], 1, None, False)], cells)
+    got = rows(reply_defects.reply_defects(d, MODEL).where("defect = 'truncated'"), "cell_id")
+    assert got == [(50,), (51,), (52,), (53,)]
 
 
 # 3 ------------------------------------------------------------------------------------------------------------------------
