@@ -13,7 +13,7 @@ from quernstone.plans.materialize import discard, materialize
 from quernstone.plans.skew import salted_join
 
 
-def _flatten(hooks: DataFrame) -> DataFrame:
+def flatten(hooks: DataFrame) -> DataFrame:
     """Pointer jumping: (node, root) until every root is its own root. Hooks always go to smaller nodes: no cycles."""
     while True:
         up = hooks.select(F.col("node").alias("root"), F.col("root").alias("__up"))
@@ -38,7 +38,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     rounds: list[DataFrame] = []
     while not links.isEmpty():
         # the larger end of each link hooks to its least neighbour; ends that are nobody's larger end are roots
-        hooks = _flatten(materialize(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")), "hooks"))
+        hooks = flatten(materialize(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")), "hooks"))
         rounds.append(hooks)
         ra, rb = (hooks.select(F.col("node").alias(c), F.col("root").alias(f"__{c}")) for c in "ab")
         # after hooking, every b has a root; an a without a hook is itself a root
