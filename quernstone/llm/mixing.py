@@ -123,23 +123,29 @@ def p7_mix(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> Data
     return mix(sizes, materialize(allocate(sizes, table(spark, sf_dir, "mix_targets")), "plan"))
 
 
-def p7_shares(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Per source: its target and the share really reached."""
-    sizes = _sizes(spark, sf_dir, tokenizer)
-    plan = materialize(allocate(sizes, table(spark, sf_dir, "mix_targets")), "plan")
+def reached(sizes: DataFrame, plan: DataFrame) -> DataFrame:
+    """A row for each target with what the drawn mix holds of it. A source falls short if the mix holds fewer tokens of it than its
+    target although every document is used as often as it may be."""
     got = mix(sizes, plan).groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("n_tokens"), F.sum("copies").alias("n_copies"), F.max("copies").alias("most_copies"))
-    out = plan.join(got, "source", "left").fillna(0, ["n_tokens", "n_copies", "most_copies"])
+    out = plan.drop("short").join(got, "source", "left").fillna(0, ["n_tokens", "n_copies", "most_copies"])
+    spent = F.col("n_copies") >= F.col("n_documents") * F.greatest("max_repeats", F.lit(0))
     every = Window.partitionBy(F.lit(0))  # a row for each target
     return out.select(
-        "source", "target_share", "max_repeats", "n_documents", "n_tokens", "n_copies", "most_copies", "short",
+        "source", "target_share", "max_repeats", "n_documents", "n_tokens", "n_copies", "most_copies",
+        ((F.col("own") == 0) | spent & (F.col("n_tokens") < F.col("want"))).alias("short"),
         F.try_divide("n_tokens", F.sum("n_tokens").over(every)).alias("share"), F.try_divide("n_tokens", "total").alias("share_of_all"),
     )
 
 
+def p7_shares(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    """Per source: its target and the share really reached."""
+    sizes = _sizes(spark, sf_dir, tokenizer)
+    return reached(sizes, materialize(allocate(sizes, table(spark, sf_dir, "mix_targets")), "plan"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Sources that fall short of their target."""
-    shares = materialize(p7_shares(spark, sf_dir, tokenizer), "shares")  # else the plan drops the join with the mix, and nothing is sampled
-    return shares.where("short").select("source")
+    """Sources that fall short of their target in the mix that was drawn."""
+    return p7_shares(spark, sf_dir, tokenizer).where("short").select("source")
 
 
 QUERIES = {"p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares}

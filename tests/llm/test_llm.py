@@ -28,10 +28,31 @@ def test_groups_conflicts_and_new_records(spark, tmp_path):
     assert {k for k, r in got.items() if r["quarantined"]} == {"q1", "q2", "q3"}
     assert got["q1"]["component"] == got["q3"]["component"] and got["q4"]["component"] == got["q7"]["component"]
     assert got["q4"]["split"] == got["q7"]["split"] == "dev" and got["q5"]["split"] == "train"
-    assert all(r["split"] in grouped_splits.RATIOS for r in got.values())
+    assert all(r["quarantined"] == (r["split"] is None) for r in got.values()) and all(r["split"] in grouped_splits.RATIOS for r in got.values() if r["split"])
     # a later run: q8 joins q4's component through the store and takes its split; nothing stored moves
     later = grouped_splits.update_components(spark.createDataFrame([("q8", ["asker|z"], None, None, None)], RECORD), links.limit(0), store=store).collect()
-    assert [(r["id"], r["split"], r["quarantined"]) for r in later] == [("q8", "dev", False)]
+    assert [(r["id"], r["split"], r["quarantined"], r["n_component"]) for r in later] == [("q8", "dev", False, 3)]
+    # a new record of a quarantined component is quarantined; q1 delivered again is no further record
+    more = [("q9", ["asker|a"], None, None, None), ("q1", ["doc|1"], "train", None, None)]
+    later = grouped_splits.update_components(spark.createDataFrame(more, RECORD), links.limit(0), store=store).collect()
+    assert sorted((r["id"], r["split"], r["quarantined"], r["n_component"]) for r in later) == [("q1", None, True, 4), ("q9", None, True, 4)]
+    # a merge of two stored components with different splits is quarantined, and so is what comes after
+    for batch in ([("q10", ["asker|z", "asker|b5"], None, None, None), ("q11", ["asker|b5"], "train", None, None)], [("q12", ["doc|9"], None, None, None)]):
+        later = grouped_splits.update_components(spark.createDataFrame(batch, RECORD), links.limit(0), store=store).collect()
+        assert all(r["quarantined"] and r["split"] is None for r in later)
+    kept = {r["id"]: r for r in grouped_splits.stored_splits(spark, store).collect()}
+    assert set(kept) == {f"q{i}" for i in range(1, 13)} and {k for k, r in kept.items() if r["quarantined"]} == {"q1", "q2", "q3", "q4", "q7", "q8", "q9", "q10", "q11", "q12"}
+    assert kept["q4"]["component"] == kept["q11"]["component"] and kept["q4"]["n_component"] == 6 and kept["q5"]["split"] == "train"
+
+
+def test_deficits_are_those_of_all_that_is_stored(spark, tmp_path):
+    none = spark.createDataFrame([], "a string, b string")
+    store = f"file://{tmp_path}/store"
+    for lo, split in ((0, "train"), (600, None)):
+        data = [(f"q{i}", [f"doc|{i}"], split, None, None) for i in range(lo, lo + 600 - lo // 3)]
+        grouped_splits.update_components(spark.createDataFrame(data, RECORD), none, store=store).count()
+    got = {r["split"]: r["count"] / 1000 for r in grouped_splits.stored_splits(spark, store).groupBy("split").count().collect()}
+    assert got == pytest.approx(grouped_splits.RATIOS, abs=0.03)
 
 
 def test_shares_follow_the_ratios(spark):
