@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +86,13 @@ class Ballots:
         np.exp(out, out=out)
         return out / out.sum(axis=1, keepdims=True)
 
+    def log_likelihood(self, p: np.ndarray, prior: np.ndarray) -> float:
+        """Of all labels, their items' classes summed out."""
+        log_p = np.log(np.take_along_axis(p, self.label[:, None, None], axis=2)[:, :, 0] + 1e-30)
+        z = self.per_item(log_p) + np.log(prior)
+        top = z.max(axis=1)
+        return float((top + np.log(np.exp(z - top[:, None]).sum(axis=1))).sum())
+
     def item_tilts(self, sigma: np.ndarray, post: np.ndarray, weight: float, steps: int) -> np.ndarray:
         """Dual ascent in the items' tilts, given posteriors and annotators' tilts."""
         w = post[self.item][:, :, None]
@@ -107,28 +115,30 @@ def _added(parts: DataFrame) -> np.ndarray | None:
     return sum(np.frombuffer(bytes(r["sums"])) for r in rows) if rows else None
 
 
-def minimax_entropy(votes: DataFrame, rounds: int = 12, annotator_weight: float = 2.0, item_weight: float = 4.0, steps: int = 2) -> tuple[DataFrame, DataFrame]:
+def minimax_entropy(votes: DataFrame, rounds: int = 40, tolerance: float = 2e-4, annotator_weight: float = 2.0, item_weight: float = 4.0, steps: int = 2) -> tuple[DataFrame, DataFrame]:
     """``votes`` (item, annotator, label) to posteriors (item, posterior array<double>, n_votes, agreement, entropy) and
     annotators (annotator, n_items, reliability, matrix).
 
+    Rounds end when the log-likelihood of the labels rises by less than ``tolerance`` of itself, or after ``rounds``.
+
     Annotators are people: their tilts, 576 bytes each, are held on the driver and sent to every task.
     """
     spark = votes.sparkSession
     k, m = len(CLASSES), LABELS
     names = [r["annotator"] for r in votes.select("annotator").distinct().orderBy("annotator").collect()]
     people = spark.createDataFrame(list(zip(names, range(len(names)))), "annotator string, who int")
-    packed = materialize(votes.join(F.broadcast(people), "annotator").groupBy("item").agg(F.sort_array(F.collect_list(F.struct("who", "label"))).alias("v")).select("item", F.col("v.who").alias("who"), F.col("v.label").alias("label")), "ballots")  # an item has as many labels as annotators at most
+    packed = materialize(votes.join(people, "annotator").groupBy("item").agg(F.sort_array(F.collect_list(F.struct("who", "label"))).alias("v")).select("item", F.col("v.who").alias("who"), F.col("v.label").alias("label")), "ballots")  # an item has as many labels as annotators at most
     n = max(1, len(names))
     compatible = np.eye(m)[:k].copy()
     compatible[FIRST_SCOPE:, OPEN] = 1
     sigma = np.tile(np.log(0.7 * compatible / compatible.sum(axis=1, keepdims=True) + 0.3 / m), (n, 1, 1))
-    prior = np.full(k, 1 / k)
+    prior, before = np.full(k, 1 / k), -np.inf
     for r in range(rounds if names else 0):
         shared = spark.sparkContext.broadcast((sigma.astype(np.float32), prior.astype(np.float32), r > 0))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             s, pr, tilt = shared.value
-            seen, expected, curve, mass, count = np.zeros_like(s), np.zeros_like(s), np.zeros_like(s), np.zeros(len(pr)), 0
+            seen, expected, curve, mass, fit = np.zeros_like(s), np.zeros_like(s), np.zeros_like(s), np.zeros(len(pr)), 0.0
             for b in batches:
                 if not len(b):
                     continue
@@ -144,16 +154,16 @@ def minimax_entropy(votes: DataFrame, rounds: int = 12, annotator_weight: float
                 v.add_per_person(expected, wp)
                 v.add_per_person(curve, wp * (1 - p))
                 mass += post.sum(axis=0)
-                count += v.n
-            sums = np.concatenate([x.ravel().astype(np.float64) for x in (seen, expected, curve, mass)])
-            yield pd.DataFrame({"salt": np.array([count % 64], dtype=np.int32), "sums": [sums.tobytes()]})
+                fit += v.log_likelihood(p, pr)
+            sums = np.concatenate([*(x.ravel().astype(np.float64) for x in (seen, expected, curve, mass)), [fit]])
+            yield pd.DataFrame({"salt": np.array([TaskContext.get().partitionId() % 64], dtype=np.int32), "sums": [sums.tobytes()]})
 
         total = _added(packed.select("who", "label").mapInPandas(run, "salt int, sums binary"))
         if total is None:
             break
         size = n * k * m
         seen, expected, curve = (total[i * size : (i + 1) * size].reshape(n, k, m) for i in range(3))
-        mass = total[3 * size :]
+        mass, fit = total[3 * size : -1], total[-1]
         if r == 0:  # counts as a start: what the plain posteriors say of each annotator
             smooth = 1.5 * compatible / compatible.sum(axis=1, keepdims=True) + 0.15
             sigma = np.log((seen + smooth) / (seen + smooth).sum(axis=2, keepdims=True))
@@ -162,6 +172,9 @@ def minimax_entropy(votes: DataFrame, rounds: int = 12, annotator_weight: float
             sigma = sigma + (seen - expected - (sigma - base) * 0.1 * annotator_weight) / (curve + 0.1 * annotator_weight)
             sigma = np.clip(sigma - sigma.max(axis=2, keepdims=True), -9, 0)
         prior = (mass + 1) / (mass.sum() + k)
+        if r > 1 and fit - before < tolerance * abs(fit):
+            break
+        before = fit
     shared = spark.sparkContext.broadcast((sigma.astype(np.float32), prior.astype(np.float32)))
     kind = votes.schema["item"].dataType.simpleString()
 
@@ -175,7 +188,8 @@ def minimax_entropy(votes: DataFrame, rounds: int = 12, annotator_weight: float
             post = own.posterior(own.probabilities(s, own.item_tilts(s, post, item_weight, steps)), pr).astype(np.float64)
             counts = own.per_item(own.given)
             v = counts.sum(axis=1)
-            pairs = (counts * (counts - 1)).sum(axis=1)
+            # conditional with the scope left open agrees with conditional in any scope
+            pairs = (counts * (counts - 1)).sum(axis=1) + 2 * counts[:, OPEN] * counts[:, FIRST_SCOPE:OPEN].sum(axis=1)
             with np.errstate(invalid="ignore", divide="ignore"):
                 agree = np.where(v > 1, pairs / (v * (v - 1)), np.nan)
             yield pd.DataFrame({"item": b["item"], "posterior": list(post), "n_votes": v.astype("int64"), "agreement": pd.Series(agree).where(~np.isnan(agree), None), "entropy": -(post * np.log(post + 1e-300)).sum(axis=1)})
@@ -219,5 +233,45 @@ def p5_annotators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minimax_entropy(votes)[1].drop("matrix")
 
 
-QUERIES = {"p5_found": p5_found, "p5_consensus": p5_consensus, "p5_annotators": p5_annotators}
-ORACLES: dict[str, str] = {}
+def krippendorff(votes: DataFrame, unit: str, value: str, name: str) -> DataFrame:
+    """(level, n_items, n_labels, observed, expected, alpha): agreement over all units with two labels or more, corrected for chance
+    (nominal alpha). One row; alpha is null where all labels are one."""
+    cells = votes.where(F.col(value).isNotNull()).groupBy(unit, value).agg(F.count(F.lit(1)).alias("n"))
+    sizes = cells.groupBy(unit).agg(F.sum("n").alias("m"), F.sum(F.col("n") * (F.col("n") - 1)).alias("same")).where("m > 1")
+    seen = sizes.agg(F.count(F.lit(1)).alias("n_items"), F.sum("m").alias("n_labels"), F.sum(F.col("same") / (F.col("m") - 1)).alias("agree"))
+    totals = cells.join(sizes.select(unit), unit, "left_semi").groupBy(value).agg(F.sum("n").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1)).alias("chance"))
+    d = seen.crossJoin(F.broadcast(totals))  # one row each
+    n = F.col("n_labels").cast("double")
+    return d.select(
+        F.lit(name).alias("level"), "n_items", "n_labels", F.round(F.col("agree") / n, 6).alias("observed"), F.round(F.col("chance") / (n * (n - 1)), 6).alias("expected"),
+        F.round(1 - F.try_divide(1 - F.col("agree") / n, 1 - F.col("chance") / (n * (n - 1))), 6).alias("alpha"),
+    )
+
+
+def p5_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement of all annotators over all items: on the type, and on the scope of what both call conditional with a scope."""
+    votes = materialize(ballots(table(spark, sf_dir, "label_passes")), "votes")
+    names = F.array(*map(F.lit, (*TYPES, *["conditional"] * (len(SCOPES) + 1))))
+    kinds = F.element_at(names, F.col("label") + 1)
+    scopes = F.when((F.col("label") >= FIRST_SCOPE) & (F.col("label") < OPEN), F.col("label"))
+    v = votes.select("item", kinds.alias("kind"), scopes.alias("scope"))
+    return krippendorff(v, "item", "kind", "conflict_type").unionByName(krippendorff(v, "item", "scope", "scope_relation"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_consensus": p5_consensus, "p5_annotators": p5_annotators, "p5_agreement": p5_agreement}
+ORACLES = {
+    "p5_agreement": r"""
+WITH b AS (SELECT instance_id AS item, annotator, try_cast(labelled_at AS TIMESTAMPTZ) AS ts, regexp_replace(lower(trim(conflict_type)), '[\s_-]+', '_', 'g') AS t,
+  regexp_replace(lower(trim(scope_relation)), '[\s_-]+', '_', 'g') AS s FROM label_passes WHERE instance_id IS NOT NULL AND annotator IS NOT NULL),
+l AS (SELECT item, annotator, ts, CASE WHEN list_contains(['no_conflict', 'temporal', 'factual', 'opinion'], t) THEN list_position(['no_conflict', 'temporal', 'factual', 'opinion'], t) - 1
+  WHEN t = 'conditional' THEN coalesce(list_position(['refinement', 'disjoint', 'redundant', 'opposed'], s) + 3, 8) END AS label FROM b),
+v AS (SELECT item, max(x).label AS label FROM (SELECT item, annotator, {'ts': ts, 'label': label} AS x FROM l WHERE label IS NOT NULL AND ts IS NOT NULL) GROUP BY item, annotator),
+k AS (SELECT 'conflict_type' AS level, item, CASE WHEN label >= 4 THEN 'conditional' ELSE label::VARCHAR END AS value FROM v
+  UNION ALL SELECT 'scope_relation', item, label::VARCHAR FROM v WHERE label BETWEEN 4 AND 7),
+c AS (SELECT level, item, value, count(*) AS n FROM k GROUP BY ALL),
+z AS (SELECT level, item, sum(n) AS m, sum(n * (n - 1)) AS same FROM c GROUP BY ALL HAVING sum(n) > 1),
+o AS (SELECT level, count(*) AS n_items, sum(m) AS n, sum(same / (m - 1)) AS agree FROM z GROUP BY level),
+e AS (SELECT level, sum(t * (t - 1)) AS chance FROM (SELECT level, value, sum(n) AS t FROM c SEMI JOIN z USING (level, item) GROUP BY level, value) GROUP BY level)
+SELECT level, n_items, n::BIGINT AS n_labels, round(agree / n, 6) AS observed, round(chance / (n * (n - 1)), 6) AS expected, round(1 - (1 - agree / n) / (1 - chance / (n * (n - 1))), 6) AS alpha FROM o JOIN e USING (level)
+"""
+}

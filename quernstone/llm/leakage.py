@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,7 +118,7 @@ def inverse_document_frequencies(documents: DataFrame) -> tuple[np.ndarray, int]
                 df[-1] += bool(own)
             if seen:
                 np.add.at(df, term_ids(list(seen), known), np.fromiter(seen.values(), dtype=np.int64))
-        yield _emit(df, int(df[-1]) % 64)
+        yield _emit(df, TaskContext.get().partitionId() % 64)
 
     total = _summed(documents.select("text").mapInPandas(run, "part int, salt int, sums binary"), "int64")
     n = int(total[-1]) if total is not None else 0
@@ -151,7 +152,7 @@ def latent_rows(documents: DataFrame, idf: np.ndarray, n: int, fit_documents: in
                     z[own] += np.add.reduceat(y[row[order]], first, axis=0) * w[own][:, None]
                     seen += len(docs)
             if seen:
-                yield _emit(z.ravel(), seen % 8)
+                yield _emit(z.ravel(), TaskContext.get().partitionId() % 8)
 
         z = _summed(sample.mapInPandas(run, "part int, salt int, sums binary"), "float32")
         if z is None:
