@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.endings import cut_short
+from quernstone.llm.endings import ENDED, beginnings, masked_tokens, open_ends
 from quernstone.plans.components import components
 from quernstone.plans.materialize import materialize
 from quernstone.plans.skew import salted_join
@@ -36,6 +36,8 @@ OPENING, LEAD = 12, 3
 PROMPTS, CITING = 3, 0.5
 #: Share of the question that the answer repeats, and of the answer that repeats the question.
 COPIED, ONLY = 0.65, 0.85
+#: Words of an answer are evidence of where answers end once they stand so often elsewhere.
+ANSWERS = 3
 #: By how many nats another language must be likelier than the question's.
 MARGIN = 2.0
 
@@ -234,13 +236,44 @@ def sample_languages(documents: DataFrame, per_language: int = 300) -> list[tupl
     return [(r["lang"], r["text"] or "") for r in d.where(keep).select("lang", "text").limit(2 * per_language * len(COMMON)).collect()]
 
 
+def _answer_ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A: an answer as masked words, and its last word with the one before it. B: how often a word stands behind another."""
+    for b in batches:
+        pairs, out = Counter(), []
+        for key, texts in zip(b["id"], b["texts"]):
+            for own in map(masked_tokens, texts):
+                if own:
+                    pairs.update(map(" ".join, zip(["^", *own], own)))
+                    word = own[-1] if own[-1][0].isalpha() and own[-1] != "X" else None
+                    out.append(("A", key, " ".join(own), f"{own[-2] if len(own) > 1 else '^'} {word}" if word else None, 1))
+        yield pd.DataFrame([*out, *(("B", None, None, p, n) for p, n in pairs.items())], columns=["kind", "id", "v", "pair", "n"])
+
+
+def cut_answers(replies: DataFrame) -> DataFrame:
+    """``replies`` (id, texts array<string>) to the distinct ids of which some answer was cut: its words nearly always go on elsewhere,
+    or its last word only begins one that stands behind the same word. Blank and unlike answers are not cut: nothing tells."""
+    kind = dict(replies.dtypes)["id"]
+    texts = F.filter("texts", lambda t: t.isNotNull())
+    read = materialize(replies.select("id", texts.alias("texts")).mapInPandas(_answer_ends, f"kind string, id {kind}, v string, pair string, n bigint"), "answer-ends")
+    answers = read.where("kind = 'A'")
+    values = materialize(answers.groupBy("v", "pair").agg(F.count(F.lit(1)).alias("n")), "answers")
+    open_ = open_ends(values, values, ANSWERS).select("v", F.lit(None).cast("string").alias("pair"))
+    pairs = read.where("kind = 'B'").groupBy("pair").agg(F.sum("n").alias("n"))
+    first = F.substring_index("pair", " ", 1)
+    longer = pairs.where(F.col("n") >= ANSWERS).select(F.explode(beginnings(F.substring_index("pair", " ", -1))).alias("start"), first.alias("first"), F.col("n").alias("longer"))
+    longer = longer.groupBy(F.concat_ws(" ", "first", "start").alias("pair")).agg(F.max("longer").alias("longer"))
+    stubs = values.select("pair").where("pair IS NOT NULL").distinct().join(pairs, "pair").join(longer, "pair").where(F.col("n") <= ENDED * F.col("longer")).select("pair")
+    cut = values.join(open_.select("v").distinct(), "v", "left_semi").unionByName(values.join(stubs, "pair", "left_semi")).select("v").distinct()
+    return salted_join(answers.select("id", "v"), materialize(cut, "cut-answers"), "v", "left_semi").select("id").distinct()
+
+
 def reply_defects(cells: DataFrame, model: dict) -> DataFrame:
     """(cell_id, defect) of the defective cells; ``cells`` as for ``label_checks``."""
     labelled = materialize(label_checks(cells, model), "checked")
     rest = labelled.where("defect IS NULL AND size(said) > 0")
     templates = refusal_templates(rest.withColumn("opening", opening(F.array_join("said", " "))))
     declined = salted_join(rest.select("cell_id", opening(F.array_join("said", " ")).alias("opening")), templates, "opening", "left_semi").select("cell_id").distinct()
-    cut = cut_short(rest.select(F.col("cell_id").alias("id"), F.col("said").alias("texts"))).withColumnRenamed("id", "cell_id")
+    cut = cut_answers(rest.select(F.col("cell_id").alias("id"), F.col("said").alias("texts"))).withColumnRenamed("id", "cell_id")
     found = declined.withColumn("defect", F.lit("refusal")).unionByName(cut.join(declined, "cell_id", "left_anti").withColumn("defect", F.lit("truncated")))
     return labelled.where("defect IS NOT NULL").select("cell_id", "defect").unionByName(found).distinct()
 

@@ -1,14 +1,13 @@
 """Text cut off by field limits, found by a self-join by prefix.
 
-A text is cut into units: lines, and sentences inside paragraphs (wrapped lines are joined first). Names and numbers in a unit
-are masked, so that a unit has copies elsewhere. The last unit of each text is a value, and so is every unit; values are grouped
-by a fixed-length prefix and sorted inside the group, where all that a value begins stand right behind it; the most frequent of
-them counts. A last unit that begins a longer unit, and hardly ever stands as a whole itself, was cut off. The same self-join
-on single words finds a last word that begins a longer spoken word and occurs nowhere else. Marks of omission, and prose that ends
-without a stop, are found by a check of the ending.
+A text is cut into units: lines, and sentences inside paragraphs (wrapped lines are joined first). Whole texts have no longer copy
+elsewhere, but their last unit has: names and numbers are masked, and the last unit, and its last words, are joined by hash with
+all units that go on behind the same words (``endings``). A last unit whose words nearly always go on was cut off. The same
+self-join on single words finds a last word that begins a longer spoken word and occurs nowhere else. Marks of omission are read
+as they stand.
 
 Defined results: null and blank texts are not cut; repeated rows count once; a doc_id delivered with several texts is cut if one
-of them is; empty tables give empty results; texts may be of any length.
+of them is; a last unit like no other is not cut, as nothing tells; empty tables give empty results; texts may be of any length.
 """
 from __future__ import annotations
 
@@ -17,39 +16,24 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.plans.materialize import materialize
+from quernstone.llm.endings import beginnings, masked_tokens, open_ends
+from quernstone.plans.materialize import discard, materialize
+from quernstone.plans.skew import salted_join
 from quernstone.sources.tables import table
 
-#: Length of the prefix by which values are grouped; shorter last units are compared with the prefixes themselves.
-PREFIX = 16
-SHORT = 4
-#: A last unit with longer copies is whole if it stands as a whole at least this often for each copy of the most frequent longer unit.
-WHOLE_SHARE = 0.3
-NAME_SHARE = 0.05
-#: A closing line without longer copies that so many texts have is a form of its own.
-USUAL = 3
+#: Words of a last unit are evidence once they stand so often elsewhere; behind a name, with so many other words.
+SEEN, NAME_WORDS = 10, 2
 
 OMISSION = r"(\.\.\.+|…|\[(…|\.\.\.+)\]|\((…|\.\.\.+)\)|\[?\b(truncated|cut off)\]?)\s*$"
 CLOSED = r"[.!?][\"'”’)\]*]*$"
-# Words that open a sentence and no name.
-OPENERS = r"^(The|A|An|Your|You|If|When|Where|For|From|Since|Until|In|On|At|As|Along|After|Under|Without|With|No|Some|Someone|People|Holders|Staff|Keep|Send|Tell)\b"
-# Openings of closing lines, which end a text without a stop.
-TAILS = (
-    r"(?i)^(thanks|thank you|many thanks|best wishes|best regards|kind regards|warm regards|regards|yours|sincerely|cheers|hope (this|that)|"
-    r"contact|phone|tel|telephone|fax|e-?mail|web|address|filed under|tags?|more|see also|related|source|last (changed|updated|reviewed)|updated|"
-    r"published|form|ref|reference|version|page|read the full|visit|posted|written|signed|copyright|note|ends?|p\.?s\.?)\b"
-)
-
 
 UPPER = "".join(c for c in map(chr, range(0x530)) if c.isupper())
 LOWER = "".join(c for c in map(chr, range(0x530)) if c.islower())
 _WRAP = re.compile(rf"[ \t]*\n(?:> ?)?(?=[{LOWER}£€$\d])(?!\d{{1,2}} [{UPPER}]\w+ \d+(?:\n|$))")
 _STOP = re.compile(rf"[.!?][\"”’)]*\s+(?=[{UPPER}“\"(])")
-_FIGURE = re.compile(r"\d[\d,.]*\d|\d")
-_NAME = re.compile(rf"[{UPPER}][\w'’-]*")
 _WORD = re.compile(r"(?<!\w)[^\W\d_]+(?:['’-][^\W\d_]+)*(?!\w)")
 _LAST_WORD = re.compile(r"(?<!\w)[^\W\d_]+(?:['’-][^\W\d_]+)*$")
 _OMISSION, _CLOSED = re.compile(OMISSION, re.I), re.compile(CLOSED)
@@ -67,62 +51,28 @@ def units(text: str) -> list[str]:
     return [u for u in out if u]
 
 
-def masked(text: str) -> str:
-    """Names as X, numbers as 9. The stop stays: a sentence without it begins the same sentence with it."""
-    return _NAME.sub("X", _FIGURE.sub("9", text))
-
-
-EXTRACT = "kind string, doc_id {}, source string, omitted boolean, closed boolean, v string, word string, tail string, line string, n bigint"
+EXTRACT = "kind string, doc_id {}, source string, omitted boolean, closed boolean, v string, word string, n bigint"
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of each batch: the last units (L), how often each masked unit stands before others (V), and each word (W)."""
-    names = ["kind", "doc_id", "source", "omitted", "closed", "v", "word", "tail", "line", "n"]
     for b in batches:
         last, values, words = [], Counter(), Counter()
         for doc_id, source, text in zip(b["doc_id"], b["source"], b["text"]):
             own = units(text) if text else []
             if not own:
                 continue
-            omitted = bool(_OMISSION.search(text))
             tail = _OMISSION.sub("", own[-1]).strip()
             word = _LAST_WORD.search(tail)
-            last.append(("L", doc_id, source, omitted, bool(_CLOSED.search(own[-1])), masked(tail), word[0] if word else "", tail, text.rstrip().rpartition("\n")[2], 1))
-            body = "\x00".join(own[:-1])
-            values.update(v for v in masked(body).split("\x00") if v)
-            words.update(set(_WORD.findall(body)))
-        last += [("V", None, None, None, None, v, None, None, None, n) for v, n in values.items()]
-        last += [("W", None, None, None, None, None, w, None, None, n) for w, n in words.items()]
-        yield pd.DataFrame(last, columns=names)
-
-
-def _longer(values: DataFrame, key: Column, value: str, count: str) -> DataFrame:
-    """Of each distinct value: the largest count of the values in its group of which it is a strict prefix, 0 if there is none."""
-    names = [*values.columns, "n_longer"]
-    at, n_at = names.index(value), names.index(count)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[list] = []  # the values that begin the one at hand, each a prefix of the next, with their largest counts
-        for b in batches:
-            out = []
-            for row in b.itertuples(index=False, name=None):
-                while held and not row[at].startswith(held[-1][0][at]):
-                    out.append(_closed(held, n_at))
-                held.append([row, 0])
-            yield pd.DataFrame(out, columns=names)
-        yield pd.DataFrame([_closed(held, n_at) for _ in range(len(held))], columns=names)
-
-    # in the order of the bytes, values that one begins stand right behind it
-    ordered = values.repartition(key).sortWithinPartitions(F.encode(value, "UTF-8"))
-    return ordered.mapInPandas(run, ", ".join(f"{c} {t}" for c, t in values.dtypes) + ", n_longer bigint")
-
-
-def _closed(held: list[list], n_at: int) -> tuple:
-    """Takes off the last value, and hands its counts to the one that begins it."""
-    row, most = held.pop()
-    if held:
-        held[-1][1] = max(held[-1][1], most, row[n_at])
-    return (*row, most)
+            last.append(("L", doc_id, source, bool(_OMISSION.search(text)), bool(_CLOSED.search(own[-1])), " ".join(masked_tokens(tail)), word[0] if word else "", 1))
+            values.update(own[:-1])
+            words.update(set(_WORD.findall("\n".join(own[:-1]))))
+        masked = Counter()
+        for v, n in values.items():
+            masked[" ".join(masked_tokens(v))] += n
+        last += [("V", None, None, None, None, v, None, n) for v, n in masked.items()]
+        last += [("W", None, None, None, None, None, w, n) for w, n in words.items()]
+        yield pd.DataFrame(last, columns=["kind", "doc_id", "source", "omitted", "closed", "v", "word", "n"])
 
 
 def cut_texts(documents: DataFrame) -> DataFrame:
@@ -131,45 +81,18 @@ def cut_texts(documents: DataFrame) -> DataFrame:
     d = documents.select("doc_id", "source", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     read = materialize(d.mapInPandas(_extract, EXTRACT.format(kind)), "units")
     last = read.where("kind = 'L'").drop("kind", "n")
-    whole = read.where("kind = 'V'").select("v", F.col("n").alias("c"), F.lit(0).alias("f"))
-    ends = last.where("NOT omitted AND NOT closed").select("v", F.lit(0).alias("c"), F.lit(1).alias("f"))
-    values = whole.unionByName(ends).where("v <> ''").groupBy("v").agg(F.sum("c").alias("n_whole"), F.sum("f").alias("n_last"))
-    values = materialize(values.withColumn("n", F.col("n_whole") + F.col("n_last")), "values")
-    long = _longer(values.where(F.length("v") >= PREFIX), F.substring("v", 1, PREFIX), "v", "n")
-    heads = values.groupBy(F.substring("v", 1, PREFIX).alias("v")).agg(F.sum("n_whole").alias("n_whole"), F.sum("n_last").alias("n_last"), F.sum("n").alias("n"))
-    own = values.where(F.length("v") < PREFIX).select("v", F.col("n_whole").alias("w"), F.col("n_last").alias("l"))
-    short = _longer(heads, F.substring("v", 1, SHORT), "v", "n").join(own, "v").select("v", F.col("w").alias("n_whole"), F.col("l").alias("n_last"), "n_longer")
-    facts = long.select("v", "n_whole", "n_last", "n_longer").unionByName(short)
-    tails = last.where("NOT omitted AND NOT closed").select("v").distinct()
-    facts = facts.join(tails, "v")
-
-    spoken = read.where("kind = 'W'").groupBy(F.col("word").alias("w")).agg(F.sum("n").alias("n"))
-    asked = last.where("NOT omitted AND NOT closed AND word <> ''").select(F.col("word").alias("w"), F.lit(0).cast("bigint").alias("n")).distinct()
-    both = spoken.unionByName(asked).groupBy("w").agg(F.sum("n").alias("n"))
-    stub = _longer(both, F.substring("w", 1, 2), "w", "n").where("n = 0 AND n_longer > 0").select(F.col("w").alias("word"), F.lit(True).alias("stub"))
-
-    x = last.join(facts, "v", "left").join(stub, "word", "left").fillna(0, ["n_whole", "n_last", "n_longer"])
-    item = F.col("line").rlike(r"^\s*([-*•#|>]|\d+[.)] )")
-    # names have more or fewer words: a name that ends a line is no beginning of a longer one unless hardly any line ends so
-    share = F.when(F.col("v").rlike("X$"), NAME_SHARE).otherwise(WHOLE_SHARE)
-    begins = (F.col("n_longer") > 0) & (F.col("n_whole") + F.col("n_last") < share * F.col("n_longer")) & ((F.col("n_whole") == 0) | (F.col("n_whole") < 0.02 * F.col("n_longer")))
-    row_open = F.col("line").rlike(r"^\s*\|") & ~F.col("line").rlike(r"\|\s*$")
-    dangling = F.col("tail").rlike(r"[,;:£€$(&–—-]$") & ~F.col("line").rlike(r"^[\s*=_–—-]+$")
-    short_year = F.col("tail").rlike(r"\b\d{1,2} \p{Lu}\p{L}+ \d{1,3}$")
-    known_tail = F.col("tail").rlike(TAILS) | F.col("line").rlike(r"^\[.*\]$|^[\s*=_–—-]+$|^\W*$|https?://\S+$|^\S+@\S+$|^\d{1,2} \p{Lu}\p{L}+ \d{4}$")
-    named = ~F.col("line").rlike(r"(^|[\s,])(?!(of|and|the|de|la|y|und|et|i)\b)\p{Ll}")  # a line of names and figures: an address, a signature
-    inside = F.length("tail") < F.length(F.trim("line"))  # behind other sentences of a paragraph
-    usual = (F.col("n_longer") == 0) & (F.col("n_whole") + F.col("n_last") >= USUAL)
-    named = named & ~F.col("line").rlike(OPENERS)
-    prose = ~item & (inside | (~known_tail & ~named & ~usual))
-    reason = (
-        F.when(F.col("omitted"), "omission")
-        .when(F.col("closed"), F.lit(None).cast("string"))
-        .when(F.coalesce("stub", F.lit(False)), "word")
-        .when(begins, "prefix")
-        .when(row_open, "row").when(dangling, "dangling").when(short_year, "figure")
-        .when(prose, "prose")
-    )
+    unclosed = last.where("NOT omitted AND NOT closed")
+    values = materialize(read.where("kind = 'V' OR (kind = 'L' AND NOT omitted)").groupBy("v").agg(F.sum("n").alias("n")), "values")
+    begins = open_ends(values, unclosed.select("v"), SEEN, NAME_WORDS).withColumn("begins", F.lit(True))
+    discard(values)
+
+    asked = unclosed.where("word <> ''").select("word").distinct()
+    spoken = read.where("kind = 'W'").groupBy("word").agg(F.sum("n").alias("n"))
+    longer = spoken.select(F.explode(beginnings(F.col("word"))).alias("word")).distinct()
+    stub = asked.join(spoken, "word", "left_anti").join(longer, "word", "left_semi").withColumn("stub", F.lit(True))
+
+    x = salted_join(salted_join(last, begins, "v", "left"), stub, "word", "left")
+    reason = F.when(F.col("omitted"), "omission").when(F.col("closed"), F.lit(None).cast("string")).when(F.col("stub"), "word").when(F.col("begins"), "prefix")
     return x.select("doc_id", "source", reason.isNotNull().alias("cut"), reason.alias("reason"))
 
 

@@ -1,10 +1,11 @@
 """The operators for training data: hand-checked cases, dirt and brute force."""
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.llm import consensus, cross_split, grouped_splits, leakage, mixing, reply_defects, split_boundaries, truncation
+from quernstone.llm import consensus, cross_split, endings, grouped_splits, leakage, mixing, reply_defects, split_boundaries, truncation
 
 
 def rows(df, *cols):
@@ -302,8 +303,9 @@ def test_altered_halves_pass_the_filters(spark):
         for j, g in enumerate(zip(w, w[1:])):
             where.setdefault(g, []).append(j)
         brute |= {(i, d) for i, own in items if leakage.held_stretch(own, w, where) >= leakage.HELD}
-    runs = leakage.Runs([w for _, w in items])
-    kept = runs.possible([w for _, w in docs], leakage.np.arange(len(docs) * len(items)))
+    known = leakage.Terms()
+    runs = leakage.Runs([leakage.term_ids(w, known) for _, w in items])
+    kept = runs.possible([leakage.term_ids(w, known) for _, w in docs], leakage.np.arange(len(docs) * len(items)))
     assert brute <= {(int(p) % 10, int(p) // 10) for p in kept} and len(kept) < 2 * len(brute) and len(brute) >= 36
     frame = lambda x, names: spark.createDataFrame([(k, " ".join(w)) for k, w in x], names)
     assert set(rows(leakage.find_leaks(frame(docs, "doc_id int, text string"), frame(items, "item_id int, text string")), "item_id", "doc_id")) == brute
@@ -360,18 +362,16 @@ def test_found_sources_come_from_the_mix(spark, monkeypatch):
 def test_cut_texts(spark):
     whole = ["You must apply to the office within 5 days of the letter. Fees are £20 for adults.", "You can ask if you:\n- own a share of a farm\n- the decision letter", "| baker | Elton | £20 |\n| cook | Elton | £30 |", "All is well here.\n\nBest wishes\nElton Mutual", "All is well here.\n\nContact: Elton Desk, room 7", "All is well here.\n\n4 February 2024", "All is well here.\n\n* * *", "All is well here. (Checked by Elton.)", "All is well here.\n\n[end of notes]", None, "", "   "]
     cut = ["All is well here. You must apply to the office within", "All is well here. Fees are £20 for adu", "You can ask if you:\n- own a share of a farm\n- the decis", "| baker | Elton | £20 |\n| cook | Elt", "All is well here. Fees are £20…", "All is well here. Fees are £20 ...", "Fees are £20 for adults. If you own a share of a farm the rate falls by", "word " * 30_000 + "and then the"]
-    more = ["You can ask if you:\n- own a share of a farm\n- the decision letter\n- the hearing"] * 3 + whole[:2] * 2
-    data = [(i, "s", t, True) for i, t in enumerate(whole + more)] + [(100 + i, None, t, True) for i, t in enumerate(cut)] + [(100, None, cut[0], True)]
+    # what is whole stands elsewhere too, and goes on there or ends: else nothing could tell
+    more = ["You can ask if you:\n- own a share of a farm\n- the decision letter\n- the hearing", "If you own a share of a farm the rate falls by £30 and then the fee. All is well here.", *[t for t in whole if t]] * 12
+    data = [(i, "s", t, True) for i, t in enumerate(whole + more)] + [(1000 + i, None, t, True) for i, t in enumerate(cut)] + [(1000, None, cut[0], True)]
     d = spark.createDataFrame(data, "doc_id int, source string, text string, cut boolean")
     got = truncation.cut_texts(d)
-    assert sorted({r["doc_id"] for r in got.where("cut").collect()}) == [100 + i for i in range(len(cut))]
+    assert sorted({r["doc_id"] for r in got.where("cut").collect()}) == [1000 + i for i in range(len(cut))]
     assert truncation.cut_texts(d.limit(0)).count() == 0
 
 
 def test_cut_values_hide_no_longer_copies(spark):
-    values = [("- own a", 1), ("- own a sh", 1), ("- own a share", 300), ("- own a share of", 1), ("- own b", 7), ("- own é", 2), ("- own éa", 5)]
-    got = truncation._longer(spark.createDataFrame(values, "v string, n bigint"), F.substring("v", 1, 4), "v", "n")
-    assert dict(rows(got, "v", "n_longer")) == {"- own a": 300, "- own a sh": 300, "- own a share": 1, "- own a share of": 0, "- own b": 0, "- own é": 5, "- own éa": 0}
     base = "You can ask if you:\n- keep the signed application form\n- ask twice"
     cut = ["You can ask if you:\n- keep the signed appli", "You can ask if you:\n- keep the signed applic", "You can ask if you:\n- keep the", "You can ask if you:\n- keep the signed"]
     data = [(i, "s", base) for i in range(20)] + [(100 + i, "s", t) for i, t in enumerate(cut)]
@@ -379,6 +379,35 @@ def test_cut_values_hide_no_longer_copies(spark):
     assert dict(rows(found.where("cut"), "doc_id", "reason")) == {100: "word", 101: "word", 102: "prefix", 103: "prefix"}
 
 
+def test_open_ends_as_by_brute_force(spark):
+    rng = random.Random(4)
+    values = Counter(" ".join(rng.choice("abcX9") for _ in range(rng.randint(1, 12))) for _ in range(6000))
+    for seen, others in ((3, 0), (10, 2)):
+        on, end = Counter(), Counter()
+
+        def keys(t, i):
+            return [("^", *t[:i]), *(tuple(t[i - k : i]) for k in endings.LENGTHS if k <= i)]
+
+        for v, n in values.items():
+            t = v.split()
+            for i in range(1, len(t) + 1):
+                for key in keys(t, i):
+                    (end if i == len(t) else on)[key] += n
+        brute = set()
+        for v in values:
+            t = v.split()
+            masked = others and t[-1] in "X9"
+            for key in keys(t, len(t)):
+                if masked and sum(w not in "X9^" for w in key) < others:
+                    continue
+                if on[key] + end[key] > seen:
+                    if on[key] and end[key] - 1 <= (endings.NAMES_ENDED if masked else endings.ENDED) * on[key]:
+                        brute.add(v)
+                    break
+        frame = spark.createDataFrame(list(values.items()), "v string, n bigint")
+        assert {r["v"] for r in endings.open_ends(frame, frame, seen, others).collect()} == brute and brute
+
+
 # the catalogue ----------------------------------------------------------------------------------------------------------------
 
 
