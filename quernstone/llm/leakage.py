@@ -42,6 +42,8 @@ HELD, COMMON, GAP = 0.49, 0.72, 8
 ITEMS = 20_000
 #: Common word pairs looked at in one go, about.
 HITS = 1_000_000
+#: Bits of the table by which word pairs of no item are told first.
+SIEVE = 22
 #: Parts into which a sum over terms is cut.
 PARTS = 16
 
@@ -208,30 +210,47 @@ def common_subsequence(a: list[str], b: list[str]) -> int:
     return row.bit_count()
 
 
+def pair_codes(terms: np.ndarray) -> np.ndarray:
+    """A number for each pair of neighbouring terms; equal words are equal terms, so no common pair of words is lost."""
+    return terms[:-1].astype(np.int64) * TERMS + terms[1:]
+
+
+def sieved(codes: np.ndarray) -> np.ndarray:
+    return (codes * 0x9E3779B1 >> 7) & ((1 << SIEVE) - 1)
+
+
 class Runs:
     """Tells which documents can hold which items: those with a run of common word pairs from which ``held_stretch`` starts."""
 
-    def __init__(self, items: list[list[str]]):
-        grams = [list(zip(w, w[1:])) for w in items]
+    def __init__(self, items: list[np.ndarray]):
+        grams = [pair_codes(w) for w in items]
         self.length = np.array([len(w) for w in items], dtype=np.int64)
-        self.ids: dict[tuple[str, str], int] = {}
-        gram = np.array([self.ids.setdefault(g, len(self.ids)) for own in grams for g in own], dtype=np.int64)
+        code = np.concatenate(grams) if grams else np.zeros(0, np.int64)
+        self.codes, gram = np.unique(code, return_inverse=True)
+        self.seen = np.zeros(1 << SIEVE, dtype=bool)
+        self.seen[sieved(self.codes)] = True
         sizes = np.array([len(own) for own in grams], dtype=np.int64)
         order = np.argsort(gram, kind="stable")
         self.item = np.repeat(np.arange(len(items)), sizes)[order]
         self.at = (np.arange(len(gram)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[order]
-        self.first = np.searchsorted(gram[order], np.arange(len(self.ids) + 1))
+        self.first = np.searchsorted(gram[order], np.arange(len(self.codes) + 1))
 
-    def possible(self, docs: list[list[str]], pairs: np.ndarray) -> np.ndarray:
+    def possible(self, docs: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
         """Of ``pairs`` (document x items + item), those with a run that reaches over ``HELD`` of the item; items under three words stay."""
         n = len(self.length)
         wanted = np.zeros(len(docs) * n, dtype=bool)
         wanted[pairs] = True
         kept = [pairs[self.length[pairs % n] < 3]]
-        found = [(d, j, self.ids[g]) for d, w in enumerate(docs) for j, g in enumerate(zip(w, w[1:])) if g in self.ids]
-        if not found:
+        sizes = np.array([len(d) for d in docs], dtype=np.int64)
+        start = np.cumsum(sizes) - sizes
+        code = pair_codes(np.concatenate(docs))
+        near = np.flatnonzero(self.seen[sieved(code)])
+        gram = np.minimum(np.searchsorted(self.codes, code[near]), len(self.codes) - 1)
+        doc = np.searchsorted(start, near, side="right") - 1
+        here = (self.codes[gram] == code[near]) & (near + 1 < start[doc] + sizes[doc])  # no pair of two documents
+        gram, doc, place = gram[here], doc[here], (near - start[doc])[here]
+        if not len(doc):
             return kept[0]
-        doc, place, gram = np.array(found, dtype=np.int64).T
         times = self.first[gram + 1] - self.first[gram]
         longest = int(self.length.max())
         low = longest // BLOCK + 1
@@ -279,20 +298,22 @@ def _search(documents: DataFrame, items: list[tuple], rows: np.ndarray, kinds: t
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         basis, m, of, its = shared.value
-        known, runs = Terms(), Runs([w for _, w in its])
+        known = Terms()
+        runs = Runs([term_ids(w, known) for _, w in its])
         for b in batches:
             own = [(d, w) for d, w in zip(b["doc_id"], map(words, b["text"])) if w]
             out = []
             for i in range(0, len(own) if its else 0, 128):
                 part = own[i : i + 128]
-                v, doc = passages([term_ids(w, known) for _, w in part], basis)
+                ids = [term_ids(w, known) for _, w in part]
+                v, doc = passages(ids, basis)
                 near_pairs = []
                 for c in range(0, len(m), 4096):
                     near = v @ m[c : c + 4096].T
                     x, y = np.divmod(np.flatnonzero(near.ravel() >= COSINE), near.shape[1])
                     near_pairs.append(doc[x].astype(np.int64) * len(its) + of[c + y])
                 by = defaultdict(list)
-                for p in runs.possible([w for _, w in part], np.unique(np.concatenate(near_pairs))).tolist():
+                for p in runs.possible(ids, np.unique(np.concatenate(near_pairs))).tolist():
                     by[p // len(its)].append(p % len(its))
                 for d, cand in by.items():
                     text = part[d][1]
