@@ -5,29 +5,50 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ELEMENT = r"(?s)^<(\w+)>(.*)</\1>$"
+#: White space of any script, for a character class; Java and RE2 read it alike.
+SPACE = r"\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 # Heading tags, and those that open a section.
 HEADINGS, TOP_HEADINGS = ("h1", "h2", "h3", "h4"), ("h1", "h2")
 # Words that carry no topic.
 STOP_WORDS = "a an and are as at be but by can do does for from has have how i if in is it its may must no not of on or our that the their them they this to was we what when which who will with you your".split()
-# Phrases by which a rule is restricted, exceptions made, duties and permissions stated.
-EXCEPTION_CUES = ["unless", "except", "however", "but only", "provided that", "as long as"]
-RESTRICTION_CUES = ["only", "at most", "up to", "cannot", "not combined", "no later", "within", "before"]
-MODALS = ["must", "may", "can", "should", "will"]
-NEGATORS = ["not", "no", "never", "cannot", "without", "nor"]
+# Phrases that carve an exception out of a rule, state a condition, restrict to a group, give a time, hold an opinion.
+EXCEPTION_CUES = [
+    "except", "unless", "excluding", "other than", "save for", "apart from", "does not apply", "do not apply", "shall not apply", "is not applicable",
+    "notwithstanding", "provided that", "provided, that", "only if", "only when", "only for", "solely for", "waived for", "exempt from", "exemption",
+    "carve-out", "carve out", "unless otherwise", "with the exception of", "save that",
+]
+CONDITION_CUES = ["subject to", "in the case of", "where the", "if the", "limited to", "provided", "for the purposes of", "in respect of"]
+RESTRICTION_CUES = [
+    "tier", "premium", "platinum", "signature", "gold", "silver", "bronze", "student", "senior", "resident", "non-resident", "eligible", "qualifying",
+    "category", "class", "type", "holders", "members", "customers who", "accounts with", "cards with",
+]
+TEMPORAL_CUES = ["effective", "as of", "from 20", "until", "prior to", "before 20", "after 20", "with effect from", "no longer", "previously", "currently", "has been updated", "revised"]
+OPINION_CUES = [
+    "we believe", "in our view", "arguably", "many consider", "most advisers", "some argue", "regard", "widely seen", "generally considered",
+    "practitioners", "critics", "reportedly", "may be seen as",
+]
+MODALS = r"\b(may|must|shall|can|cannot|will not|won't|should)\b"
+
+
+def stripped(text: Column) -> Column:
+    """Without white space of any script at its ends."""
+    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
 def tag_of(element: Column) -> Column:
-    """The tag of ``<tag>text</tag>``; empty where the element has none."""
-    return F.regexp_extract(element, ELEMENT, 1)
+    """The tag of ``<tag>text</tag>`` in lower case; an element without one is a paragraph."""
+    e = stripped(element)
+    return F.when(e.rlike(ELEMENT), F.lower(F.regexp_extract(e, ELEMENT, 1))).otherwise(F.lit("p"))
 
 
 def text_of(element: Column) -> Column:
-    return F.when(element.rlike(ELEMENT), F.regexp_extract(element, ELEMENT, 2)).otherwise(element)
+    e = stripped(element)
+    return stripped(F.when(e.rlike(ELEMENT), F.regexp_extract(e, ELEMENT, 2)).otherwise(e))
 
 
 def word_count(text: Column) -> Column:
-    """Runs of other than ASCII white space."""
-    return F.regexp_count(text, F.lit(r"[^ \t\n\r\f\x0B]+")).cast("bigint")
+    """Runs between white space of any script."""
+    return F.regexp_count(text, F.lit(rf"[^{SPACE}]+")).cast("bigint")
 
 
 def rendered(element: Column) -> Column:
@@ -88,5 +109,12 @@ def figures(text: Column) -> Column:
     return F.array_distinct(F.transform(raw, lambda x: F.regexp_replace(F.regexp_replace(x, r"(\.\d*[1-9])0+$", "$1"), r"\.0+$", "")))
 
 
-def negations(text: Column) -> Column:
-    return F.size(F.filter(tokens(text), lambda w: w.isin(*NEGATORS))).cast("bigint")
+def words_of(text: Column) -> Column:
+    """Distinct lower-case runs of letters and apostrophes."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z']+)"), F.lit(1)))
+
+
+def qualifiers(text: Column) -> Column:
+    """How heavily a statement is qualified: its cues, modal verbs and commas."""
+    low = F.lower(text)
+    return sum((cue_count(text, c) for c in (EXCEPTION_CUES, CONDITION_CUES, RESTRICTION_CUES)), F.regexp_count(low, F.lit(MODALS)).cast("bigint") + F.regexp_count(low, F.lit(",")).cast("bigint"))

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,22 +13,15 @@ HEADS = ("h1", "h2", "h3", "h4")
 
 def pack_elements(words: list[int], tags: list[str], budget: int, section: bool) -> list[tuple[int, int]]:
     """[start, end) ranges: elements are added while they fit; an element over the budget stands alone. With ``section`` a
-    top heading opens a chunk, and headings at a chunk's end move to the next one."""
-    out, start, n = [], 0, len(words)
-    while start < n:
-        end, total = start, 0
-        while end < n and (end == start or (total + words[end] <= budget and not (section and tags[end] in TOP))):
-            total += words[end]
-            end += 1
-        if section and end < n:
-            cut = end
-            while cut > start + 1 and tags[cut - 1] in HEADS:
-                cut -= 1
-            if tags[cut - 1] not in HEADS:
-                end = cut
-        out.append((start, end))
-        start = end
-    return out
+    top heading opens a chunk, and headings at a chunk's end go with what follows, even past the budget."""
+    before = [0, *accumulate(words)]
+    cuts = [0]
+    for i in range(1, len(words)):
+        start = cuts[-1]
+        if i > start and (before[i + 1] - before[start] > budget or section and tags[i] in TOP):
+            heads = next((k for k in range(i - 1 - start) if tags[i - 1 - k] not in HEADS), i - 1 - start) if section else 0
+            cuts.append(i - heads)
+    return list(zip(cuts, [*cuts[1:], len(words)])) if words else []
 
 
 def pack_sentences(words: list[int], target: int, least: int) -> list[tuple[int, int]]:

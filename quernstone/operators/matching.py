@@ -9,43 +9,61 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.functions import outcomes as O
 from quernstone.functions import text as T
 
 SIMILAR, HELD, CORE = 0.45, 0.6, 0.6
 MOST = 5
+# Words without content in an outcome, words that negate it, bounds that only look like negations.
+EMPTY_WORDS = "the a an is are of to for in on and or be that this it with any all".split()
+NEGATORS = "no not never cannot neither nor without non nothing none".split()
+BOUND = r"(?i)\b(?:no|not)\s+(?:more|less|fewer|later|earlier|sooner|longer)\s+than\b"
+NUMBER = r"(\d+(?:[.,]\d+)?\s*%?)"
+
+
+def outcome_tokens(text: Column) -> Column:
+    """Distinct words with content."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9']+)"), F.lit(1))
+    return F.array_distinct(F.filter(words, lambda w: ~w.isin(*EMPTY_WORDS)))
+
+
+def numbers(text: Column) -> Column:
+    """Distinct figures, spelled ones too."""
+    low = O.spelled_to_digits(F.lower(F.coalesce(text, F.lit(""))))
+    return F.array_distinct(F.transform(F.regexp_extract_all(low, F.lit(NUMBER), F.lit(1)), lambda x: F.rtrim(x)))
+
+
+def similarity(a: Column, b: Column) -> Column:
+    return T.jaccard(outcome_tokens(a), outcome_tokens(b))
 
 
 def figures_conflict(a: Column, b: Column) -> Column:
     """Both texts have figures and share none."""
-    fa, fb = T.figures(a), T.figures(b)
+    fa, fb = numbers(a), numbers(b)
     return (F.size(fa) > 0) & (F.size(fb) > 0) & ~F.arrays_overlap(fa, fb)
 
 
 def polarity_conflict(a: Column, b: Column) -> Column:
-    """One text negates and the other does not, about much the same."""
-    ca, cb = T.content_tokens(a), T.content_tokens(b)
+    """One text negates and the other does not (by the parity of its negators), about much the same."""
+    ta, tb = (outcome_tokens(F.regexp_replace(F.coalesce(x, F.lit("")), BOUND, " ")) for x in (a, b))
+    negators = F.array(*map(F.lit, NEGATORS))
+    odd = lambda t: F.size(F.array_intersect(t, negators)) % 2
+    ca, cb = F.array_except(ta, negators), F.array_except(tb, negators)
     least = F.least(F.size(ca), F.size(cb))
-    return ((T.negations(a) + T.negations(b)) % 2 == 1) & (least > 0) & (F.size(F.array_intersect(ca, cb)) >= CORE * least)
+    return (odd(ta) != odd(tb)) & (least > 0) & (F.size(F.array_intersect(ca, cb)) >= CORE * least)
 
 
 def outcomes_match(gold: Column, predicted: Column) -> Column:
     """Two outcomes say the same: no clash of figures or polarity, and enough words in common; null matches nothing."""
-    g, p = F.coalesce(gold, F.lit("")), F.coalesce(predicted, F.lit(""))
-    cg, cp = T.content_tokens(g), T.content_tokens(p)
-    alike = (T.jaccard(cg, cp) >= SIMILAR) | (T.containment(cg, cp) >= HELD) | ((T.squad_normal(g) == T.squad_normal(p)) & (T.squad_normal(g) != ""))
-    return ~figures_conflict(g, p) & ~polarity_conflict(g, p) & alike
-
-
-def modality(span: Column) -> Column:
-    """hedged, prohibition, obligation, permission or statement, the first that applies. ``may`` before a verb of what happens to
-    someone is a hedge, before an act a permission."""
-    s = F.lower(F.coalesce(span, F.lit("")))
-    return (
-        F.when(s.rlike(r"\b(might|could|possibly|perhaps|in some cases|depending on|may (not )?(be|receive|qualify|get|have|need|take))\b"), "hedged")
-        .when(s.rlike(r"\b(must not|may not|cannot|can not|not allowed|not permitted|prohibited)\b"), "prohibition")
-        .when(s.rlike(r"\b(must|have to|has to|required|need to|needs to|shall)\b"), "obligation")
-        .when(s.rlike(r"\b(may|can|allowed to|permitted to)\b"), "permission").otherwise("statement")
-    )
+    alike = (similarity(gold, predicted) >= SIMILAR) | (T.containment(outcome_tokens(gold), outcome_tokens(predicted)) >= HELD)
+    return ~figures_conflict(gold, predicted) & ~polarity_conflict(gold, predicted) & alike
+
+
+def values_match(gold: Column, predicted: Column) -> Column:
+    """As ``outcomes_match`` of the common forms; figures that count the same thing must agree. Blank matches nothing."""
+    g, p = O.canonical_outcome(gold), O.canonical_outcome(predicted)
+    said = (F.trim(F.coalesce(gold, F.lit(""))) != "") & (F.trim(F.coalesce(predicted, F.lit(""))) != "")
+    return said & ~O.counts_conflict(O.counted_figures(g), O.counted_figures(p)) & outcomes_match(g, p)
 
 
 def greedy_alignment(pairs: DataFrame, key: str, a: str, b: str, score: str, least: float) -> DataFrame:

@@ -7,42 +7,85 @@ from pyspark.sql import functions as F
 from quernstone.functions import text as T
 
 
+# Figures and years in a passage, and words that negate it.
+NUMBER, FIGURE, YEAR = r"(\d+(?:[.,]\d+)?\s*%?)", r"(\d+(?:\.\d+)?%?)", r"\b((?:19|20)\d{2})\b"
+NEGATIONS = "not no never cannot won't doesn't does may prohibited excluded waived exempt denied".split()
+
+
+def found(text: Column, pattern: str) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: F.rtrim(x)))
+
+
+def clash(a: Column, b: Column) -> Column:
+    """Both sets have something, and nothing in common."""
+    return (F.size(a) > 0) & (F.size(b) > 0) & ~F.arrays_overlap(a, b)
+
+
 def features(a: Column, b: Column) -> dict[str, Column]:
-    """Lexical features of two texts: cues, their asymmetries, clashes of figures and years, overlap, lengths."""
-    ca, cb = T.content_tokens(a), T.content_tokens(b)
-    fa, fb = T.figures(a), T.figures(b)
-    years = lambda f: F.filter(f, lambda x: x.rlike("^(19|20)[0-9]{2}$"))
-    clash = lambda x, y: ((F.size(x) > 0) & (F.size(y) > 0) & ~F.arrays_overlap(x, y)).cast("bigint")
-    wa, wb = T.word_count(a), T.word_count(b)
+    """Lexical features of two texts: cues of either and their difference, qualifiers, lengths, figures, years, words in common.
+    Order of the two does not matter but for the columns that name one."""
+    cue = lambda c: (T.cue_count(a, c), T.cue_count(b, c))
+    (ea, eb), (ra, rb), (ta, tb), (oa, ob) = map(cue, (T.EXCEPTION_CUES, T.RESTRICTION_CUES, T.TEMPORAL_CUES, T.OPINION_CUES))
+    qa, qb = T.qualifiers(a), T.qualifiers(b)
+    na, nb, ya, yb = found(a, NUMBER), found(b, NUMBER), found(a, YEAR), found(b, YEAR)
+    wa, wb = F.greatest(T.word_count(a), F.lit(1)), F.greatest(T.word_count(b), F.lit(1))
     return {
-        "exceptions": T.cue_count(a, T.EXCEPTION_CUES) + T.cue_count(b, T.EXCEPTION_CUES),
-        "exception_asymmetry": F.abs(T.cue_count(a, T.EXCEPTION_CUES) - T.cue_count(b, T.EXCEPTION_CUES)),
-        "restriction_asymmetry": F.abs(T.cue_count(a, T.RESTRICTION_CUES) - T.cue_count(b, T.RESTRICTION_CUES)),
-        "modal_asymmetry": F.abs(T.cue_count(a, T.MODALS) - T.cue_count(b, T.MODALS)),
-        "negation_parity": ((T.negations(a) + T.negations(b)) % 2).cast("bigint"),
-        "figure_clash": clash(fa, fb),
-        "year_clash": clash(years(fa), years(fb)),
-        "jaccard": F.round(T.jaccard(ca, cb), 9),
-        "containment": F.round(T.containment(cb, ca), 9),
-        "length_ratio": F.round(F.coalesce(F.try_divide(F.least(wa, wb).cast("double"), F.greatest(wa, wb).cast("double")), F.lit(0.0)), 9),
+        "exception_cues_i": ea, "exception_cues_j": eb, "exception_cues_max": F.greatest(ea, eb), "exception_cues_asymmetry": F.abs(ea - eb),
+        "restriction_cues_i": ra, "restriction_cues_j": rb, "restriction_asymmetry": F.abs(ra - rb),
+        "qualifiers_i": qa, "qualifiers_j": qb, "specificity_asymmetry": F.abs(qa - qb), "length_ratio": F.round(F.least(wa, wb) / F.greatest(wa, wb), 9),
+        "numeric_overlap": F.round(T.jaccard(na, nb), 9), "numeric_clash": clash(na, nb).cast("bigint"),
+        "year_clash": ((F.size(ya) > 0) & (F.size(yb) > 0) & (F.array_sort(ya) != F.array_sort(yb))).cast("bigint"),
+        "temporal_cues_max": F.greatest(ta, tb), "opinion_cues_max": F.greatest(oa, ob), "token_jaccard": F.round(T.jaccard(T.words_of(a), T.words_of(b)), 9),
     }
 
 
 # Fixed values: (entailment, neutral, contradiction) of each case of the lexical stand-in.
-TRIPLES = {"figures": (0.05, 0.15, 0.80), "polarity": (0.10, 0.25, 0.65), "covered": (0.75, 0.20, 0.05), "related": (0.25, 0.65, 0.10), "unrelated": (0.05, 0.90, 0.05)}
+TRIPLES = {"blank": (0.0, 1.0, 0.0), "figures": (0.05, 0.15, 0.80), "polarity": (0.10, 0.25, 0.65), "covered": (0.75, 0.20, 0.05), "related": (0.25, 0.65, 0.10), "unrelated": (0.05, 0.90, 0.05)}
 
 
-def heuristic_entailment(overlap: Column, figure_clash: Column, polarity_clash: Column) -> Column:
+def heuristic_entailment(premise: Column, hypothesis: Column) -> Column:
     """struct(entailment, neutral, contradiction) where no model's scores are at hand; models join scores in its place."""
     s = lambda k: F.struct(*[F.lit(v).alias(n) for v, n in zip(TRIPLES[k], ("entailment", "neutral", "contradiction"))])
-    return F.when((figure_clash > 0) & (overlap > 0.3), s("figures")).when((polarity_clash > 0) & (overlap > 0.3), s("polarity")).when(overlap > 0.7, s("covered")).when(overlap > 0.35, s("related")).otherwise(s("unrelated"))
+    p, h = T.words_of(premise), T.words_of(hypothesis)
+    overlap = T.containment(h, p)
+    negated = lambda w: F.arrays_overlap(w, F.array(*map(F.lit, NEGATIONS)))
+    return (
+        F.when((F.size(p) == 0) | (F.size(h) == 0), s("blank")).when(clash(found(premise, FIGURE), found(hypothesis, FIGURE)) & (overlap > 0.3), s("figures"))
+        .when((negated(p) != negated(h)) & (overlap > 0.3), s("polarity")).when(overlap > 0.7, s("covered")).when(overlap > 0.35, s("related")).otherwise(s("unrelated"))
+    )
+
+
+def conflict_signal(nli: Column) -> Column:
+    return nli["contradiction"] + 0.25 * nli["neutral"]
 
 
 def rule_score(nli: Column, f: dict[str, Column]) -> Column:
     """Probability of a conflict from the entailment scores and the features, in [0, 1]."""
-    signal = nli["contradiction"] + 0.25 * nli["neutral"]
-    raw = 0.6 * signal + 0.2 * F.least(F.lit(1.0), f["exceptions"] / 2) + 0.1 * F.least(F.lit(1.0), f["restriction_asymmetry"] / 2) + 0.15 * f["figure_clash"] + 0.1 * f["year_clash"]
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw * (0.35 + 0.65 * F.least(F.lit(1.0), 3 * f["jaccard"]))))
+    half = lambda c: F.least(F.lit(1.0), c / 2)
+    raw = 0.6 * conflict_signal(nli) + 0.2 * half(f["exception_cues_max"]) + 0.1 * half(f["restriction_asymmetry"]) + 0.15 * f["numeric_clash"] + 0.1 * f["year_clash"]
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw * (0.35 + 0.65 * F.least(F.lit(1.0), 3 * f["token_jaccard"]))))
+
+
+def rule_relation(f: dict[str, Column]) -> Column:
+    """The four-way relation guessed from surface cues."""
+    return (
+        F.when(f["token_jaccard"] < 0.2, "disjoint").when((f["numeric_clash"] == 0) & (f["exception_cues_max"] == 0), "redundant")
+        .when((f["restriction_asymmetry"] >= 1) | (f["specificity_asymmetry"] >= 2), "refinement").otherwise("opposed")
+    )
+
+
+def rule_type(f: dict[str, Column]) -> Column:
+    """The conflict type guessed from surface cues: time and opinion first, then scope, then figures."""
+    scoped = (f["exception_cues_max"] >= 1) | ((f["restriction_asymmetry"] >= 1) & (f["specificity_asymmetry"] >= 1))
+    return (
+        F.when((f["temporal_cues_max"] >= 1) & ((f["year_clash"] > 0) | (f["numeric_clash"] > 0)), "temporal").when(f["opinion_cues_max"] >= 1, "opinion")
+        .when(scoped, "conditional").when((f["numeric_clash"] > 0) | (f["token_jaccard"] > 0.45), "factual").otherwise("no_conflict")
+    )
+
+
+def alive_in_order(ids: Column, contradicts) -> Column:
+    """A fold over an array in rank order: what contradicts an earlier one that is still kept is dropped. ``contradicts(i, j)``."""
+    return F.aggregate(ids, F.array().cast("array<string>"), lambda kept, j: F.when(F.exists(kept, lambda i: contradicts(i, j)), kept).otherwise(F.array_append(kept, j)))
 
 
 def passage_pairs(records: DataFrame) -> DataFrame:

@@ -4,29 +4,81 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quernstone.functions import outcomes as O
 from quernstone.functions import text as T
 from quernstone.operators import matching as X
 from quernstone.plans.components import components
 from quernstone.queries._registry import family
 from quernstone.queries.evaluation import Q, scored
-from quernstone.queries.pairs import CONTENT, FIGS, NEG
 from quernstone.queries.scope import branches
-from quernstone.queries.text import DOCS, documents, elements
+from quernstone.queries.text import DOCS, SENTENCES, documents
 from quernstone.sources.tables import table
 
 QUERIES, ORACLES, query = family()
+SENT_CTES = SENTENCES[len(DOCS) + 2 :]
+
+def chain(c: str, steps: list[tuple[str, str]]) -> str:
+    """SQL of replacements one after the other."""
+    for pattern, by in steps:
+        p = pattern.replace("'", "''")
+        c = f"regexp_replace({c}, '{p}', '{by}', 'g')"
+    return c
+
+
+STEPS = lambda c: chain(c, O.number_steps())
+LIST = lambda words: "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+OTOK = lambda c: f"list_distinct(list_filter(regexp_extract_all(lower({c}), '[a-z0-9'']+'), lambda w: NOT list_contains({LIST(X.EMPTY_WORDS)}, w)))"
+ONUM = lambda c: f"list_distinct(list_transform(regexp_extract_all({STEPS(f'lower({c})')}, '\\d+(?:[.,]\\d+)?\\s*%?'), lambda x: rtrim(x)))"
+CANON = lambda c: chain(STEPS("trim(lower(" + chain(c, [(O.CITATION, "")]) + "))"), O.canonical_steps())
+CITED = O.CITATION
+COUNTED = lambda c: f"""list_distinct(list_transform(regexp_extract_all({c}, '{O.FIGURE}'), lambda m: concat_ws(' ', CASE WHEN regexp_matches(m, '^\\d+(?:\\.\\d+)?\\s*%') THEN '%' ELSE coalesce(list_filter(list_transform(list_slice(regexp_extract_all(m, '[a-z]+'), 1, 2), lambda w: regexp_replace(w, 's$', '')), lambda w: list_contains({LIST(O.UNITS)}, w))[1], 'amount') END, regexp_extract(m, '^\\d+(?:\\.\\d+)?'))))"""
+
+
+def match_sql(table: str, keep: str) -> str:
+    """CTEs om_0 to om: of the columns g and p of ``table``, whether they match (m)."""
+    bare = lambda c: f"regexp_replace({c}, '{X.BOUND}', ' ', 'g')"
+    neg = LIST(X.NEGATORS)
+    return f"""om_0 AS (SELECT {keep}, g, p, {OTOK('g')} AS tg, {OTOK('p')} AS tp, {OTOK(bare('g'))} AS bg, {OTOK(bare('p'))} AS bp, {ONUM('g')} AS ng, {ONUM('p')} AS np FROM {table}),
+om_1 AS (SELECT *, list_filter(bg, lambda w: NOT list_contains({neg}, w)) AS cg, list_filter(bp, lambda w: NOT list_contains({neg}, w)) AS cp FROM om_0),
+om AS (SELECT *, NOT (len(ng) > 0 AND len(np) > 0 AND NOT list_has_any(ng, np)) AND NOT ((len(bg) - len(cg)) % 2 <> (len(bp) - len(cp)) % 2 AND least(len(cg), len(cp)) > 0 AND len(list_intersect(cg, cp)) >= 0.6 * least(len(cg), len(cp)))
+ AND (coalesce(len(list_intersect(tg, tp)) / nullif(len(list_distinct(list_concat(tg, tp))), 0), 0) >= 0.45 OR coalesce(len(list_intersect(tg, tp)) / nullif(len(tg), 0), 0) >= 0.6) AS m FROM om_1)"""
+
 
-MATCH = rf"""(NOT (len({FIGS.format('g')}) > 0 AND len({FIGS.format('p')}) > 0 AND NOT list_has_any({FIGS.format('g')}, {FIGS.format('p')})) AND NOT (({NEG.format('g')} + {NEG.format('p')}) % 2 = 1 AND least(len(cg), len(cp)) > 0 AND len(list_intersect(cg, cp)) >= 0.6 * least(len(cg), len(cp)))
- AND (coalesce(len(list_intersect(cg, cp)) / nullif(len(list_distinct(list_concat(cg, cp))), 0), 0) >= 0.45 OR coalesce(len(list_intersect(cg, cp)) / nullif(len(cg), 0), 0) >= 0.6 OR (ng = np AND ng <> '')))"""
 NORMAL = r"""array_to_string(list_filter(string_split_regex(regexp_replace(lower({}), '[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{{|}}~]', '', 'g'), '[ \t\n\r\f\x0B]+'), lambda w: w NOT IN ('', 'a', 'an', 'the')), ' ')"""
+FIRSTS = f"{Q}, a AS (SELECT cell_id, system, coalesce(gold[1].answer, '') AS g, coalesce(answers[1].answer, '') AS p FROM c JOIN q USING (qid) WHERE len(gold) > 0 AND len(answers) > 0)"
+
+
+def _firsts(spark, sf_dir):
+    s = scored(spark, sf_dir).where("size(gold) > 0 AND size(answers) > 0")
+    return s.select("cell_id", "system", F.coalesce(F.get("gold", F.lit(0))["answer"], F.lit("")).alias("g"), F.coalesce(F.get("answers", F.lit(0))["answer"], F.lit("")).alias("p"))
 
 
-@query(f"""WITH {Q}, a AS (SELECT cell_id, system, coalesce(gold[1].answer, '') AS g, coalesce(answers[1].answer, '') AS p FROM c JOIN q USING (qid) WHERE len(gold) > 0 AND len(answers) > 0),
-m AS (SELECT *, {CONTENT.format('g')} AS cg, {CONTENT.format('p')} AS cp, {NORMAL.format('g')} AS ng, {NORMAL.format('p')} AS np FROM a) SELECT system, count(*) AS n, count(*) FILTER ({MATCH}) AS n_match FROM m GROUP BY system""")
+@query(f"WITH {FIRSTS}, {match_sql('a', 'cell_id, system')} SELECT system, count(*) AS n, count(*) FILTER (m) AS n_match FROM om GROUP BY system")
 def outcome_matches(spark, sf_dir):
     """First answers that say the same as the first gold answer, figures and negations vetoing."""
-    s = scored(spark, sf_dir).where("size(gold) > 0 AND size(answers) > 0").select("system", F.get("gold", F.lit(0))["answer"].alias("g"), F.get("answers", F.lit(0))["answer"].alias("p"))
-    return s.groupBy("system").agg(F.count(F.lit(1)).alias("n"), F.sum(X.outcomes_match(F.col("g"), F.col("p")).cast("bigint")).alias("n_match"))
+    return _firsts(spark, sf_dir).groupBy("system").agg(F.count(F.lit(1)).alias("n"), F.sum(X.outcomes_match(F.col("g"), F.col("p")).cast("bigint")).alias("n_match"))
+
+
+@query(f"""WITH d AS (SELECT DISTINCT g AS x FROM (SELECT b.outcome AS g FROM (SELECT unnest(gold_branches) AS b FROM gold_instances) UNION ALL SELECT a.answer FROM (SELECT unnest(answers) AS a FROM questions)) WHERE g IS NOT NULL)
+SELECT x AS outcome, {CANON('x')} AS canonical, array_to_string(list_sort({COUNTED(CANON('x'))}), ', ') AS figures FROM d""")
+def canonical_outcomes(spark, sf_dir):
+    """Outcomes of branches and gold answers in their common form, with their figures by what they count."""
+    b = table(spark, sf_dir, "gold_instances").select(F.explode("gold_branches.outcome").alias("outcome"))
+    d = b.unionByName(table(spark, sf_dir, "questions").select(F.explode("answers.answer").alias("outcome"))).where("outcome IS NOT NULL").distinct()
+    c = d.withColumn("canonical", O.canonical_outcome(F.col("outcome")))
+    return c.select("outcome", "canonical", F.array_join(F.array_sort(O.counted_figures(F.col("canonical"))), ", ").alias("figures"))
+
+
+@query(f"""WITH {FIRSTS}, k AS (SELECT DISTINCT g AS g0, p AS p0, {CANON('g')} AS g, {CANON('p')} AS p FROM a), h AS (SELECT *, {COUNTED('g')} AS fg, {COUNTED('p')} AS fp FROM k), {match_sql('k', 'g0, p0')},
+v AS (SELECT g0, p0, len(list_filter(list_intersect(list_transform(fg, lambda x: split_part(x, ' ', 1)), list_transform(fp, lambda x: split_part(x, ' ', 1))), lambda y: NOT list_has_any(list_filter(fg, lambda x: split_part(x, ' ', 1) = y), list_filter(fp, lambda x: split_part(x, ' ', 1) = y)))) > 0 AS clash FROM h)
+SELECT system, count(*) AS n, count(*) FILTER (om.m AND NOT clash AND trim(a.g) <> '' AND trim(a.p) <> '') AS n_match, count(*) FILTER (clash) AS n_clash FROM a JOIN om ON a.g = g0 AND a.p = p0 JOIN v ON v.g0 = a.g AND v.p0 = a.p GROUP BY system""")
+def value_matches(spark, sf_dir):
+    """First answers that match the first gold answer in their common forms, and those whose figures for one thing differ."""
+    d = _firsts(spark, sf_dir)
+    pairs = d.select("g", "p").distinct()  # each pair of texts is compared once
+    counts = lambda c: O.counted_figures(O.canonical_outcome(F.col(c)))
+    pairs = pairs.select("g", "p", X.values_match(F.col("g"), F.col("p")).alias("m"), O.counts_conflict(counts("g"), counts("p")).alias("clash"))
+    return d.join(pairs, ["g", "p"]).groupBy("system").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("m").cast("bigint")).alias("n_match"), F.sum(F.col("clash").cast("bigint")).alias("n_clash"))
 
 
 @query()
@@ -47,13 +99,26 @@ def branch_alignment(spark, sf_dir):
     return X.greedy_alignment(p, "instance_id", "a", "b", "score", 0.25)
 
 
-@query(r"""WITH e AS (SELECT DISTINCT cell_id, a.answer AS s FROM (SELECT cell_id, unnest(answers) AS a FROM result_cells)), l AS (SELECT lower(coalesce(s, '')) AS s FROM e),
-m AS (SELECT CASE WHEN regexp_matches(s, '\b(might|could|possibly|perhaps|in some cases|depending on|may (not )?(be|receive|qualify|get|have|need|take))\b') THEN 'hedged' WHEN regexp_matches(s, '\b(must not|may not|cannot|can not|not allowed|not permitted|prohibited)\b') THEN 'prohibition'
- WHEN regexp_matches(s, '\b(must|have to|has to|required|need to|needs to|shall)\b') THEN 'obligation' WHEN regexp_matches(s, '\b(may|can|allowed to|permitted to)\b') THEN 'permission' ELSE 'statement' END AS modality FROM l) SELECT modality, count(*) AS n FROM m GROUP BY modality""")
+# text, and whether the first "may" is there, is negated, is followed by what, and preceded by which two words
+MAY_SQL = f"""{O.MAY[4:]}"""
+MODAL = f"""ms AS (SELECT DISTINCT x, {chain("coalesce(x, '')", [(O.CITATION, '')])} AS s FROM src),
+mw AS (SELECT x, s, regexp_matches(s, '{O.MAY}') AS has, regexp_extract(s, '{O.MAY}', 1) <> '' AS neg, lower(regexp_extract(s, '{O.MAY}', 2)) AS nxt, regexp_extract_all(lower(regexp_extract(s, '(?is)^(.*?){MAY_SQL}', 1)), '[a-z'']+') AS bf FROM ms),
+mm AS (SELECT *, CASE WHEN NOT has THEN 'none' WHEN NOT neg AND list_has_any(list_slice(bf, greatest(len(bf) - 1, 1), len(bf)), {LIST(O.OPEN_SUBJECTS)}) THEN 'hedged' WHEN neg THEN CASE WHEN list_contains({LIST(O.LEFT_OPEN)}, nxt) THEN 'hedged' ELSE 'prohibition' END WHEN list_contains({LIST(O.HAPPENS)}, nxt) THEN 'hedged' ELSE 'permission' END AS may FROM mw),
+md AS (SELECT x, CASE WHEN trim(s) = '' OR regexp_matches(s, '{O.HEDGE}') OR may = 'hedged' THEN 'hedged' WHEN may = 'prohibition' OR regexp_matches(s, '{O.PROHIBITION.replace("'", "''")}') THEN 'prohibition' WHEN regexp_matches(s, '{O.OBLIGATION}') THEN 'obligation' WHEN may = 'permission' OR regexp_matches(s, '{O.PERMISSION}') THEN 'permission' ELSE 'statement' END AS modality FROM mm)"""
+
+
+@query(f"""WITH e AS (SELECT DISTINCT cell_id, a.answer AS s FROM (SELECT cell_id, unnest(answers) AS a FROM result_cells)), src AS (SELECT coalesce(s, '') AS x FROM e), {MODAL} SELECT modality, count(*) AS n FROM e JOIN md ON coalesce(s, '') = x GROUP BY modality""")
 def answer_modality(spark, sf_dir):
     """What kind of statement answers are."""
     a = table(spark, sf_dir, "result_cells").select("cell_id", F.explode("answers").alias("a")).select("cell_id", F.col("a.answer").alias("s")).distinct()
-    return a.groupBy(X.modality(F.col("s")).alias("modality")).agg(F.count(F.lit(1)).alias("n"))
+    return a.groupBy(O.modality(F.col("s")).alias("modality")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {DOCS}, {SENT_CTES}, src AS (SELECT s AS x FROM sents), {MODAL} SELECT source, modality, count(*) AS n FROM sents JOIN md ON s = x GROUP BY ALL""")
+def sentence_modality(spark, sf_dir):
+    """Modality of every sentence of every document, per source."""
+    d = documents(spark, sf_dir).select("source", F.explode(T.sentences(F.col("text"))).alias("s"))
+    return d.groupBy("source", O.modality(F.col("s")).alias("modality")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH p AS (SELECT doc, arg_max(elements, fetched_at) AS els FROM guide_docs GROUP BY doc), q AS (SELECT qid, any_value(doc) AS doc, list_distinct(any_value(evidences)) AS ev FROM questions GROUP BY qid),
@@ -80,7 +145,7 @@ def document_groups(spark, sf_dir):
     g = table(spark, sf_dir, "gold_instances").select("instance_id", F.explode("passages.document_id").alias("d")).where("d IS NOT NULL").distinct()
     # ids sort before the prefix of documents, so a component is named by its least instance
     e = g.select(F.concat(F.lit("0"), "instance_id").alias("a"), F.concat(F.lit("1"), "d").alias("b"))
-    return components(e).where("node LIKE '0%'").select(F.substring("node", 2, 10_000).alias("instance_id"), F.substring("component", 2, 10_000).alias("group_id"))
+    return components(e).where("node LIKE '0%'").select(F.expr("substring(node, 2)").alias("instance_id"), F.expr("substring(component, 2)").alias("group_id"))
 
 
 @query(rf"""WITH {DOCS}, w AS (SELECT doc_id, publisher, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM docs WHERE text IS NOT NULL AND publisher IS NOT NULL), s AS (SELECT DISTINCT doc_id, publisher, array_to_string(list_slice(t, i, i + 9), ' ') AS sh FROM (SELECT doc_id, publisher, t, unnest(range(1, greatest(len(t) - 8, 1)::BIGINT)) AS i FROM w) WHERE len(t) >= 10),
@@ -114,9 +179,9 @@ def pair_classifier(spark, sf_dir):
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
+    from quernstone.queries.pairs import FEATURES as names
     from quernstone.queries.pairs import _featured, gold
 
-    names = ["exceptions", "exception_asymmetry", "restriction_asymmetry", "modal_asymmetry", "negation_parity", "figure_clash", "year_clash", "jaccard", "containment", "length_ratio"]
     best = _featured(spark, sf_dir).groupBy("instance_id").agg(*[F.max(n).cast("double").alias(n) for n in names])
     y = gold(spark, sf_dir).select("instance_id", (F.col("gold_conflict_type") == "conditional").cast("double").alias("label"))
     x = VectorAssembler(inputCols=names, outputCol="features").transform(best.join(y, "instance_id"))

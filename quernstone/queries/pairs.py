@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quernstone.functions import text as T
 from quernstone.operators import pairs as P
 from quernstone.queries._registry import family
-from quernstone.queries.text import ELEMENTS, elements
+from quernstone.queries.text import ELEMENTS, WORDS, elements
 from quernstone.sources.tables import table
 
 QUERIES, ORACLES, query = family()
@@ -22,41 +22,70 @@ STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
 CONTENT = f"list_distinct(list_filter(regexp_extract_all(lower({{}}), '[a-z0-9]+'), lambda w: length(w) > 2 AND NOT list_contains({STOP}, w)))"
 CUES = lambda col, cues: "(" + " + ".join(f"contains(lower({col}), '{c}')::BIGINT" for c in cues) + ")"
 FIGS = r"list_distinct(list_transform(regexp_extract_all(regexp_replace({}, '(\d),(\d{{3}})', '\1\2', 'g'), '\d+(?:\.\d+)?'), lambda x: regexp_replace(regexp_replace(x, '(\.\d*[1-9])0+$', '\1'), '\.0+$', '')))"
-NEG = "len(list_filter(regexp_extract_all(lower({}), '[a-z0-9]+'), lambda w: list_contains(['" + "', '".join(T.NEGATORS) + "'], w)))"
-WC = "len(regexp_extract_all({}, '[^ \\t\\n\\r\\f\\x0B]+'))"
-PAIRS = rf"""g AS (SELECT instance_id, any_value(passages) AS p FROM gold_instances GROUP BY instance_id), u AS (SELECT instance_id, unnest(p) AS x FROM g),
+WC = f"greatest(1, {WORDS})"
+WSET = "list_distinct(regexp_extract_all(lower({}), '[a-z'']+'))"
+NUMS = r"list_distinct(list_transform(regexp_extract_all({}, '\d+(?:[.,]\d+)?\s*%?'), lambda x: rtrim(x)))"
+YEARS = r"list_distinct(regexp_extract_all({}, '\b(?:19|20)\d{{2}}\b'))"
+FIGP = r"list_distinct(regexp_extract_all({}, '\d+(?:\.\d+)?%?'))"
+QUAL = lambda c: f"({CUES(c, T.EXCEPTION_CUES)} + {CUES(c, T.CONDITION_CUES)} + {CUES(c, T.RESTRICTION_CUES)} + len(regexp_extract_all(lower({c}), '" + T.MODALS.replace("'", "''") + f"')) + len({c}) - len(replace({c}, ',', '')))"
+CLASH = lambda a, b: f"(len({a}) > 0 AND len({b}) > 0 AND NOT list_has_any({a}, {b}))"
+JAC = lambda a, b: f"coalesce(len(list_intersect({a}, {b})) / nullif(len(list_distinct(list_concat({a}, {b}))), 0), 0)"
+PAIRS = rf"""g AS (SELECT instance_id, any_value(passages) AS p FROM gold_instances GROUP BY instance_id), u AS (SELECT instance_id, unnest(p) AS x, unnest(range(len(p))) AS pos FROM g),
 pr AS (SELECT a.instance_id, a.x.id AS doc_i, b.x.id AS doc_j, coalesce(a.x.text, '') AS ti, coalesce(b.x.text, '') AS tj FROM u a JOIN u b ON a.instance_id = b.instance_id AND a.x.id < b.x.id),
-k AS (SELECT *, {CONTENT.format('ti')} AS ca, {CONTENT.format('tj')} AS cb, {FIGS.format('ti')} AS fa, {FIGS.format('tj')} AS fb FROM pr),
-f AS (SELECT instance_id, doc_i, doc_j, {CUES('ti', T.EXCEPTION_CUES)} + {CUES('tj', T.EXCEPTION_CUES)} AS exceptions, abs({CUES('ti', T.EXCEPTION_CUES)} - {CUES('tj', T.EXCEPTION_CUES)}) AS exception_asymmetry,
- abs({CUES('ti', T.RESTRICTION_CUES)} - {CUES('tj', T.RESTRICTION_CUES)}) AS restriction_asymmetry, abs({CUES('ti', T.MODALS)} - {CUES('tj', T.MODALS)}) AS modal_asymmetry, (({NEG.format('ti')} + {NEG.format('tj')}) % 2)::BIGINT AS negation_parity,
- (len(fa) > 0 AND len(fb) > 0 AND NOT list_has_any(fa, fb))::BIGINT AS figure_clash,
- (len(list_filter(fa, lambda x: regexp_matches(x, '^(19|20)[0-9]{{2}}$'))) > 0 AND len(list_filter(fb, lambda x: regexp_matches(x, '^(19|20)[0-9]{{2}}$'))) > 0 AND NOT list_has_any(list_filter(fa, lambda x: regexp_matches(x, '^(19|20)[0-9]{{2}}$')), list_filter(fb, lambda x: regexp_matches(x, '^(19|20)[0-9]{{2}}$'))))::BIGINT AS year_clash,
- round(coalesce(len(list_intersect(ca, cb)) / nullif(len(list_distinct(list_concat(ca, cb))), 0), 0), 9) AS jaccard, round(coalesce(len(list_intersect(cb, ca)) / nullif(len(cb), 0), 0), 9) AS containment,
- round(coalesce(least({WC.format('ti')}, {WC.format('tj')}) / nullif(greatest({WC.format('ti')}, {WC.format('tj')}), 0), 0), 9) AS length_ratio FROM k)"""
+k AS (SELECT *, {WSET.format('ti')} AS ca, {WSET.format('tj')} AS cb, {NUMS.format('ti')} AS fa, {NUMS.format('tj')} AS fb, {YEARS.format('ti')} AS ya, {YEARS.format('tj')} AS yb,
+ {CUES('ti', T.EXCEPTION_CUES)} AS exception_cues_i, {CUES('tj', T.EXCEPTION_CUES)} AS exception_cues_j, {CUES('ti', T.RESTRICTION_CUES)} AS restriction_cues_i, {CUES('tj', T.RESTRICTION_CUES)} AS restriction_cues_j,
+ {QUAL('ti')} AS qualifiers_i, {QUAL('tj')} AS qualifiers_j, {FIGP.format('ti')} AS ga, {FIGP.format('tj')} AS gb FROM pr),
+f AS (SELECT *, greatest(exception_cues_i, exception_cues_j) AS exception_cues_max, abs(exception_cues_i - exception_cues_j) AS exception_cues_asymmetry, abs(restriction_cues_i - restriction_cues_j) AS restriction_asymmetry,
+ abs(qualifiers_i - qualifiers_j) AS specificity_asymmetry, round(least({WC.format('ti')}, {WC.format('tj')}) / greatest({WC.format('ti')}, {WC.format('tj')}), 9) AS length_ratio,
+ round({JAC('fa', 'fb')}, 9) AS numeric_overlap, {CLASH('fa', 'fb')}::BIGINT AS numeric_clash, (len(ya) > 0 AND len(yb) > 0 AND list_sort(ya) <> list_sort(yb))::BIGINT AS year_clash,
+ greatest({CUES('ti', T.TEMPORAL_CUES)}, {CUES('tj', T.TEMPORAL_CUES)}) AS temporal_cues_max, greatest({CUES('ti', T.OPINION_CUES)}, {CUES('tj', T.OPINION_CUES)}) AS opinion_cues_max, round({JAC('ca', 'cb')}, 9) AS token_jaccard FROM k)"""
+FEATURES = """exception_cues_i exception_cues_j exception_cues_max exception_cues_asymmetry restriction_cues_i restriction_cues_j restriction_asymmetry qualifiers_i qualifiers_j
+specificity_asymmetry length_ratio numeric_overlap numeric_clash year_clash temporal_cues_max opinion_cues_max token_jaccard""".split()
+ROUNDED = ("length_ratio", "numeric_overlap", "token_jaccard")
 
 
 def _featured(spark, sf_dir):
     p = P.passage_pairs(gold(spark, sf_dir))
-    return p.select("instance_id", "doc_i", "doc_j", *[c.alias(n) for n, c in P.features(F.col("text_i"), F.col("text_j")).items()])
+    return p.select("*", *[c.alias(n) for n, c in P.features(F.col("text_i"), F.col("text_j")).items()])
 
 
-@query(f"WITH {PAIRS} SELECT instance_id, doc_i, doc_j, exceptions, exception_asymmetry, restriction_asymmetry, modal_asymmetry, negation_parity, figure_clash, year_clash, round(jaccard, 6) AS jaccard, round(containment, 6) AS containment, round(length_ratio, 6) AS length_ratio FROM f")
+@query(f"WITH {PAIRS} SELECT instance_id, doc_i, doc_j, {', '.join(f'round({c}, 6) AS {c}' if c in ROUNDED else c for c in FEATURES)} FROM f")
 def pair_features(spark, sf_dir):
-    """Lexical features of every two passages of an instance."""
+    """Seventeen lexical features of every two passages of an instance."""
     f = _featured(spark, sf_dir)
-    return f.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in f.dtypes])
+    return f.select("instance_id", "doc_i", "doc_j", *[F.round(c, 6).alias(c) if c in ROUNDED else F.col(c) for c in FEATURES])
 
 
-NLI = f"""{PAIRS}, nl AS (SELECT *, CASE WHEN figure_clash > 0 AND containment > 0.3 THEN 0.80 WHEN negation_parity > 0 AND containment > 0.3 THEN 0.65 WHEN containment > 0.7 THEN 0.05 WHEN containment > 0.35 THEN 0.10 ELSE 0.05 END AS con,
- CASE WHEN figure_clash > 0 AND containment > 0.3 THEN 0.15 WHEN negation_parity > 0 AND containment > 0.3 THEN 0.25 WHEN containment > 0.7 THEN 0.20 WHEN containment > 0.35 THEN 0.65 ELSE 0.90 END AS neu FROM f),
-rs AS (SELECT *, round(greatest(0, least(1, (0.6 * (con + 0.25 * neu) + 0.2 * least(1, exceptions / 2) + 0.1 * least(1, restriction_asymmetry / 2) + 0.15 * figure_clash + 0.1 * year_clash) * (0.35 + 0.65 * least(1, 3 * jaccard)))), 6) AS score FROM nl)"""
+NEGS = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in P.NEGATIONS) + "]"
+NLI = f"""{PAIRS}, nv AS (SELECT *, CASE WHEN len(ca) = 0 OR len(cb) = 0 THEN 'blank' WHEN {CLASH('ga', 'gb')} AND ov > 0.3 THEN 'figures' WHEN list_has_any(ca, {NEGS}) <> list_has_any(cb, {NEGS}) AND ov > 0.3 THEN 'polarity' WHEN ov > 0.7 THEN 'covered' WHEN ov > 0.35 THEN 'related' ELSE 'unrelated' END AS kind
+ FROM (SELECT *, coalesce(len(list_intersect(ca, cb)) / nullif(len(cb), 0), 0) AS ov FROM f)),
+nl AS (SELECT *, CASE kind WHEN 'blank' THEN 0.0 WHEN 'figures' THEN 0.80 WHEN 'polarity' THEN 0.65 WHEN 'related' THEN 0.10 ELSE 0.05 END AS con, CASE kind WHEN 'blank' THEN 1.0 WHEN 'figures' THEN 0.15 WHEN 'polarity' THEN 0.25 WHEN 'covered' THEN 0.20 WHEN 'related' THEN 0.65 ELSE 0.90 END AS neu FROM nv),
+rs AS (SELECT *, round(greatest(0, least(1, (0.6 * (con + 0.25 * neu) + 0.2 * least(1, exception_cues_max / 2) + 0.1 * least(1, restriction_asymmetry / 2) + 0.15 * numeric_clash + 0.1 * year_clash) * (0.35 + 0.65 * least(1, 3 * token_jaccard)))), 6) AS score FROM nl)"""
 
 
 def _ruled(spark, sf_dir):
+    f = _featured(spark, sf_dir).withColumn("nli", P.heuristic_entailment(F.col("text_i"), F.col("text_j")))
+    return f.withColumn("score", F.round(P.rule_score(F.col("nli"), {c: F.col(c) for c in f.columns}), 6))
+
+
+REL = "CASE WHEN token_jaccard < 0.2 THEN 'disjoint' WHEN numeric_clash = 0 AND exception_cues_max = 0 THEN 'redundant' WHEN restriction_asymmetry >= 1 OR specificity_asymmetry >= 2 THEN 'refinement' ELSE 'opposed' END"
+
+
+@query(f"""WITH {PAIRS}, t AS (SELECT instance_id, doc_i, doc_j, CASE WHEN temporal_cues_max >= 1 AND (year_clash > 0 OR numeric_clash > 0) THEN 'temporal' WHEN opinion_cues_max >= 1 THEN 'opinion'
+ WHEN exception_cues_max >= 1 OR (restriction_asymmetry >= 1 AND specificity_asymmetry >= 1) THEN 'conditional' WHEN numeric_clash > 0 OR token_jaccard > 0.45 THEN 'factual' ELSE 'no_conflict' END AS conflict_type, {REL} AS r FROM f)
+SELECT instance_id, doc_i, doc_j, conflict_type, CASE WHEN conflict_type = 'conditional' THEN r END AS scope_relation FROM t""")
+def rule_labels(spark, sf_dir):
+    """Conflict type, and the scope relation of conditional pairs, by surface rules."""
     f = _featured(spark, sf_dir)
-    cols = {c: F.col(c) for c in f.columns}
-    n = P.heuristic_entailment(F.col("containment"), F.col("figure_clash"), F.col("negation_parity"))
-    return f.withColumn("nli", n).withColumn("score", F.round(P.rule_score(F.col("nli"), cols), 6))
+    cols = {c: F.col(c) for c in FEATURES}
+    t = f.select("instance_id", "doc_i", "doc_j", P.rule_type(cols).alias("conflict_type"), P.rule_relation(cols).alias("r"))
+    return t.select("instance_id", "doc_i", "doc_j", "conflict_type", F.when(F.col("conflict_type") == "conditional", F.col("r")).alias("scope_relation"))
+
+
+@query(f"WITH {PAIRS} SELECT instance_id, doc_i, doc_j, sign(qualifiers_j - qualifiers_i)::BIGINT AS narrower FROM f")
+def more_specific(spark, sf_dir):
+    """Which passage is the more qualified: -1 the first, 1 the second, 0 neither."""
+    return _featured(spark, sf_dir).select("instance_id", "doc_i", "doc_j", F.signum(F.col("qualifiers_j") - F.col("qualifiers_i")).cast("bigint").alias("narrower"))
 
 
 @query(f"WITH {NLI} SELECT instance_id, doc_i, doc_j, con::DOUBLE AS contradiction, score::DOUBLE AS score, score >= 0.5 AS conflict, score BETWEEN 0.35 AND 0.75 AS escalate FROM rs")
@@ -170,15 +199,39 @@ def topsis_credibility(spark, sf_dir):
     return l.groupBy("instance_id", "pid").agg(F.round(F.when(away("p") + away("q") <= 1e-12, 0.5).otherwise(away("q") / (away("p") + away("q"))), 6).alias("closeness"))
 
 
-@query(f"""WITH RECURSIVE {PAIRS}, cn AS (SELECT instance_id, doc_i, doc_j FROM f WHERE (figure_clash > 0 OR negation_parity > 0) AND containment > 0.12),
-o AS (SELECT instance_id, x.id AS id, row_number() OVER (PARTITION BY instance_id ORDER BY x.id) AS i FROM u), al(instance_id, i, kept) AS (SELECT instance_id, 0::BIGINT, []::VARCHAR[] FROM g
- UNION ALL SELECT o.instance_id, o.i, CASE WHEN EXISTS (SELECT 1 FROM cn WHERE cn.instance_id = o.instance_id AND cn.doc_j = o.id AND list_contains(al.kept, cn.doc_i)) THEN al.kept ELSE list_append(al.kept, o.id) END FROM al JOIN o ON o.instance_id = al.instance_id AND o.i = al.i + 1)
+CONTRA = f"""{PAIRS}, od AS (SELECT a.instance_id, a.x.id AS i, b.x.id AS j, a.pos AS pi, b.pos AS pj, {WSET.format("coalesce(a.x.text, '')")} AS ca, {WSET.format("coalesce(b.x.text, '')")} AS cb, {FIGP.format("coalesce(a.x.text, '')")} AS ga, {FIGP.format("coalesce(b.x.text, '')")} AS gb FROM u a JOIN u b ON a.instance_id = b.instance_id AND a.pos <> b.pos),
+mx AS (SELECT *, CASE WHEN len(ca) = 0 OR len(cb) = 0 THEN 0.0 WHEN {CLASH('ga', 'gb')} AND ov > 0.3 THEN 0.80 WHEN list_has_any(ca, {NEGS}) <> list_has_any(cb, {NEGS}) AND ov > 0.3 THEN 0.65 WHEN ov > 0.7 THEN 0.05 WHEN ov > 0.35 THEN 0.10 ELSE 0.05 END AS con FROM (SELECT *, coalesce(len(list_intersect(ca, cb)) / nullif(len(cb), 0), 0) AS ov FROM od))"""
+
+
+def _matrix(spark, sf_dir):
+    """(instance_id, i, j, pi, pj, con): the contradiction of every ordered pair of passages, made inside each record's array."""
+    p = gold(spark, sf_dir).select("instance_id", F.posexplode("passages").alias("pi", "a"), "passages").select("instance_id", "pi", "a", F.posexplode("passages").alias("pj", "b")).where("pi <> pj")
+    text = lambda c: F.coalesce(F.col(f"{c}.text"), F.lit(""))
+    return p.select("instance_id", F.col("a.id").alias("i"), F.col("b.id").alias("j"), "pi", "pj", P.heuristic_entailment(text("a"), text("b"))["contradiction"].alias("con"))
+
+
+@query(f"WITH {CONTRA} SELECT instance_id, i, j, con::DOUBLE AS con FROM mx")
+def contradiction_matrix(spark, sf_dir):
+    """Contradiction of each passage by each other, as the lexical stand-in scores it."""
+    return _matrix(spark, sf_dir).select("instance_id", "i", "j", "con")
+
+
+@query(f"""WITH RECURSIVE {CONTRA}, cn AS (SELECT instance_id, least(i, j) AS a, greatest(i, j) AS b FROM mx GROUP BY ALL HAVING max(con) >= 0.5), o AS (SELECT instance_id, x.id AS id, pos + 1 AS i FROM u),
+al(instance_id, i, kept) AS (SELECT instance_id, 0::BIGINT, []::VARCHAR[] FROM g
+ UNION ALL SELECT o.instance_id, o.i, CASE WHEN EXISTS (SELECT 1 FROM cn WHERE cn.instance_id = o.instance_id AND ((cn.b = o.id AND list_contains(al.kept, cn.a)) OR (cn.a = o.id AND list_contains(al.kept, cn.b)))) THEN al.kept ELSE list_append(al.kept, o.id) END FROM al JOIN o ON o.instance_id = al.instance_id AND o.i = al.i + 1)
 SELECT instance_id, array_to_string(arg_max(kept, i), ' ') AS kept FROM al GROUP BY instance_id""")
 def contradiction_filter(spark, sf_dir):
-    """Passages in order; one that contradicts an earlier passage still alive is dropped: a fold over each record's few pairs."""
-    f = _featured(spark, sf_dir).where("(figure_clash > 0 OR negation_parity > 0) AND containment > 0.12")
-    cn = f.groupBy("instance_id").agg(F.collect_set(F.concat_ws("|", "doc_i", "doc_j")).alias("cn"))  # pairs of one record
-    ids = gold(spark, sf_dir).select("instance_id", F.array_sort("passages.id").alias("ids")).join(cn, "instance_id", "left")
-    cn_or_none = F.coalesce("cn", F.array().cast("array<string>"))
-    keep = F.aggregate("ids", F.array().cast("array<string>"), lambda kept, j: F.when(F.exists(kept, lambda i: F.array_contains(cn_or_none, F.concat_ws("|", i, j))), kept).otherwise(F.array_append(kept, j)))
-    return ids.select("instance_id", F.array_join(keep, " ").alias("kept"))
+    """Passages in rank order; one that contradicts, in either direction, an earlier one still kept is dropped."""
+    pair = F.concat_ws("|", F.least("i", "j"), F.greatest("i", "j"))
+    cn = _matrix(spark, sf_dir).where("con >= 0.5").groupBy("instance_id").agg(F.collect_set(pair).alias("cn"))  # pairs of one record
+    d = gold(spark, sf_dir).select("instance_id", F.col("passages.id").alias("ids")).join(cn, "instance_id", "left")
+    known = F.coalesce("cn", F.array().cast("array<string>"))
+    return d.select("instance_id", F.array_join(P.alive_in_order(F.col("ids"), lambda i, j: F.array_contains(known, F.concat_ws("|", F.least(i, j), F.greatest(i, j)))), " ").alias("kept"))
+
+
+@query(f"""WITH {CONTRA}, t AS (SELECT instance_id, j AS id, round(sum(con), 6) AS total FROM mx GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY total DESC, id DESC) AS r FROM t) SELECT instance_id, id AS dropped, total::DOUBLE AS total FROM r WHERE r = 1 AND total >= 0.5""")
+def odd_one_out(spark, sf_dir):
+    """The one passage the others contradict most, where they do so by one half or more; of equal ones the greater id."""
+    t = _matrix(spark, sf_dir).groupBy("instance_id", F.col("j").alias("id")).agg(F.round(F.sum("con"), 6).alias("total"))
+    worst = t.groupBy("instance_id").agg(F.max(F.struct("total", "id")).alias("w")).where("w.total >= 0.5")
+    return worst.select("instance_id", F.col("w.id").alias("dropped"), F.col("w.total").alias("total"))

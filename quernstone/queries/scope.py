@@ -14,19 +14,18 @@ QUERIES, ORACLES, query = family()
 
 def branches(spark, sf_dir) -> DataFrame:
     b = gold(spark, sf_dir).select("instance_id", F.explode("gold_branches").alias("b"))
-    one = F.transform(F.coalesce("b.applicability.attributes", F.array()), S.attribute)
-    return b.select("instance_id", F.col("b.branch_id").alias("branch_id"), "b.outcome", F.coalesce("b.applicability.is_default", F.lit(False)).alias("is_default"), one.alias("attributes"))
+    return b.select("instance_id", F.col("b.branch_id").alias("branch_id"), "b.outcome", F.coalesce("b.applicability.is_default", F.lit(False)).alias("is_default"), S.attributes(F.col("b.applicability.attributes")).alias("attributes"))
 
 
 BR = """gb AS (SELECT instance_id, any_value(gold_branches) AS bs FROM gold_instances GROUP BY 1), br AS (SELECT instance_id, b.branch_id AS bid, b.outcome AS outcome, coalesce(b.applicability.is_default, false) AS def, b.applicability.attributes AS ats FROM (SELECT instance_id, unnest(bs) AS b FROM gb)),
-av AS (SELECT instance_id, bid, a.name AS name, a.kind AS kind, a.values AS vals, coalesce(a.min_value, '-inf'::DOUBLE) AS lo, coalesce(a.max_value, 'inf'::DOUBLE) AS hi, a.boolean_value AS flag FROM (SELECT instance_id, bid, unnest(ats) AS a FROM br)),
-pb AS (SELECT a.instance_id, a.bid AS a, b.bid AS b, a.def AS da, b.def AS db, a.outcome = b.outcome AS agree, len(a.ats) AS na, len(b.ats) AS nb FROM br a JOIN br b ON a.instance_id = b.instance_id AND a.bid < b.bid),
-ar AS (SELECT x.instance_id, x.bid AS a, y.bid AS b, CASE WHEN x.kind <> y.kind THEN 'unknown'
- WHEN x.kind = 'categorical' THEN CASE WHEN len(list_intersect(x.vals, y.vals)) = 0 THEN 'disjoint' WHEN len(list_intersect(x.vals, y.vals)) = len(list_distinct(x.vals)) AND len(list_intersect(x.vals, y.vals)) = len(list_distinct(y.vals)) THEN 'equal' WHEN len(list_intersect(x.vals, y.vals)) = len(list_distinct(x.vals)) THEN 'subset' WHEN len(list_intersect(x.vals, y.vals)) = len(list_distinct(y.vals)) THEN 'superset' ELSE 'overlapping' END
- WHEN x.kind = 'numeric' THEN CASE WHEN x.lo > y.hi OR y.lo > x.hi THEN 'disjoint' WHEN x.lo = y.lo AND x.hi = y.hi THEN 'equal' WHEN x.lo >= y.lo AND x.hi <= y.hi THEN 'subset' WHEN y.lo >= x.lo AND y.hi <= x.hi THEN 'superset' ELSE 'overlapping' END
- WHEN x.kind = 'boolean' THEN CASE WHEN x.flag = y.flag THEN 'equal' ELSE 'disjoint' END ELSE 'unknown' END AS r FROM av x JOIN av y ON x.instance_id = y.instance_id AND x.bid < y.bid AND x.name = y.name),
+av AS (SELECT instance_id, bid, lower(trim(a.name)) AS name, a.kind AS kind, list_transform(coalesce(a.values, []), lambda v: lower(trim(v))) AS vals, coalesce(a.min_value, '-inf'::DOUBLE) AS lo, coalesce(a.max_value, 'inf'::DOUBLE) AS hi, a.boolean_value AS flag FROM (SELECT instance_id, bid, unnest(ats) AS a FROM br)),
+pb AS (SELECT a.instance_id, a.bid AS a, b.bid AS b, a.def AS da, b.def AS db, a.outcome = b.outcome AS agree, coalesce(len(a.ats), 0) AS na, coalesce(len(b.ats), 0) AS nb, len(list_filter(list_concat(a.ats, b.ats), lambda t: t.kind NOT IN ('categorical', 'ordered_tier', 'numeric', 'numeric_range', 'boolean'))) > 0 AS free FROM br a JOIN br b ON a.instance_id = b.instance_id AND a.bid < b.bid),
+ar AS (SELECT x.instance_id, x.bid AS a, y.bid AS b, CASE WHEN x.kind NOT IN ('categorical', 'ordered_tier', 'numeric', 'numeric_range', 'boolean') OR y.kind NOT IN ('categorical', 'ordered_tier', 'numeric', 'numeric_range', 'boolean') THEN 'unknown' WHEN x.kind <> y.kind THEN 'overlapping'
+ WHEN x.kind IN ('categorical', 'ordered_tier') THEN CASE WHEN len(list_intersect(x.vals, y.vals)) = 0 THEN 'disjoint' WHEN len(list_intersect(x.vals, y.vals)) = len(list_distinct(x.vals)) AND len(list_intersect(x.vals, y.vals)) = len(list_distinct(y.vals)) THEN 'equal' WHEN len(list_intersect(x.vals, y.vals)) = len(list_distinct(x.vals)) THEN 'subset' WHEN len(list_intersect(x.vals, y.vals)) = len(list_distinct(y.vals)) THEN 'superset' ELSE 'overlapping' END
+ WHEN x.kind IN ('numeric', 'numeric_range') THEN CASE WHEN x.lo > y.hi OR y.lo > x.hi THEN 'disjoint' WHEN x.lo = y.lo AND x.hi = y.hi THEN 'equal' WHEN x.lo >= y.lo AND x.hi <= y.hi THEN 'subset' WHEN y.lo >= x.lo AND y.hi <= x.hi THEN 'superset' ELSE 'overlapping' END
+ WHEN x.kind = 'boolean' THEN CASE WHEN x.flag IS NOT DISTINCT FROM y.flag THEN 'equal' ELSE 'disjoint' END ELSE 'unknown' END AS r FROM av x JOIN av y ON x.instance_id = y.instance_id AND x.bid < y.bid AND x.name = y.name),
 sr AS (SELECT instance_id, a, b, count(*) AS ns, bool_or(r = 'disjoint') AS dis, bool_or(r = 'unknown') AS unk, bool_and(r IN ('equal', 'subset')) AS sub, bool_and(r IN ('equal', 'superset')) AS sup FROM ar GROUP BY ALL),
-rel AS (SELECT pb.*, CASE WHEN da AND db THEN 'equal' WHEN da THEN 'superset' WHEN db THEN 'subset' WHEN dis THEN 'disjoint' WHEN unk THEN 'unknown' WHEN ns IS NULL THEN 'overlapping' WHEN sub AND nb = ns AND sup AND na = ns THEN 'equal' WHEN sub AND nb = ns THEN 'subset' WHEN sup AND na = ns THEN 'superset' ELSE 'overlapping' END AS relation FROM pb LEFT JOIN sr USING (instance_id, a, b)),
+rel AS (SELECT pb.*, CASE WHEN da AND db THEN 'equal' WHEN da THEN 'superset' WHEN db THEN 'subset' WHEN na = 0 OR nb = 0 THEN 'unknown' WHEN dis THEN 'disjoint' WHEN free THEN 'unknown' WHEN ns IS NULL THEN 'overlapping' WHEN sub AND nb = ns AND sup AND na = ns THEN 'equal' WHEN sub AND nb = ns THEN 'subset' WHEN sup AND na = ns THEN 'superset' ELSE 'overlapping' END AS relation FROM pb LEFT JOIN sr USING (instance_id, a, b)),
 vd AS (SELECT *, CASE WHEN relation = 'disjoint' THEN 'disjoint' WHEN relation = 'unknown' THEN 'opposed' WHEN agree THEN 'redundant' WHEN relation IN ('subset', 'superset') THEN 'refinement' ELSE 'opposed' END AS verdict FROM rel)"""
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
+from quernstone.functions.html import html_text
 from quernstone.operators.chunking import packed, packed_sentences
 from quernstone.queries._registry import family
 from quernstone.sources.tables import table
@@ -12,11 +13,14 @@ from quernstone.sources.tables import table
 QUERIES, ORACLES, query = family()
 
 PAGES = "pages AS (SELECT doc, arg_max(elements, fetched_at) AS elements, max(url) AS url, arg_max(title, fetched_at) AS title FROM guide_docs GROUP BY doc)"
-ELEMENTS = PAGES + r""", el AS (SELECT doc, url, title, pos::BIGINT AS pos, raw,
- CASE WHEN regexp_matches(raw, '(?s)^<\w+>.*</\w+>$') THEN regexp_extract(raw, '^<(\w+)>', 1) ELSE '' END AS tag,
- CASE WHEN regexp_matches(raw, '(?s)^<\w+>.*</\w+>$') THEN regexp_replace(regexp_replace(raw, '^<\w+>', ''), '</\w+>$', '') ELSE raw END AS txt
- FROM (SELECT doc, url, title, unnest(elements) AS raw, unnest(range(len(elements))) AS pos FROM pages))"""
-WORDS = "len(regexp_extract_all({}, '[^ \\t\\n\\r\\f\\x0B]+'))::BIGINT"
+SPACE = T.SPACE.replace("{", "{{").replace("}", "}}")  # for a format string
+STRIP = rf"regexp_replace({{}}, '^[{SPACE}]+|[{SPACE}]+$', '', 'g')"
+INNER = r"CASE WHEN regexp_matches(s, '(?s)^<\w+>.*</\w+>$') THEN regexp_replace(regexp_replace(s, '^<\w+>', ''), '</\w+>$', '') ELSE s END"
+ELEMENTS = PAGES + rf""", el AS (SELECT doc, url, title, pos::BIGINT AS pos, raw,
+ CASE WHEN regexp_matches(s, '(?s)^<\w+>.*</\w+>$') THEN lower(regexp_extract(s, '^<(\w+)>', 1)) ELSE 'p' END AS tag,
+ {STRIP.format(INNER)} AS txt
+ FROM (SELECT doc, url, title, raw, pos, {STRIP.format('raw')} AS s FROM (SELECT doc, url, title, unnest(elements) AS raw, unnest(range(len(elements))) AS pos FROM pages)))"""
+WORDS = rf"len(regexp_extract_all({{}}, '[^{SPACE}]+'))::BIGINT"
 DOCS = "docs AS (SELECT doc_id, max(text) AS text, max(source) AS source, max(publisher) AS publisher, max(source_type) AS source_type, max(url) AS url, max(lang) AS lang FROM documents GROUP BY doc_id)"
 SENTENCES = DOCS + r""", lines AS (SELECT doc_id, source, li, trim(regexp_replace(l, '[ \t\r\f\x0B]+', ' ', 'g')) AS l FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS li FROM docs)),
 sents AS (SELECT doc_id, source, s, row_number() OVER (PARTITION BY doc_id ORDER BY li, si) - 1 AS pos FROM (SELECT doc_id, source, li, unnest(ss) AS s, unnest(range(len(ss))) AS si FROM
@@ -98,9 +102,15 @@ def chunk_fixed_150(spark, sf_dir):
     return packed(_packable(spark, sf_dir), "doc", 150)
 
 
-@query()
+@query(f"""WITH RECURSIVE {ELEMENTS}, e AS (SELECT doc, pos, tag, {WORDS.format('txt')} AS w FROM el),
+pr AS (SELECT *, sum(w) OVER w AS cum, pos - 1 - coalesce(max(CASE WHEN tag NOT IN ('h1','h2','h3','h4') THEN pos END) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS heads FROM e WINDOW w AS (PARTITION BY doc ORDER BY pos)),
+l AS (SELECT doc, list(cum ORDER BY pos) AS cums FROM pr GROUP BY doc),
+fold(doc, pos, start) AS (SELECT doc, 0::BIGINT, 0::BIGINT FROM l UNION ALL SELECT p.doc, p.pos, CASE WHEN p.pos > f.start AND (p.cum - coalesce(cums[f.start], 0) > 100 OR p.tag IN ('h1','h2')) THEN p.pos - least(p.heads, p.pos - 1 - f.start) ELSE f.start END
+ FROM fold f JOIN pr p ON p.doc = f.doc AND p.pos = f.pos + 1 JOIN l ON l.doc = f.doc),
+st AS (SELECT doc, start, row_number() OVER w - 1 AS idx, lead(start) OVER w AS nxt FROM (SELECT DISTINCT doc, start FROM fold) WINDOW w AS (PARTITION BY doc ORDER BY start))
+SELECT doc, idx, start AS el_start, coalesce(nxt, len(cums)) AS el_end, (cums[coalesce(nxt, len(cums))] - coalesce(cums[start], 0))::BIGINT AS n_words FROM st JOIN l USING (doc)""")
 def chunk_section_100(spark, sf_dir):
-    """Pages packed into chunks of 100 words that open at top headings and never end with a heading (tested by hand)."""
+    """Pages packed into chunks of 100 words that open at top headings and never end with a heading."""
     return packed(_packable(spark, sf_dir), "doc", 100, section=True)
 
 
@@ -158,3 +168,18 @@ def document_figures(spark, sf_dir):
     """The distinct figures of each document."""
     d = documents(spark, sf_dir).where("text IS NOT NULL").select("doc_id", F.array_sort(T.figures(F.col("text"))).alias("v"))
     return d.select("doc_id", F.size("v").cast("bigint").alias("n_figures"), F.array_join("v", " ").alias("figures"))
+
+
+SQUEEZE = rf"trim(regexp_replace({{}}, '[{SPACE}]+', ' ', 'g'))"
+
+
+@query(f"""WITH {ELEMENTS}, l AS (SELECT doc, title, pos, {SQUEEZE.format('txt')} AS t FROM el WHERE NOT regexp_matches(txt, '[<&]'))
+SELECT doc, {SQUEEZE.format("coalesce(max(title), '')")} AS title, count(*) FILTER (t <> '') AS n_lines, md5(coalesce(string_agg(t, chr(10) ORDER BY pos) FILTER (t <> ''), '')) AS text_md5 FROM l GROUP BY doc""")
+def html_pages(spark, sf_dir):
+    """Pages written as HTML with navigation, scripts and a footer around them, and read back: title, lines and text."""
+    e = elements(spark, sf_dir).where(~F.col("txt").rlike("[<&]"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tag", "txt"))), lambda x: F.concat(F.lit("<"), x["tag"], F.lit(">"), x["txt"], F.lit("</"), x["tag"], F.lit(">"))), "")
+    page = F.concat(F.lit("<html><head><title>"), F.coalesce(F.max("title"), F.lit("")), F.lit("</title><style>p {}</style></head><body><nav><ul><li>Menu</ul></nav><main>"), body, F.lit("</main><footer><p>Imprint</footer><script>1 < 2</script></body></html>"))
+    read = e.groupBy("doc").agg(page.alias("html")).select("doc", html_text("html").alias("r"))
+    lines = F.filter(F.split("r.text", "\n"), lambda x: x != "")
+    return read.select("doc", F.col("r.title").alias("title"), F.size(lines).cast("bigint").alias("n_lines"), F.md5("r.text").alias("text_md5"))

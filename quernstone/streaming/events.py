@@ -41,16 +41,30 @@ def windowed(events: DataFrame, window: Column, late: str, keys: list[str]) -> D
     return w.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, "n", F.round("total", 4).alias("total"))
 
 
-def update_table(stream: DataFrame, merge: Callable[[DataFrame, DataFrame | None], DataFrame]) -> DataFrame:
-    """Fold every micro-batch into a table by ``merge(batch, table)``, written version by version: what a run keeps by key."""
+def _versions(spark: SparkSession, base: str) -> list[int]:
+    """The whole versions of a table, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(path)]
+    whole = lambda n: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{n}/_SUCCESS"))
+    return sorted(int(n[2:]) for n in names if n.startswith("v=") and whole(n))
+
+
+def update_table(stream: DataFrame, merge: Callable[[DataFrame, DataFrame | None], DataFrame], base: str | None = None) -> DataFrame:
+    """Fold every micro-batch into a table by ``merge(batch, table)``: what a run keeps by key.
+
+    Batch n is merged with the newest whole version before n into version n, so a batch run again after a failure gives the same
+    version, and a query started again on the same ``base`` goes on from what is on the disk.
+    """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/quernstone-table-{uuid.uuid4().hex}"
-    state = {"at": None}
+    base = base or f"{shared_dir(spark)}/quernstone-table-{uuid.uuid4().hex}"
 
     def fold(batch: DataFrame, epoch: int) -> None:
-        old = spark.read.parquet(state["at"]) if state["at"] else None
+        before = [v for v in _versions(spark, base) if v < epoch]
+        old = spark.read.parquet(f"{base}/v={before[-1]}") if before else None
         merge(batch, old).write.mode("overwrite").parquet(f"{base}/v={epoch}")
-        state["at"] = f"{base}/v={epoch}"
 
     stream.writeStream.foreachBatch(fold).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(state["at"])
+    return spark.read.parquet(f"{base}/v={_versions(spark, base)[-1]}")

@@ -26,7 +26,9 @@ def test_tokens_and_normal_forms(spark):
     assert one(spark, T.squad_normal(F.lit("The  AFL, (a) league."))) == "afl league"
     assert one(spark, T.holds_tokens(F.lit("the AFLX league"), F.lit("AFL"))) is False
     assert one(spark, T.figures(F.lit("£1,270 and 2.50 and 1270"))) == ["1270", "2.5"]
-    assert one(spark, T.tag_of(F.lit("<li>a\nb</li>"))) == "li" and one(spark, T.text_of(F.lit("bare"))) == "bare"
+    assert one(spark, T.tag_of(F.lit("<li>a\nb</li>"))) == "li" and one(spark, T.tag_of(F.lit("<LI>a</LI>"))) == "li"
+    assert one(spark, T.tag_of(F.lit(" bare\u00a0"))) == "p" and one(spark, T.text_of(F.lit(" bare\u00a0"))) == "bare"
+    assert one(spark, T.word_count(F.lit("one\u00a0two\n three"))) == 3
 
 
 @pytest.mark.parametrize("url", ["https://a.example/x", "HTTP://A.example/x/", "http://www.a.example/x#top", "https://a.example:443/x?utm_source=n&page=1", " https://a.example//x?print=true "])
@@ -43,6 +45,7 @@ def test_packing():
     assert pack_elements([3, 3, 9, 2], ["p"] * 4, 6, False) == [(0, 2), (2, 3), (3, 4)]
     assert pack_elements([1, 1, 1, 1], ["p", "h2", "p", "p"], 9, True) == [(0, 1), (1, 4)]
     assert pack_elements([5, 1, 5], ["p", "h3", "p"], 6, True) == [(0, 1), (1, 3)]
+    assert pack_elements([5, 1, 6], ["p", "h3", "p"], 6, True) == [(0, 1), (1, 3)]  # a heading goes with what follows, past the budget
     assert pack_elements([], [], 6, True) == []
     assert pack_sentences([100, 30, 40, 5], 140, 50) == [(0, 4)]
     assert pack_sentences([100, 60, 90], 140, 50) == [(0, 1), (1, 2), (2, 3)]
@@ -83,32 +86,56 @@ def test_kappa_of_one_category_is_withheld(spark):
 
 
 def attr(name, kind, values=None, lo=None, hi=None, flag=None):
-    return {"name": name, "kind": kind, "values": sorted(values or []), "lo": float("-inf") if lo is None else lo, "hi": float("inf") if hi is None else hi, "flag": flag, "text": None}
+    return {"name": name, "kind": kind, "values": sorted(values or []), "lo": float("-inf" if lo is None else lo), "hi": float("inf" if hi is None else hi), "flag": flag, "text": None}
+
+
+# every scope over a colour, a weight and whether something is fragile, and every parcel that tells scopes apart
+COLOURS = [None, attr("colour", "categorical", ["red"]), attr("colour", "ordered_tier", ["blue", "red"]), attr("colour", "categorical", ["green"])]
+WEIGHTS = [None, attr("kilos", "numeric_range", lo=2), attr("kilos", "numeric", lo=1, hi=2), attr("kilos", "numeric", hi=1)]
+FRAGILE = [None, attr("fragile", "boolean", flag=True), attr("fragile", "boolean", flag=False)]
+SCOPES = [[a for a in x if a] for x in itertools.product(COLOURS, WEIGHTS, FRAGILE)]
+PARCELS = list(itertools.product(["red", "blue", "green", "plaid"], [0.5, 1, 1.5, 2, 9], [True, False]))
+
+
+def lies_in(scope, parcel):
+    inside = {"colour": lambda a: parcel[0] in a["values"], "kilos": lambda a: a["lo"] <= parcel[1] <= a["hi"], "fragile": lambda a: a["flag"] == parcel[2]}
+    return all(inside[a["name"]](a) for a in scope)
 
 
 def test_satisfiability_against_enumeration():
-    rng = random.Random(0)
-    cases = list(itertools.product(["a", "b", "c", "other"], [True, False], [0, 5, 10, 17.5, 18, 25, 30, 40, 65, 70]))
-
-    def scope():
-        out = {}
-        if rng.random() < 0.6:
-            out["tier"] = attr("tier", "categorical", rng.sample(["a", "b", "c"], rng.randint(1, 2)))
-        if rng.random() < 0.4:
-            out["student"] = attr("student", "boolean", flag=rng.random() < 0.5)
-        if rng.random() < 0.6 or not out:
-            lo, hi = sorted(rng.sample([0, 18, 30, 65], 2))
-            out["age"] = attr("age", "numeric", lo=lo, hi=hi)
-        return out
-
-    def holds(s, case):
-        tier, student, age = case
-        return all({"tier": lambda a: tier in a["values"], "student": lambda a: student == a["flag"], "age": lambda a: a["lo"] <= age <= a["hi"]}[n](a) for n, a in s.items())
-
-    for _ in range(400):
-        ins, outs = [scope() for _ in range(rng.randint(0, 2))], [scope() for _ in range(rng.randint(0, 3))]
-        expected = any(all(holds(s, c) for s in ins) and not any(holds(s, c) for s in outs) for c in cases)
-        assert S._satisfiable(ins, outs) == expected, (ins, outs)
+    rng = random.Random(5)
+    typed = [(s, S.constraints(s)) for s in SCOPES]
+    for _ in range(1500):
+        ins, outs = rng.choices(typed, k=rng.randrange(4)), rng.choices(typed, k=rng.randrange(4))
+        expected = any(all(lies_in(s, p) for s, _ in ins) and not any(lies_in(s, p) for s, _ in outs) for p in PARCELS)
+        assert S.satisfiable([c for _, c in ins], [c for _, c in outs]) == expected, (ins, outs)
+
+
+def test_relations_against_enumeration(spark):
+    held = [frozenset(p for p in PARCELS if lies_in(s, p)) for s in SCOPES]
+    pairs = [(i, j) for i in range(1, len(SCOPES)) for j in range(1, len(SCOPES))]
+    d = spark.createDataFrame([(i, SCOPES[i], j, SCOPES[j]) for i, j in pairs], f"i int, a array<{S.ATTRIBUTE}>, j int, b array<{S.ATTRIBUTE}>")
+    got = {(r["i"], r["j"]): r["r"] for r in d.select("i", "j", S.scope_relation(F.col("a"), F.col("b"), F.lit(False), F.lit(False)).alias("r")).collect()}
+    for i, j in pairs:
+        if any(x["name"] == y["name"] and x["kind"] != y["kind"] for x in SCOPES[i] for y in SCOPES[j]):
+            continue  # kinds that differ are not compared by what they hold
+        a, b = held[i], held[j]
+        assert got[i, j] == ("disjoint" if not a & b else "equal" if a == b else "subset" if a < b else "superset" if a > b else "overlapping"), (SCOPES[i], SCOPES[j])
+
+
+def test_relations_that_nothing_decides(spark):
+    text = attr("note", "free_text")
+    red, light = [attr("colour", "categorical", ["red"])], [attr("kilos", "numeric", hi=1)]
+    cases = [([], red, "unknown"), (red, [text], "unknown"), (red, [*red, text], "unknown"), ([attr("colour", "categorical", ["blue"])], [*red, text], "disjoint"), (red, light, "overlapping"), ([*red, attr("colour", "categorical", ["blue"])], [attr("colour", "categorical", ["blue"])], "equal")]
+    d = spark.createDataFrame([(a, b, x) for a, b, x in cases], f"a array<{S.ATTRIBUTE}>, b array<{S.ATTRIBUTE}>, expected string")
+    assert all(r["r"] == r["expected"] for r in d.select("expected", S.scope_relation(F.col("a"), F.col("b"), F.lit(False), F.lit(False)).alias("r")).collect())
+
+
+def test_deep_taxonomies_close(spark):
+    depth = 50
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(depth)] + [("n0", "n10"), ("x", None)], "child string, parent string")
+    got = {(r["node"], r["ancestor"]): r["distance"] for r in S.closure(edges).collect()}
+    assert len(got) == (depth + 1) * (depth + 2) // 2 and got["n0", "n50"] == 41 and got["n0", "n9"] == 9 and got["n3", "n3"] == 0
 
 
 def test_intervals_that_touch_merge(spark):
@@ -157,14 +184,21 @@ def test_salted_join_keeps_rows(spark):
         assert sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, salted.select(*plain.columns).collect()), key=str)
 
 
-def test_regions_of_nested_and_crossing_frames():
-    base = {"frame": "b0", "outcome": "no", "attributes": []}
-    adult = {"frame": "b1", "outcome": "yes", "attributes": [attr("age", "numeric", lo=18)]}
-    tier = {"frame": "b2", "outcome": "no", "attributes": [attr("tier", "categorical", ["a"])]}
+def test_regions_of_nested_and_crossing_frames(spark):
+    frame = lambda k, outcome, attributes=(), default=False: {"frame": k, "outcome": outcome, "is_default": default, "attributes": list(attributes)}
+    base = frame("b0", "no", default=True)
+    adult, tier = frame("b1", "yes", [attr("age", "numeric", lo=18)]), frame("b2", "no", [attr("tier", "categorical", ["a"])])
     got = {r[0]: r[1:] for r in S.regions([base, adult, tier])}
-    assert got["b0"] == ("no", "settled") and got["b0 b1"] == ("yes", "settled") and got["b0 b1 b2"] == (None, "contested") and "b1" not in got
+    assert got == {"b0": ("b0", "no", "assigned"), "b0 b1": ("b1", "yes", "assigned"), "b0 b2": ("b2", "no", "assigned"), "b0 b1 b2": ("b1 b2", None, "contested")}
+    assert ("", "", None, "uncovered") in S.regions([adult, tier])
+    odd = [frame("free", "x", [attr("note", "free_text")]), frame("bare", "x"), frame("never", "x", [attr("age", "numeric", lo=5), attr("age", "numeric", hi=4)]), frame("mixed", "x", [attr("tier", "numeric", lo=1)])]
+    status = {r[0]: r[3] for r in S.regions([tier, *odd])}
+    assert status == {"free": "indeterminate", "bare": "indeterminate", "never": "discarded", "mixed": "indeterminate", "b2": "indeterminate", "": "uncovered"}
     with pytest.raises(ValueError):
         S.regions([base] * 9)
+    rows = [("k", f["frame"], f["is_default"], f["attributes"], f["outcome"]) for f in (adult, tier)] + [("l", "b1", False, adult["attributes"], "you must pay"), ("l", "b2", False, tier["attributes"], "payment is due")]
+    d = S.partition(spark.createDataFrame(rows, f"k string, frame string, is_default boolean, attributes array<{S.ATTRIBUTE}>, outcome string"), "k")
+    assert {(r["k"], r["inside"]): r["status"] for r in d.collect()} == {("k", "b1"): "assigned", ("k", "b2"): "assigned", ("k", "b1 b2"): "contested", ("k", ""): "uncovered", ("l", "b1"): "assigned", ("l", "b2"): "assigned", ("l", "b1 b2"): "assigned", ("l", ""): "uncovered"}
 
 
 def test_answers_and_regions_are_not_cut():
@@ -173,5 +207,5 @@ def test_answers_and_regions_are_not_cut():
     gold = [(f"word{i}", []) for i in range(7)]
     assert conditional_score(gold[:5], gold) == pytest.approx((5 / 7,) * 4)
     assert conditional_score([("x", []), *gold[5:]], gold) == pytest.approx((2 / 7,) * 4)
-    frames = [{"frame": f"f{i:02}", "outcome": str(i), "attributes": [{"name": "age", "kind": "numeric", "lo": 10.0 * i, "hi": 10.0 * i + 5}]} for i in range(12)]
-    assert [r[0] for r in S.every_region(frames)] == [f"f{i:02}" for i in range(12)]
+    frames = [{"frame": f"f{i:02}", "outcome": str(i), "attributes": [attr("age", "numeric", lo=10.0 * i, hi=10.0 * i + 5)]} for i in range(12)]
+    assert sorted(r[0] for r in S.every_region(frames)) == ["", *(f"f{i:02}" for i in range(12))]

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quernstone.functions import html
+from quernstone.functions import outcomes as O
 from quernstone.operators import matching as X
 from quernstone.sources import stores as S
 
@@ -63,10 +64,33 @@ def test_conditional_scores():
 def test_outcomes_and_modality(spark):
     m = lambda a, b: spark.range(1).select(X.outcomes_match(F.lit(a), F.lit(b)).alias("v")).first()["v"]
     assert m("the transfer fee is waived", "transfer fee waived") and not m("a fee of 3 applies", "a fee of 5 applies") and not m("the fee is charged", "the fee is not charged") and not m(None, "yes")
-    k = lambda a: spark.range(1).select(X.modality(F.lit(a)).alias("v")).first()["v"]
+    k = lambda a: spark.range(1).select(O.modality(F.lit(a)).alias("v")).first()["v"]
+    assert [k(""), k("(per p0)"), k("a fee may apply"), k("you may not always pay"), k("you may not accept it"), k("it depends on you"), k("you are entitled to it")] == ["hedged"] * 4 + ["prohibition", "hedged", "permission"]
     assert [k("you may apply"), k("you may receive a waiver"), k("you must pay"), k("you cannot pay"), k("the fee is 3")] == ["permission", "hedged", "obligation", "prohibition", "statement"]
 
 
 def test_alignment_is_one_to_one(spark):
     p = spark.createDataFrame([("k", "a", "x", 0.9), ("k", "a", "y", 0.8), ("k", "b", "x", 0.9), ("k", "b", "y", 0.5), ("k", "c", "z", 0.1)], "k string, a string, b string, s double")
     assert sorted((r["a"], r["b"]) for r in X.greedy_alignment(p, "k", "a", "b", "s", 0.25).collect()) == [("a", "x"), ("b", "y")]
+
+
+def test_common_forms_of_outcomes(spark):
+    c = lambda a: spark.range(1).select(O.canonical_outcome(F.lit(a)).alias("v")).first()["v"]
+    assert c("Fee is waived (per p0)") == c("no fee applies") == "no fee applies"
+    assert c("You are not required to pay twenty-eight pounds") == "is not required to pay 28 pounds"
+    assert c("funds of 1,270 held for 28 consecutive days") == "funds of 1270 held for 28 consecutive days" and c("2.50 pounds, 28.0 days, 5.0 per cent") == "2.5 pounds, 28 days, 5%"
+    f = lambda a: sorted(spark.range(1).select(O.counted_figures(O.canonical_outcome(F.lit(a))).alias("v")).first()["v"])
+    assert f("funds of 1270 held for 28 consecutive days") == ["amount 1270", "day 28"] and f("5% for two years") == ["% 5", "year 2"]
+    v = lambda a, b: spark.range(1).select(X.values_match(F.lit(a), F.lit(b)).alias("v")).first()["v"]
+    assert v("you must pay", "payment is due") and not v("1270 for 28 days", "1270 for 14 days") and not v("", "") and not v("no fee applies", "a 3% fee applies")
+
+
+def test_streams_go_on_after_a_restart(spark, tmp_path):
+    from quernstone.streaming.events import update_table
+
+    merge = lambda batch, old: (batch if old is None else old.unionByName(batch)).groupBy("k").agg(F.sum("n").alias("n"))
+    for i, rows in enumerate([[("a", 1), ("b", 2)], [("a", 10)], [("c", 5), ("b", 1)]]):
+        spark.createDataFrame(rows, "k string, n bigint").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        stream = spark.readStream.schema("k string, n bigint").parquet(f"file://{tmp_path}/in")
+        got = update_table(stream, merge, f"file://{tmp_path}/table")  # each run is a query of its own, started on what the last one left
+    assert dict(map(tuple, got.collect())) == {"a": 11, "b": 3, "c": 5}
