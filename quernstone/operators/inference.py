@@ -75,3 +75,10 @@ def sign_flip(sums: DataFrame, flips: int = 2000, seed: str = "s") -> DataFrame:
     flipped = d.groupBy("draw").agg(F.sum(sign * F.col("s")).alias("t"))
     hit = F.abs("t") >= F.abs("obs") - 1e-9
     return flipped.crossJoin(F.broadcast(every)).groupBy("obs", "n_clusters").agg(F.round((F.sum(hit.cast("bigint")) + 1) / (F.count(F.lit(1)) + 1), 6).alias("p")).withColumn("obs", F.round("obs", 6))
+
+
+def auc_interval(a: Column, n_pos: Column, n_neg: Column, z: float = 1.96) -> tuple[Column, Column]:
+    """Closed-form interval of an AUC from the numbers of positives and negatives."""
+    q1, q2 = a / (2 - a), 2 * a * a / (1 + a)
+    half = z * F.sqrt((a * (1 - a) + (n_pos - 1) * (q1 - a * a) + (n_neg - 1) * (q2 - a * a)) / (n_pos * n_neg))
+    return a - half, a + half
