@@ -173,20 +173,45 @@ def wilson_intervals(spark, sf_dir):
     return n.select("system", "k", "n", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
 
+def horner_sql(c: tuple[float, ...], x: str) -> str:
+    out = str(c[0])
+    for a in c[1:]:
+        out = f"({out} * {x} + {a})"
+    return out.replace("+ -", "- ")
+
+
+def erfc_sql(z: str) -> str:
+    """erfc of a number of 0 or more, by the same approximation."""
+    t = f"(1 / (1 + 0.5 * {z}))"
+    return f"({t} * exp(-{z} * {z} + {horner_sql(I.ERFC[::-1], t)}))"
+
+
+def quantile_sql(p: str) -> str:
+    q, u, v = f"({p} - 0.5)", f"sqrt(-2 * ln({p}))", f"sqrt(-2 * ln(1 - {p}))"
+    tail = lambda x: f"{horner_sql(I.TAIL[0], x)} / {horner_sql(I.TAIL[1], x)}"
+    return f"(CASE WHEN {p} < 0.02425 THEN {tail(u)} WHEN {p} > 0.97575 THEN -({tail(v)}) ELSE {q} * {horner_sql(I.CENTRE[0], f'({q} * {q})')} / {horner_sql(I.CENTRE[1], f'({q} * {q})')} END)"
+
+
+def cdf_sql(x: str) -> str:
+    z = f"(abs({x}) / sqrt(2))"
+    return f"(CASE WHEN {x} <= 0 THEN 0.5 * {erfc_sql(z)} ELSE 1 - 0.5 * {erfc_sql(z)} END)"
+
+
 PAIRED = f"""{Q}, s AS (SELECT system, qid, bool_and(ok) AS ok FROM c GROUP BY system, qid), pr AS (SELECT a.system AS a, b.system AS b, count(*) FILTER (a.ok AND NOT b.ok) AS bb, count(*) FILTER (b.ok AND NOT a.ok) AS cc, count(*) AS n FROM s a JOIN s b ON a.qid = b.qid AND a.system < b.system GROUP BY ALL),
-pv AS (SELECT *, CASE WHEN bb + cc = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(least(bb, cc) + 1), lambda i: exp(lgamma(bb + cc + 1) - lgamma(i + 1) - lgamma(bb + cc - i + 1) - (bb + cc) * ln(2))))) END AS p FROM pr)"""
+pv AS (SELECT *, CASE WHEN bb + cc = 0 THEN 1.0 WHEN bb + cc < 25 THEN least(1.0, 2 * list_sum(list_transform(range(least(bb, cc) + 1), lambda i: exp(lgamma(bb + cc + 1) - lgamma(i + 1) - lgamma(bb + cc - i + 1) - (bb + cc) * ln(2)))))
+ ELSE least(1.0, {erfc_sql('sqrt((abs(bb - cc) - 1) ** 2 / (bb + cc) / 2)')}) END AS p FROM pr)"""
 
 
 def _paired(spark, sf_dir):
     s = cells(spark, sf_dir).groupBy("system", "qid").agg(F.bool_and("ok").alias("ok"))
     a, b = s.select("qid", F.col("system").alias("a"), F.col("ok").alias("oa")), s.select("qid", F.col("system").alias("b"), F.col("ok").alias("ob"))
     n = a.join(b, "qid").where("a < b").groupBy("a", "b").agg(M.count_if(F.col("oa") & ~F.col("ob")).alias("bb"), M.count_if(F.col("ob") & ~F.col("oa")).alias("cc"), F.count(F.lit(1)).alias("n"))
-    return n.withColumn("p", I.binomial_tail(F.col("bb"), F.col("cc")))
+    return n.withColumn("p", I.mcnemar(F.col("bb"), F.col("cc")))
 
 
 @query(f"WITH {PAIRED} SELECT a, b, bb, cc, n, round(p, 6) AS p FROM pv")
 def mcnemar_exact(spark, sf_dir):
-    """Exact McNemar test of every two systems on the questions both answered."""
+    """McNemar test of every two systems on the questions both answered, exact under 25 discordant ones."""
     return _paired(spark, sf_dir).withColumn("p", F.round("p", 6))
 
 
@@ -240,3 +265,80 @@ def pearson_spearman(spark, sf_dir):
     mean_rank = lambda c: F.rank().over(Window.partitionBy("system").orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy("system", c)) - 1) / 2
     r = x.withColumn("rx", mean_rank("x")).withColumn("ry", mean_rank("y"))
     return r.groupBy("system").agg(F.round(F.coalesce(F.corr("x", "y"), F.lit(0.0)), 6).alias("pearson"), F.round(F.coalesce(F.corr("rx", "ry"), F.lit(0.0)), 6).alias("spearman"))
+
+
+Z975, Z80, Z05 = f"{I.quantile(0.975)}::DOUBLE", f"{I.quantile(0.8)}::DOUBLE", f"({I.quantile(0.05)}::DOUBLE)"
+BCA = f"""{UNITS}, u AS (SELECT *, row_number() OVER (PARTITION BY system ORDER BY unit) - 1 AS i, count(*) OVER (PARTITION BY system) AS m FROM un),
+pk AS (SELECT system, d AS draw, ('0x' || substr(md5('b|' || d || '|' || i), 1, 8))::BIGINT % m AS i FROM u, (SELECT unnest(range(200)) AS d)), dr AS (SELECT system, draw, sum(s) / sum(n) AS mean FROM pk JOIN u USING (system, i) GROUP BY ALL),
+pt AS (SELECT system, sum(s) / sum(n) AS point, count(*) AS n_units FROM un GROUP BY system), jk AS (SELECT system, (sum(s) OVER w - s) / (sum(n) OVER w - n) AS v FROM un WINDOW w AS (PARTITION BY system)), dj AS (SELECT system, avg(v) OVER (PARTITION BY system) - v AS d FROM jk),
+ac AS (SELECT system, CASE WHEN sum(d * d) > 1e-18 THEN sum(d * d * d) / (6 * pow(sum(d * d), 1.5)) ELSE 0 END AS a FROM dj GROUP BY system), bl AS (SELECT system, greatest(1.0 / 201, least(1 - 1.0 / 201, avg((mean < point)::INT))) AS below FROM dr JOIN pt USING (system) GROUP BY system),
+zz AS (SELECT system, a, {quantile_sql('below')} AS z0 FROM bl JOIN ac USING (system))"""
+
+
+def _level(z: str) -> str:
+    return cdf_sql(f"(z0 + (z0 + {z}) / (1 - a * (z0 + {z})))")
+
+
+@query(f"""WITH {BCA}, lv AS (SELECT system, {_level(f'-{Z975}')} AS lo, {_level(Z975)} AS hi FROM zz), o AS (SELECT *, row_number() OVER (PARTITION BY system ORDER BY mean) - 1 AS r FROM dr)
+SELECT system, round(any_value(point), 6) AS point, round(max(CASE WHEN r = least(floor(lo * 200), 199) THEN mean END), 6) AS low, round(max(CASE WHEN r = least(floor(hi * 200), 199) THEN mean END), 6) AS high, any_value(n_units) AS n_units FROM o JOIN lv USING (system) JOIN pt USING (system) GROUP BY system""")
+def bca_intervals(spark, sf_dir):
+    """Bias-corrected and accelerated interval of the parsed share, pages as units."""
+    return I.bca(_units(spark, sf_dir), ["system"])
+
+
+@query(f"""WITH {BCA}, lv AS (SELECT system, {_level(Z05)} AS lo FROM zz), o AS (SELECT *, row_number() OVER (PARTITION BY system ORDER BY mean) - 1 AS r FROM dr)
+SELECT system, round(any_value(point), 6) AS point, round(max(CASE WHEN r = least(floor(lo * 200), 199) THEN mean END), 6) AS low, any_value(n_units) AS n_units FROM o JOIN lv USING (system) JOIN pt USING (system) GROUP BY system""")
+def one_sided_lower(spark, sf_dir):
+    """One-sided lower bound of the parsed share."""
+    return I.bca(_units(spark, sf_dir), ["system"], one_sided=True).drop("high")
+
+
+DIFF = f"""{Q}, px AS (SELECT doc AS unit, coalesce(sum(ok::INT) FILTER (system = 'top8'), 0)::DOUBLE AS sa, count(*) FILTER (system = 'top8') AS na, coalesce(sum(ok::INT) FILTER (system = 'top5'), 0)::DOUBLE AS sb, count(*) FILTER (system = 'top5') AS nb FROM c JOIN q USING (qid) WHERE system IN ('top8', 'top5') GROUP BY doc),
+u AS (SELECT *, row_number() OVER (ORDER BY unit) - 1 AS i, count(*) OVER () AS m FROM px), pk AS (SELECT d AS draw, ('0x' || substr(md5('b|' || d || '|' || i), 1, 8))::BIGINT % m AS i FROM u, (SELECT unnest(range(200)) AS d)),
+dr AS (SELECT draw, sum(sa) / nullif(sum(na), 0) - sum(sb) / nullif(sum(nb), 0) AS mean FROM pk JOIN u USING (i) GROUP BY draw)"""
+
+
+@query(f"""WITH {DIFF}, o AS (SELECT *, row_number() OVER (ORDER BY mean) - 1 AS r, count(*) OVER () AS b FROM dr WHERE mean IS NOT NULL) SELECT round((SELECT sum(sa) / sum(na) - sum(sb) / sum(nb) FROM px), 6) AS difference,
+round(max(CASE WHEN r = least(floor(0.025 * b), b - 1) THEN mean END), 6) AS low, round(max(CASE WHEN r = least(floor(0.975 * b), b - 1) THEN mean END), 6) AS high, round(avg((mean <= 0)::INT), 6) AS p_at_most_zero FROM o""")
+def bootstrap_difference(spark, sf_dir):
+    """Difference of two systems on the same draws of pages: interval, and the share of draws at 0 or below."""
+    side = lambda s, v: F.sum(F.when(F.col("system") == s, v).otherwise(F.lit(0.0)))
+    ok = F.col("ok").cast("double")
+    x = scored(spark, sf_dir).where(F.col("system").isin("top8", "top5")).groupBy(F.col("doc").alias("unit"))
+    x = x.agg(side("top8", ok).alias("sa"), side("top8", F.lit(1.0)).alias("na"), side("top5", ok).alias("sb"), side("top5", F.lit(1.0)).alias("nb"))
+    return I.paired_bootstrap(x)
+
+
+@query(f"""WITH {Q}, x AS (SELECT model, served_by AS unit, sum(CASE WHEN system = 'top8' THEN 1.0::DOUBLE ELSE -1.0 END * ok::INT) AS s FROM c WHERE system IN ('top8', 'top5') AND served_by IS NOT NULL GROUP BY ALL), k AS (SELECT model, list(s ORDER BY unit) AS d FROM x GROUP BY model HAVING count(*) <= 16),
+m AS (SELECT model, d, unnest(range((2 ** len(d))::BIGINT)) AS m FROM k), t AS (SELECT model, len(d) AS n, abs(list_sum(d)) AS obs, abs(list_sum(list_transform(d, lambda x, j: CASE WHEN (m >> (j - 1)::INT) & 1 = 1 THEN x ELSE -x END))) AS t FROM m)
+SELECT model, n, round(obs, 9) AS obs, round(avg((t >= obs - 1e-9)::INT), 9) AS p FROM t GROUP BY model, n, obs""")
+def sign_flip_enumerated(spark, sf_dir):
+    """Sign-flip test by all signs, providers as units: exact for up to sixteen."""
+    side = F.when(F.col("system") == "top8", 1.0).otherwise(-1.0)
+    x = cells(spark, sf_dir).where(F.col("system").isin("top8", "top5") & F.col("served_by").isNotNull()).groupBy("model", F.col("served_by").alias("unit")).agg(F.sum(side * F.col("ok").cast("int")).alias("s"))
+    return I.sign_flip_exact(x, ["model"])
+
+
+P = "(0.5 + e / (2 * d))"
+NEED = f"ceil(({Z975} * 0.5 + {Z80} * sqrt(greatest({P} * (1 - {P}), 0))) ** 2 / ({P} - 0.5) ** 2)"
+
+
+@query(f"""WITH g AS (SELECT round(e.i * 0.05, 2)::DOUBLE AS e, round(d.i * 0.1, 1)::DOUBLE AS d FROM range(1, 7) e(i), range(2, 9) d(i)) SELECT e AS effect, d AS discordant, CASE WHEN {P} >= 1 THEN 0 ELSE {NEED} END::BIGINT AS n_discordant, CASE WHEN {P} >= 1 THEN 0 ELSE ceil({NEED} / d) END::BIGINT AS n_items,
+ceil(({Z975} * sqrt(2 * (0.3 + e / 2) * (1 - 0.3 - e / 2)) + {Z80} * sqrt(0.3 * 0.7 + (0.3 + e) * (0.7 - e))) ** 2 / (e * e))::BIGINT AS n_unpaired FROM g""")
+def sample_sizes(spark, sf_dir):
+    """Items that a paired and an unpaired comparison need, over a grid of effects and discordance."""
+    g = spark.range(1, 7).select(F.round(F.col("id") * 0.05, 2).alias("e")).crossJoin(spark.range(2, 9).select(F.round(F.col("id") * 0.1, 1).alias("d")))  # 42 rows
+    disc, items = I.paired_size(F.col("e"), F.col("d"))
+    return g.select(F.col("e").alias("effect"), F.col("d").alias("discordant"), disc.alias("n_discordant"), items.alias("n_items"), I.proportion_size(F.lit(0.3), F.col("e")).alias("n_unpaired"))
+
+
+LCH = "(lgamma({0} + 1) - lgamma({1} + 1) - lgamma({0} - {1} + 1))"
+
+
+@query(f"""WITH g AS (SELECT n, 0.4::DOUBLE AS d, round(x.i * 0.05, 2) AS delta FROM (SELECT unnest([20, 40, 60])::BIGINT AS n), range(1, 9) x(i)), m AS (SELECT g.*, m.m FROM g, range(0, 61) m(m) WHERE m <= n),
+b AS (SELECT m.*, b.b FROM m, range(0, 61) b(b) WHERE b.b <= m.m), t AS (SELECT *, CASE WHEN m = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(least(b, m - b) + 1), lambda i: exp({LCH.format('m', 'i')} - m * ln(2))))) END AS p FROM b)
+SELECT n, delta, round(sum(CASE WHEN p <= 0.05 THEN exp({LCH.format('n', 'm')} + m * ln(d) + (n - m) * ln(1 - d)) * exp({LCH.format('m', 'b')}) * pow((d + delta) / (2 * d), b) * pow(1 - (d + delta) / (2 * d), m - b) ELSE 0 END), 6) AS power FROM t GROUP BY n, delta""")
+def mcnemar_power(spark, sf_dir):
+    """Exact power of McNemar's test for 20, 40 and 60 items at a discordance of 0.4, over differences: a double sum."""
+    g = spark.createDataFrame([(n, i * 0.05) for n in (20, 40, 60) for i in range(1, 9)], "n bigint, delta double").withColumn("delta", F.round("delta", 2))
+    return I.mcnemar_power(g, 0.4)
