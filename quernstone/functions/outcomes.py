@@ -74,6 +74,14 @@ def figure_steps() -> list[tuple[str, str]]:
     ]
 
 
+def figures_normal(text: Column) -> Column:
+    """Figures as ``figure_steps`` writes them."""
+    out = text
+    for pattern, by in figure_steps():
+        out = F.regexp_replace(out, pattern, by.replace("\\1\\2", "$1$2").replace("\\1", "$1"))
+    return out
+
+
 def canonical_steps() -> list[tuple[str, str]]:
     """From lower case on: numbers, figures, paraphrases (a sign stands for each until all have run), copulas, subjects, hyphens."""
     held = [chr(0x2460 + i) for i in range(len(PARAPHRASES))]
