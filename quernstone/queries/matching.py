@@ -1,7 +1,6 @@
 """Answers and branches against gold."""
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quernstone.functions import outcomes as O

@@ -4,7 +4,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quernstone.functions import text as T
 from quernstone.functions.urls import canonical_page
 from quernstone.queries._registry import family
 from quernstone.queries.evaluation import Q, cells
@@ -122,7 +121,9 @@ def release_redact(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.when(is_open, "open").otherwise("redact").alias("policy"), sha.alias("text_sha"), F.when(is_open, F.col("text")).otherwise(F.concat(F.lit("[redacted "), F.substring(sha, 1, 12), F.lit("]"))).alias("released"))
 
 
-@query("""WITH g AS (SELECT doc, regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^[a-z]+://(www\\.)?', ''), '[?#].*$', ''), '/+$', '') AS page, url FROM guide_docs) SELECT page, count(DISTINCT doc) AS n_docs, count(DISTINCT url) AS n_spellings FROM g GROUP BY page HAVING count(DISTINCT doc) > 1""".replace("\\\\", "\\"))
+@query(r"""WITH u AS (SELECT DISTINCT doc, url, regexp_replace(regexp_replace(lower(trim(url)), '^[a-z]+://', ''), '#.*$', '') AS u FROM guide_docs WHERE trim(url) <> ''),
+c AS (SELECT doc, url, regexp_replace(regexp_replace(split_part(u, '?', 1), '^www\.', ''), ':(80|443)(/|$)', '\2') AS p, list_sort(list_filter(string_split(split_part(u, '?', 2), '&'), lambda x: x <> '' AND NOT regexp_full_match(x, '(utm_\w+|ref|referrer|source|print|fbclid|gclid|share|session|sid|amp)(=.*)?|page=1|p=1|start=0|offset=0'))) AS args FROM u),
+g AS (SELECT doc, url, regexp_replace(regexp_replace(p, '/+', '/', 'g'), '/(index\.html?)?$', '') || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END AS page FROM c) SELECT page, count(DISTINCT doc) AS n_docs, count(DISTINCT url) AS n_spellings FROM g GROUP BY page HAVING count(DISTINCT doc) > 1""")
 def pages_under_two_ids(spark, sf_dir):
     """Pages that stand under more than one document id."""
     g = table(spark, sf_dir, "guide_docs").select("doc", canonical_page(F.col("url")).alias("page"), "url")

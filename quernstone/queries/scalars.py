@@ -10,9 +10,9 @@ from quernstone.operators import metrics as M
 from quernstone.operators.chunking import packed_sentences
 from quernstone.queries._registry import family
 from quernstone.queries.evaluation import cells
-from quernstone.queries.matching import LIST, MODAL, MONTHS, chain
+from quernstone.queries.matching import LIST, MONTHS, chain
 from quernstone.queries.pairs import gold
-from quernstone.queries.text import DOCS, SENTENCES, SPACE, WORDS, documents
+from quernstone.queries.text import DOCS, SENTENCES, WORDS, documents
 from quernstone.sources.tables import table
 
 QUERIES, ORACLES, query = family()
