@@ -4,8 +4,10 @@ Records are canonicalised (case folded, everything but letters and digits a spac
 one hash are one class, and evaluation classes are joined with training classes: the hash itself finds exact copies. Near
 copies are found by the hashes of the five-word shingles of the canonical text, winnowed: of every four in a row the least, so
 that eight words in a row in common are a common key. Only keys that both sides have can link; of those a class keeps its rarest, so many that two classes sharing ``SHARED`` of them must meet in one kept key (prefix
-filter, no cap on partners). A bit signature of the query is compared inside that join, before any pair is stored, and what is
-left is verified on the words of both records.
+filter, no cap on partners). A key that many classes have (a stock passage) is joined together with a word of the query: two records
+are the same only if they share ``SAME_QUERY`` of their queries' words, so they share one of the rarest of them, by the same prefix
+filter, and a group of any size falls apart without losing a pair. A bit signature of the query is compared inside these joins, before
+any pair is stored, and what is left is verified on the words of both records.
 
 Defined results: case and outer spaces of the split do not matter, splits other than those named take no part; null queries and
 passages are empty; records without any word match nothing; repeated rows count once; empty tables give empty results.
@@ -28,6 +30,8 @@ SHINGLE = 5
 WINDOW = 4
 #: Two near-same records share at least this part of the shingles by which either could meet the other side.
 SHARED = 0.7
+#: A key with more classes than this is joined with words of the query besides. It changes the plan only, not the result.
+MANY = 256
 #: Least part of the words of the longer query, and of the longer set of passages, that the other record has too.
 SAME_QUERY, SAME_TEXT = 0.6, 0.7
 
@@ -54,6 +58,18 @@ def _bits(text: Column) -> Column:
     return F.aggregate(F.split(text, " "), F.lit(0).cast("bigint"), lambda a, w: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int"))))
 
 
+def query_words(queries: DataFrame) -> DataFrame:
+    """``queries`` (k, cq) to (k, w): the rarest words of each query, so many that two queries which share ``SAME_QUERY`` of the words of
+    the longer one share one of these. A word that stands twice is two; a blank query has one blank word."""
+    own = F.array_sort(F.split("cq", " "))
+    numbered = F.transform("ws", lambda w, i: F.concat(w, F.lit("#"), (i - F.array_position("ws", w) + 1).cast("string")))
+    each = queries.select("k", own.alias("ws")).select("k", F.explode(numbered).alias("w"))
+    df = each.groupBy("w").agg(F.count(F.lit(1)).alias("n_w"))
+    part = Window.partitionBy("k")  # the words of one query
+    ranked = each.join(df, "w").withColumn("r", F.row_number().over(part.orderBy("n_w", "w"))).withColumn("m", F.count(F.lit(1)).over(part))
+    return materialize(ranked.where(F.col("r") <= F.col("m") - F.ceil(F.col("m") * SAME_QUERY) + 1).select("k", "w"), "query-words")
+
+
 def _overlap(a: str, b: str) -> float:
     x, y = a.split(), b.split()
     return sum((Counter(x) & Counter(y)).values()) / max(1, len(x), len(y))
@@ -90,9 +106,12 @@ def cross_split_pairs(records: DataFrame, train: tuple[str, ...] = ("train",), h
     can = salted_join(each, df, "h", hot=hot)
     own = Window.partitionBy("k")
     kept = can.withColumn("r", F.row_number().over(own.orderBy("df", "h"))).withColumn("m", F.count(F.lit(1)).over(own))
-    kept = materialize(kept.where(F.col("r") <= F.col("m") - F.ceil(F.col("m") * SHARED) + 1).select("k", "sides", "bits", "h"), "keys")
-    t = kept.where("sides <> 2").select("h", F.col("k").alias("t"), F.col("bits").alias("tb"))
-    e = kept.where("sides <> 1").select("h", F.col("k").alias("e"), F.col("bits").alias("eb"))
+    kept = materialize(kept.where(F.col("r") <= F.col("m") - F.ceil(F.col("m") * SHARED) + 1).select("k", "sides", "bits", "h", (F.col("df") > MANY).alias("many")), "keys")
+    crowded = kept.where("many")
+    words = query_words(reps.select(F.xxhash64("class").alias("k"), "cq").join(crowded.select("k").distinct(), "k", "left_semi"))
+    keyed = kept.where("NOT many").select("k", "sides", "bits", F.xxhash64("h").alias("h")).unionByName(crowded.join(words, "k").select("k", "sides", "bits", F.xxhash64("h", "w").alias("h")))
+    t = keyed.where("sides <> 2").select("h", F.col("k").alias("t"), F.col("bits").alias("tb"))
+    e = keyed.where("sides <> 1").select("h", F.col("k").alias("e"), F.col("bits").alias("eb"))
     # words in common set bits in common: the bits test passes whatever the exact test on words would pass
     alike = F.bit_count(F.col("tb").bitwiseAND(F.col("eb"))) >= 0.6 * SAME_QUERY * F.greatest(F.bit_count("tb"), F.bit_count("eb"))
     near = materialize(salted_join(t, e, "h").where((F.col("t") != F.col("e")) & alike).select("t", "e").distinct(), "near")

@@ -14,7 +14,6 @@ each target with nothing reached.
 from __future__ import annotations
 
 import base64
-import math
 from collections.abc import Iterator
 
 import pandas as pd

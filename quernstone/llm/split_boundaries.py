@@ -11,13 +11,15 @@ length: the bisection is iterative.
 """
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quernstone.plans.materialize import materialize
 from quernstone.plans.skew import salted_join
 from quernstone.sources.tables import table
 
@@ -81,6 +83,12 @@ def _strongest(after: np.ndarray, a: int, b: int, mid: float, least: int) -> int
     return int(at[np.argmin(np.abs(at - mid))])
 
 
+def spans(elements: list[str | None]) -> tuple[str, list[tuple[int, int]]]:
+    """The elements' texts, a line break between them, and where each word stands."""
+    text = "\n".join(e or "" for e in elements)
+    return text, [m.span() for m in re.finditer(r"[^\s\ufeff]+", text)]
+
+
 def pieces(elements: list[str | None], limit: int, overlap: int) -> list[dict]:
     """The pieces of one item; none if it is within the limit."""
     words, after = strengths(elements)
@@ -88,11 +96,12 @@ def pieces(elements: list[str | None], limit: int, overlap: int) -> list[dict]:
     overlap = min(max(0, overlap), limit - 1)
     if len(words) <= limit:
         return []
+    whole, at = spans(elements)
     out = []
     for k, (lo, hi) in enumerate(bisect(after, limit - overlap)):
         start = max(0, lo - overlap)
-        text = "".join(w + ("\n" if after[start + i] == ELEMENT else " ") for i, w in enumerate(words[start:hi]))
-        out.append({"piece": k, "word_start": start, "word_end": hi, "n_overlap": lo - start, "cut_at": NAMES[int(after[lo - 1])] if lo else NAMES[0], "text": text.rstrip()})
+        text = whole[at[start][0] : at[hi - 1][1]]
+        out.append({"piece": k, "word_start": start, "word_end": hi, "n_overlap": lo - start, "cut_at": NAMES[int(after[lo - 1])] if lo else NAMES[0], "text": text})
     return out
 
 
@@ -125,12 +134,12 @@ def oversized_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("doc").agg(F.max_by("elements", F.struct(F.coalesce("fetched_at", F.lit(0).cast("timestamp").cast("timestamp_ntz")), F.size("elements"))).alias("elements"))
         .select("doc", F.transform("elements", lambda e: F.coalesce(untagged(e), F.lit(""))).alias("texts"))
     )
-    counted = texts.withColumn("n", F.transform("texts", n_words))
-    joined = salted_join(c, counted, "doc")
-    size = F.greatest(F.lit(0), F.least("el_end", F.size("texts")) - F.greatest("el_start", F.lit(0)))
-    part = lambda x: F.slice(x, F.greatest("el_start", F.lit(0)) + 1, size)
+    counted = texts.select("doc", F.transform("texts", n_words).alias("n"))
+    size = lambda x: F.greatest(F.lit(0), F.least("el_end", F.size(x)) - F.greatest("el_start", F.lit(0)))
+    part = lambda x: F.slice(x, F.greatest("el_start", F.lit(0)) + 1, size(x))
     total = F.aggregate(part("n"), F.lit(0), lambda s, v: s + v)
-    return joined.withColumn("n_words", total).where("n_words > max_words").select("chunk_id", part("texts").alias("elements"), "n_words", "max_words", "overlap_words")
+    over = salted_join(c, counted, "doc").withColumn("n_words", total).where("n_words > max_words").drop("n")
+    return salted_join(over, texts, "doc").select("chunk_id", part("texts").alias("elements"), "n_words", "max_words", "overlap_words")
 
 
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,12 +152,24 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(oversized_chunks(spark, sf_dir), "chunk_id").where("piece = 0").select("chunk_id").distinct()
 
 
-QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces}
-ORACLES = {
-    "p4_found": r"""
+def p4_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each chunk cut: its words, how many of them the pieces hold in order without a gap, and whether all pieces keep the limit and
+    neighbours share what they should."""
+    over = materialize(oversized_chunks(spark, sf_dir).dropDuplicates(["chunk_id"]), "oversized")
+    p = split_oversized(over, "chunk_id").join(over.select("chunk_id", "n_words", "max_words", "overlap_words"), "chunk_id")
+    w = Window.partitionBy("chunk_id").orderBy("piece")  # the pieces of one chunk
+    before = F.lag("word_end").over(w)
+    p = p.withColumn("own", F.col("word_end") - F.col("word_start") - F.col("n_overlap")).withColumn("joined", F.coalesce(F.col("word_start") + F.col("n_overlap") == before, F.col("word_start") == 0))
+    held = n_words(F.col("text")) == F.col("word_end") - F.col("word_start")
+    kept = F.bool_and((F.col("word_end") - F.col("word_start") <= F.col("max_words")) & held)
+    shared = F.bool_and(F.col("joined") & ((F.col("piece") == 0) | (F.col("n_overlap") == F.least(F.col("overlap_words"), F.col("word_start") + F.col("n_overlap")))))
+    return p.groupBy("chunk_id").agg(F.max("n_words").cast("bigint").alias("n_words"), F.sum("own").cast("bigint").alias("n_held"), kept.alias("within_limit"), shared.alias("overlaps_kept"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces, "p4_cover": p4_cover}
+P4 = r"""
 WITH d AS (SELECT doc, arg_max(elements, fetched_at) AS elements FROM guide_docs GROUP BY doc),
-w AS (SELECT doc, list_transform(elements, lambda e: len(list_filter(string_split_regex(regexp_replace(regexp_replace(trim(e), '^<\w+>', ''), '</\w+>$', ''), '[\s\x{00A0}\x{2000}-\x{200A}\x{202F}\x{3000}\x{0085}]+'), lambda x: x <> ''))) AS n FROM d)
-SELECT DISTINCT chunk_id FROM chunks JOIN cut_limits USING (strategy) JOIN w USING (doc)
-WHERE coalesce(list_sum(list_slice(n, el_start + 1, el_end)), 0) > max_words
+w AS (SELECT doc, list_transform(elements, lambda e: len(list_filter(string_split_regex(regexp_replace(regexp_replace(trim(e), '^<\w+>', ''), '</\w+>$', ''), '[\s\x{00A0}\x{2000}-\x{200A}\x{202F}\x{3000}\x{0085}]+'), lambda x: x <> ''))) AS n FROM d),
+o AS (SELECT DISTINCT chunk_id, coalesce(list_sum(list_slice(n, el_start + 1, el_end)), 0)::BIGINT AS n_words FROM chunks JOIN cut_limits USING (strategy) JOIN w USING (doc) WHERE coalesce(list_sum(list_slice(n, el_start + 1, el_end)), 0) > max_words)
 """
-}
+ORACLES = {"p4_found": P4 + "SELECT chunk_id FROM o", "p4_cover": P4 + "SELECT chunk_id, n_words, n_words AS n_held, true AS within_limit, true AS overlaps_kept FROM o"}

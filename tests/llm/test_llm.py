@@ -171,6 +171,26 @@ def test_same_records_across_splits(spark):
     assert cross_split.cross_split_pairs(d.limit(0)).count() == 0
 
 
+def test_stock_passages_fall_apart_by_query(spark, monkeypatch):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(60)]
+    data = []
+    for i in range(120):  # every record has the stock passage; some queries are reworded copies
+        base = rng.sample(words, 8)
+        for split in ("train", "dev"):
+            q = [w if rng.random() > 0.15 else rng.choice(words) for w in base] if i % 3 == 0 else rng.sample(words, rng.randint(3, 9))
+            data.append((f"{split}{i:03}", split, " ".join(q), [TEXT]))
+    data += [("trainblank", "train", None, [TEXT]), ("devblank", "dev", "", [TEXT + " today"])]
+    overlap = lambda a, b: sum((Counter(a) & Counter(b)).values()) / max(1, len(a), len(b))
+    own = lambda q: (q or "").split()
+    brute = {(a[0], b[0]) for a in data for b in data if a[1] == "train" and b[1] == "dev" and (not own(a[2]) and not own(b[2]) or overlap(own(a[2]), own(b[2])) >= cross_split.SAME_QUERY)}
+    d = spark.createDataFrame(data, "id string, split string, query string, passages array<string>")
+    for many in (1, 256):
+        monkeypatch.setattr(cross_split, "MANY", many)
+        got = set(rows(cross_split.cross_split_pairs(d), "train_id", "eval_id"))
+        assert got == brute and len(brute) > 20
+
+
 # 4 ------------------------------------------------------------------------------------------------------------------------
 
 
@@ -194,6 +214,10 @@ def test_cuts_at_the_strongest_boundary():
     text = "one two three four. five six seven, eight nine ten"
     assert [p["text"] for p in split_boundaries.pieces([text], 6, 0)] == ["one two three four.", "five six seven, eight nine ten"]
     assert split_boundaries.pieces(["one two three four", "five six seven. eight"], 5, 0)[1]["cut_at"] == "element"
+    # texts come as stored
+    stored = ["one  two\u00a0three.", "\tfour\n five "]
+    cut = [p["text"] for p in split_boundaries.pieces(stored, 4, 1)]
+    assert all(t in "\n".join(stored) for t in cut) and any("two\u00a0three." in t for t in cut) and cut[-1].endswith("four\n five")
     assert split_boundaries.pieces(["w"] * 1 + ["x " * 100_000], 50, 5)[-1]["word_end"] == 100_001
 
 
@@ -237,6 +261,22 @@ def test_consensus_against_planted_truth(spark):
     assert min(v for k, v in rel.items() if k.startswith("good")) > max(v for k, v in rel.items() if k.startswith("bad"))
 
 
+def test_agreement_over_all_items(spark):
+    # a published example of nominal alpha: four coders, twelve units, missing labels
+    coders = ["1 2 3 3 2 1 4 1 2 - - -", "1 2 3 3 2 2 4 1 2 5 - 3", "- 3 3 3 2 3 4 2 2 5 1 -", "1 2 3 3 2 4 4 1 2 5 1 -"]
+    data = [(u, v) for c in coders for u, v in enumerate(c.split()) if v != "-"]
+    r = consensus.krippendorff(spark.createDataFrame(data, "item int, v string"), "item", "v", "x").first()
+    assert r["alpha"] == pytest.approx(0.743, abs=1e-3) and (r["n_items"], r["n_labels"]) == (11, 40)
+    one = consensus.krippendorff(spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "item int, v string"), "item", "v", "x").first()
+    assert one["alpha"] is None and one["observed"] == 1.0
+
+
+def test_open_scopes_agree_with_any(spark):
+    data = [("i", who, "conditional", s, "2025-01-01T10:00:00Z", None) for who, s in (("a", "refinement"), ("b", None), ("c", "opposed"))]
+    items, _ = consensus.minimax_entropy(consensus.ballots(spark.createDataFrame(data, PASS)), rounds=3)
+    assert items.first()["agreement"] == pytest.approx(4 / 6)
+
+
 def test_consensus_of_nothing(spark):
     items, people = consensus.minimax_entropy(consensus.ballots(spark.createDataFrame([], PASS)))
     assert consensus.decided(items).count() == 0 and people.count() == 0
@@ -417,7 +457,7 @@ def test_catalogue_has_every_problem():
     assert {f"p{i}_found" for i in range(1, 9)} <= set(catalogue.QUERIES)
 
 
-@pytest.mark.parametrize("name", ["p1_found", "p4_found", "p7_found"])
+@pytest.mark.parametrize("name", ["p1_found", "p1_increments", "p4_found", "p4_cover", "p5_agreement", "p7_found"])
 def test_found_matches_sql(spark, name):
     import sys
     from pathlib import Path
