@@ -134,12 +134,12 @@ def oversized_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("doc").agg(F.max_by("elements", F.struct(F.coalesce("fetched_at", F.lit(0).cast("timestamp").cast("timestamp_ntz")), F.size("elements"))).alias("elements"))
         .select("doc", F.transform("elements", lambda e: F.coalesce(untagged(e), F.lit(""))).alias("texts"))
     )
-    counted = texts.select("doc", F.transform("texts", n_words).alias("n"))
+    texts = materialize(texts.withColumn("n", F.transform("texts", n_words)), "pages")  # the two joins read a column each
     size = lambda x: F.greatest(F.lit(0), F.least("el_end", F.size(x)) - F.greatest("el_start", F.lit(0)))
     part = lambda x: F.slice(x, F.greatest("el_start", F.lit(0)) + 1, size(x))
     total = F.aggregate(part("n"), F.lit(0), lambda s, v: s + v)
-    over = salted_join(c, counted, "doc").withColumn("n_words", total).where("n_words > max_words").drop("n")
-    return salted_join(over, texts, "doc").select("chunk_id", part("texts").alias("elements"), "n_words", "max_words", "overlap_words")
+    over = salted_join(c, texts.select("doc", "n"), "doc").withColumn("n_words", total).where("n_words > max_words").drop("n")
+    return salted_join(over, texts.select("doc", "texts"), "doc").select("chunk_id", part("texts").alias("elements"), "n_words", "max_words", "overlap_words")
 
 
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
