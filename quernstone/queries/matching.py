@@ -7,6 +7,7 @@ from quernstone.functions import outcomes as O
 from quernstone.functions import text as T
 from quernstone.operators import matching as X
 from quernstone.plans.components import components
+from quernstone.plans.materialize import materialize
 from quernstone.queries._registry import family
 from quernstone.queries.evaluation import Q, scored
 from quernstone.queries.pairs import CONTENT
@@ -75,9 +76,13 @@ SELECT system, count(*) AS n, count(*) FILTER (om.m AND NOT clash AND trim(a.g)
 def value_matches(spark, sf_dir):
     """First answers that match the first gold answer in their common forms, and those whose figures for one thing differ."""
     d = _firsts(spark, sf_dir)
-    pairs = d.select("g", "p").distinct()  # each pair of texts is compared once
-    counts = lambda c: O.counted_figures(O.canonical_outcome(F.col(c)))
-    pairs = pairs.select("g", "p", X.values_match(F.col("g"), F.col("p")).alias("m"), O.counts_conflict(counts("g"), counts("p")).alias("clash"))
+    pairs = d.select("g", "p").distinct()  # each text is rewritten once, each pair of texts compared once
+    texts = pairs.select(F.explode(F.array("g", "p")).alias("t")).distinct().withColumn("c", O.canonical_outcome(F.col("t")))
+    texts = materialize(texts.withColumn("f", O.counted_figures(F.col("c"))), "outcomes")
+    own = lambda k: texts.select(F.col("t").alias(k), F.col("c").alias(f"c{k}"), F.col("f").alias(f"f{k}"))
+    both = pairs.join(own("g"), "g").join(own("p"), "p").withColumn("clash", O.counts_conflict(F.col("fg"), F.col("fp")))
+    said = (F.trim("g") != "") & (F.trim("p") != "")
+    pairs = both.select("g", "p", (said & ~F.col("clash") & X.outcomes_match(F.col("cg"), F.col("cp"))).alias("m"), "clash")
     return d.join(pairs, ["g", "p"]).groupBy("system").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("m").cast("bigint")).alias("n_match"), F.sum(F.col("clash").cast("bigint")).alias("n_clash"))
 
 
