@@ -94,3 +94,72 @@ def test_streams_go_on_after_a_restart(spark, tmp_path):
         stream = spark.readStream.schema("k string, n bigint").parquet(f"file://{tmp_path}/in")
         got = update_table(stream, merge, f"file://{tmp_path}/table")  # each run is a query of its own, started on what the last one left
     assert dict(map(tuple, got.collect())) == {"a": 11, "b": 3, "c": 5}
+
+
+def test_corpora(spark, tmp_path):
+    from quernstone.sources import corpora as C
+
+    (tmp_path / "good.jsonl").write_text('{"id": "a", "text": "x"}\n{"id": "b", "text": "y", "date": "2020"}\n')
+    (tmp_path / "twice.jsonl").write_text('{"id": "a", "text": "x"}\n{"id": "a", "text": "y"}\n')
+    assert C.corpus_from_json_lines(spark, str(tmp_path / "good.jsonl")).count() == 2
+    with pytest.raises(ValueError):
+        C.corpus_from_json_lines(spark, str(tmp_path / "twice.jsonl"))
+    passage = "array<struct<id:string,text:string,source_type:string,date:string,source_url:string,document_id:string>>"
+    records = spark.createDataFrame([("r", [("p0", "first", *[None] * 4), ("p0", "second", *[None] * 4), ("p1", "third", *[None] * 4)])], f"instance_id string, passages {passage}")
+    assert sorted((r["id"], r["text"]) for r in C.corpus_from_records(records).collect()) == [("r::p0", "first"), ("r::p1", "third")]
+    assert [r["id"] for r in C.corpus_from_texts(spark, ["x", "y"]).orderBy("id").collect()] == ["p0", "p1"]
+    C.write_json_lines(C.corpus_from_texts(spark, ["x", "y"]), str(tmp_path / "out"))
+    assert C.corpus_from_json_lines(spark, str(tmp_path / "out")).count() == 2
+    (tmp_path / "q.jsonl").write_text('{"question": "one", "documents": [{"text": "a", "type": "x"}, {"text": "b", "type": "y"}]}\n\n{"question": "two", "documents": [{"text": "c", "type": "x"}]}\n')
+    q, d = C.questions_with_documents(spark, str(tmp_path / "q.jsonl"))
+    assert sorted((r["qid"], r["question"]) for r in q.collect()) == [("r0", "one"), ("r1", "two")] and sorted(r["doc_id"] for r in d.collect()) == ["r0d0", "r0d1", "r1d0"]
+
+
+def test_rankings_are_kept(spark, tmp_path):
+    from quernstone.sources import corpora as C
+
+    asked = []
+
+    def rank(todo):
+        asked.append(sorted(r["qid"] for r in todo.collect()))
+        return todo.select("qid", F.lit(1).alias("rank"), F.concat("qid", F.lit("c")).alias("chunk_id"))
+
+    path = f"file://{tmp_path}/ranks"
+    q = spark.createDataFrame([("a",), ("b",)], "qid string")
+    C.keep_rankings(q, rank, path, "k1")
+    got = C.keep_rankings(q.unionByName(spark.createDataFrame([("c",)], "qid string")), rank, path, "k1")
+    assert asked == [["a", "b"], ["c"]] and sorted(r["qid"] for r in got.collect()) == ["a", "b", "c"]
+    with pytest.raises(ValueError):
+        C.keep_rankings(q.unionByName(spark.createDataFrame([("d",)], "qid string")), rank, path, "k2")
+    assert C.keep_rankings(q, rank, path, "k2", refresh=True).count() == 2
+
+
+def test_logs_caches_and_stages(spark, tmp_path):
+    from quernstone.sources import corpora as C
+
+    (tmp_path / "log.jsonl").write_text('{"kind": "k", "annotator": "a", "item": "i", "decision": "no", "seconds": 1800, "at": "1"}\n{"kind": "k", "annotator": "a", "item": "i", "decision": "yes", "seconds": 1800, "at": "2"}\n{"kind": "k"')
+    stands, hours = C.reviews(spark, str(tmp_path / "log.jsonl"))
+    assert [r["decision"] for r in stands.collect()] == ["yes"] and [(r["hours"], r["n_lines"]) for r in hours.collect()] == [(1.0, 2)]
+    assert C.sealed(stands, spark.createDataFrame([("a", "1")], "annotator string, sealed_at string")).count() == 1
+    cache = spark.createDataFrame([("x", "m", "old", 1), ("y", "n", "r", 1)], "key string, model string, response string, at int")
+    put = C.cache_put(cache, spark.createDataFrame([("x", "m", "new", 2), ("x", "m", "newer", 3)], cache.schema))
+    assert sorted((r["key"], r["response"]) for r in put.collect()) == [("x", "newer"), ("y", "r")] and [r["key"] for r in C.cache_clear(put, "m").collect()] == ["y"] and C.cache_clear(put).count() == 0
+    e = spark.createDataFrame([("r", i, s, t) for i, (s, t) in enumerate([("read", 0), ("read", 2), ("rank", 5), ("say", 9)])] + [("o", 0, "read", 0)], "run_id string, seq int, stage string, t int").withColumn("at", F.timestamp_seconds("t"))
+    assert [r["seq"] for r in C.events_after(e, "r", 1).collect()] == [2, 3]
+    assert {(r["run_id"], r["stage"]): r["seconds"] for r in C.stage_durations(e).collect()} == {("r", "read"): 5.0, ("r", "rank"): 4.0, ("r", "say"): None, ("o", "read"): None}
+
+
+def test_pairs_and_releases(spark, tmp_path):
+    from quernstone.sources import corpora as C
+
+    pairs = spark.createDataFrame([("bank", "u2"), ("bank", "u1"), ("bank", "u3"), ("city", "u1")], "provider string, url string")
+    C.write_pairs(pairs, str(tmp_path / "pairs"))
+    back = S.read_pairs(spark, str(tmp_path / "pairs"))
+    assert sorted(map(tuple, C.existing_pairs(back).collect())) == [("u1", "u2"), ("u1", "u3"), ("u2", "u3")]
+    made = C.write_release({"pairs": pairs.coalesce(1), "urls": pairs.select("url").distinct().coalesce(1)}, f"file://{tmp_path}/release")
+    assert {r["table"] for r in made.collect()} == {"pairs", "urls"} and C.broken_files(spark, f"file://{tmp_path}/release").count() == 0
+    next((tmp_path / "release" / "urls").glob("part*.json")).write_text("changed")
+    for crc in (tmp_path / "release" / "urls").glob(".*.crc"):
+        crc.unlink()
+    assert [(r["table"], r["status"]) for r in C.broken_files(spark, f"file://{tmp_path}/release").collect()] == [("urls", "changed")]
+    assert [r["json"] for r in C.short_keys(pairs.limit(1), {"provider": "p", "url": "u"}).collect()] == ['{"p":"bank","u":"u2"}'] and '"name": "url"' in C.json_contract(pairs)
