@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernstone.plans.materialize import materialize
+
 
 def ratio(a: Column, b: Column) -> Column:
     """0 where the denominator is."""
@@ -35,11 +37,25 @@ def label_scores(df: DataFrame, gold: str = "gold", predicted: str = "predicted"
 def threshold_table(df: DataFrame, score: str, label: str, keys: list[str] = []) -> DataFrame:
     """Counts at every distinct score taken as threshold (score >= t): pre-aggregated by score, then running sums."""
     by = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*keys, F.col(score).alias("t")).agg(count_if(F.col(label)).alias("pos"), count_if(~F.col(label)).alias("neg"))
-    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    if not keys:
+        return _running_over_all(by)
+    part = Window.partitionBy(*keys)
     run = part.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
     return by.select(*keys, "t", "pos", "neg", F.sum("pos").over(run).alias("tp"), F.sum("neg").over(run).alias("fp"), F.sum("pos").over(part).alias("n_pos"), F.sum("neg").over(part).alias("n_neg"))
 
 
+def _running_over_all(by: DataFrame) -> DataFrame:
+    """The same without keys, and without one task for all: ranges of the scores are summed each, then moved by the sums before."""
+    d = materialize(by.repartitionByRange(F.desc("t")).withColumn("p", F.spark_partition_id()), "ranges")
+    sums = d.groupBy("p").agg(F.sum("pos").alias("sp"), F.sum("neg").alias("sn"))  # a row for each range
+    every = Window.partitionBy(F.lit(0))
+    earlier = every.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    moved = sums.select("p", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"b{c}") for c in ("sp", "sn")], F.sum("sp").over(every).alias("n_pos"), F.sum("sn").over(every).alias("n_neg"))
+    run = Window.partitionBy("p").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
+    own = d.withColumn("tp", F.sum("pos").over(run)).withColumn("fp", F.sum("neg").over(run)).join(moved, "p")
+    return own.select("t", "pos", "neg", (F.col("tp") + F.col("bsp")).alias("tp"), (F.col("fp") + F.col("bsn")).alias("fp"), "n_pos", "n_neg")
+
+
 def auc(df: DataFrame, score: str, label: str, keys: list[str] = []) -> DataFrame:
     """Mann-Whitney AUC with ties counted half, from the threshold table."""
     t = threshold_table(df, score, label, keys)
