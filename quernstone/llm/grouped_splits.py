@@ -162,10 +162,7 @@ def _read(spark: SparkSession, store: str | None) -> dict[str, DataFrame]:
     read = lambda t: spark.read.parquet(*[f"{store}/{n}/{t}" for n in versions.values()])
     roots = flatten(materialize(read("pointers").distinct(), "pointers")).withColumnRenamed("node", "component")
     present = lambda d: d.join(roots, "component", "left").withColumn("component", F.coalesce("root", "component")).drop("root")
-    groups = None
-    for v, n in versions.items():
-        g = spark.read.parquet(f"{store}/{n}/groups").withColumn("v", F.lit(v))
-        groups = g if groups is None else groups.unionByName(g)
+    groups = read("groups").withColumn("v", F.regexp_extract(F.input_file_name(), r"/v=(\d+)-", 1).cast("int"))
     groups = groups.groupBy("component").agg(F.max_by(F.struct("splits", "n"), "v").alias("g")).select("component", "g.splits", "g.n")
     groups = groups.join(roots, "component", "left_anti")  # merged ones live on in the component they point to
     return {"nodes": present(read("nodes")), "records": present(read("records")), "groups": materialize(groups, "groups")}
