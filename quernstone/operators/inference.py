@@ -5,6 +5,7 @@ Resampling never copies rows: units are first reduced to one row of sums each, a
 from __future__ import annotations
 
 import math
+from hashlib import md5
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
@@ -144,6 +145,63 @@ def hashed_index(seed: str, draw: Column, i: Column, n: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), draw, i)), 1, 8), 16, 10).cast("bigint") % n
 
 
+#: Units of a block; a task holds the counts of all draws for one block.
+BLOCK = 32_768
+
+
+def hashed_indexes(seed: str, draw: int, n: int):
+    """The 32 bits that ``hashed_index`` reduces, of the places 0 to n - 1 of a draw."""
+    import numpy as np
+
+    one = lambda i: md5(f"{seed}|{draw}|{i}".encode()).digest()[:4]
+    return np.concatenate([np.empty(0, "u4"), *[np.frombuffer(b"".join([one(i) for i in range(lo, min(lo + BLOCK, n))]), ">u4").astype("u4") for lo in range(0, n, BLOCK)]])
+
+
+def resampled(units: DataFrame, keys: list[str], sums: list[str], draws: int, seed: str, block: int = BLOCK) -> DataFrame:
+    """``units`` (keys, unit, sums) to (keys, draw, sums): the units of a key drawn with replacement, as many as there are.
+
+    Which units a draw takes depends on its number and on the number of units alone. So a task counts how often each unit is in
+    its draws, hashing a place once for all keys, and the counts, a byte for each unit and draw, go to the block that has the units.
+    No row is made for a unit drawn, and nothing of the units' size goes to the driver: it has the number of units of each key.
+    """
+    placed = numbered(units.dropna(subset=keys) if keys else units, *keys, "unit").select(*keys, "i", *[F.col(c).cast("double").alias(c) for c in sums])
+    sizes = placed.groupBy(*keys).agg(F.min("i").alias("start"), F.count(F.lit(1)).alias("m")).where("m > 0")
+    sizes = materialize(sizes, "sizes")  # read at the end too
+    groups = [(r["start"], r["m"]) for r in sizes.select("start", "m").collect()]  # a row for each key
+    most, every = max([m for _, m in groups], default=0), sum(m for _, m in groups)
+
+    def count(batches):
+        import numpy as np
+        import pandas as pd
+
+        for batch in batches:
+            for draw in batch["id"].tolist():
+                h, times = hashed_indexes(seed, draw, most), np.zeros(every, "u4")
+                for start, m in groups:
+                    times[start : start + m] = np.bincount(h[:m] % m, minlength=m)
+                times = times.astype("u1") if times.max(initial=0) < 256 else times
+                yield pd.DataFrame([(lo // block, draw, times[lo : lo + block].tobytes()) for lo in range(0, every, block)], columns=["block", "draw", "times"])
+
+    def add(own, counts):
+        import numpy as np
+        import pandas as pd
+
+        own = own.sort_values("i")
+        lo, values = int(own["i"].iloc[0]), own[sums].to_numpy("float64")
+        parts = [(start, max(start - lo, 0), min(start + m - lo, len(own))) for start, m in groups if start < lo + len(own) and start + m > lo]
+        out = []
+        for draw, times in zip(counts["draw"].tolist(), counts["times"]):
+            t = np.frombuffer(times, "u1" if len(times) == len(own) else "u4").astype("float64")
+            out += [(start, draw, *(t[a:z] @ values[a:z])) for start, a, z in parts]
+        return pd.DataFrame(out, columns=["start", "draw", *sums])
+
+    spark = units.sparkSession
+    times = spark.range(0, draws, 1, max(1, draws // 4)).mapInPandas(count, "block bigint, draw int, times binary")
+    by = placed.select(F.floor(F.col("i") / block).alias("block"), "i", *sums).groupBy("block")
+    parts = by.cogroup(times.groupBy("block")).applyInPandas(add, ", ".join(["start bigint", "draw int", *[f"`{c}` double" for c in sums]]))
+    return parts.groupBy("start", "draw").agg(*[F.sum(c).alias(c) for c in sums]).join(sizes, "start").select(*keys, "draw", *sums)
+
+
 def cluster_bootstrap(units: DataFrame, keys: list[str], draws: int = 200, seed: str = "b") -> DataFrame:
     """``units`` (keys, unit, s, n: a row for each cluster) to (keys, draw, mean): clusters drawn with replacement."""
     w = Window.partitionBy(*keys).orderBy("unit")
@@ -188,12 +246,10 @@ def auc_interval(a: Column, n_pos: Column, n_neg: Column, z: float = 1.96) -> tu
 
 def paired_bootstrap(units: DataFrame, draws: int = 200, alpha: float = 0.05, seed: str = "b") -> DataFrame:
     """``units`` (unit, sa, na, sb, nb) to one row (difference, low, high, p_at_most_zero): both ratios on the same draws."""
-    n = units.count()
-    placed = numbered(units, "unit")
-    d = placed.select("i", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    picks = d.select("draw", hashed_index(seed, F.col("draw").cast("string"), F.col("i").cast("string"), F.lit(max(n, 1))).alias("i"))
+    units = materialize(units, "units")
     ratio = lambda s, m: F.try_divide(F.sum(s), F.sum(m))
-    means = picks.join(placed, "i").groupBy("draw").agg((ratio("sa", "na") - ratio("sb", "nb")).alias("mean")).where("mean IS NOT NULL")
+    of = lambda s, m: F.try_divide(F.col(s), F.col(m))
+    means = resampled(units, [], ["sa", "na", "sb", "nb"], draws, seed).select("draw", (of("sa", "na") - of("sb", "nb")).alias("mean")).where("mean IS NOT NULL")
     every = Window.partitionBy(F.lit(0))  # a row for each draw
     r = means.withColumn("r", F.row_number().over(every.orderBy("mean")) - 1).withColumn("b", F.count(F.lit(1)).over(every))
     at = lambda q: F.round(F.max(F.when(F.col("r") == F.least(F.floor(F.lit(q) * F.col("b")), F.col("b") - 1), F.col("mean"))), 6)
@@ -201,14 +257,15 @@ def paired_bootstrap(units: DataFrame, draws: int = 200, alpha: float = 0.05, se
     return units.agg(F.round(ratio("sa", "na") - ratio("sb", "nb"), 6).alias("difference")).crossJoin(out)  # one row each
 
 
-def numbered(df: DataFrame, order: str) -> DataFrame:
-    """``df`` with i, the place of each row in the order of a column, from 0: sorted in ranges, numbered in each, and moved by the sizes
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` with i, the place of each row in the order of columns (nulls last), from 0: sorted in ranges, numbered in each, and moved by the sizes
     of the ranges before. No window over all rows."""
-    ranged = df.repartitionByRange(order).withColumn("__p", F.spark_partition_id())
+    by = [F.asc_nulls_last(c) for c in order]
+    ranged = df.repartitionByRange(*by).withColumn("__p", F.spark_partition_id())
     ranged = materialize(ranged, "ranges")
     sizes = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))  # a row for each range
     offsets = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = ranged.withColumn("i", F.row_number().over(Window.partitionBy("__p").orderBy(order)) - 1)
+    own = ranged.withColumn("i", F.row_number().over(Window.partitionBy("__p").orderBy(*by)) - 1)
     return own.join(offsets, "__p").withColumn("i", F.col("i") + F.col("__before")).drop("__p", "__n", "__before")
 
 

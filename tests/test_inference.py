@@ -66,6 +66,26 @@ def test_bca_against_plain_python(spark):
     assert two["n_units"] == 2 and two["low"] <= two["point"] <= two["high"]
 
 
+def test_paired_draws_make_no_row_for_each_unit_and_draw(spark):
+    rng = random.Random(5)
+    units = [(f"u{i:03}", float(rng.randint(0, 2)), 2.0, float(rng.randint(0, 2)), 2.0) for i in range(50)]
+    d = I.paired_bootstrap(spark.createDataFrame(units, "unit string, sa double, na double, sb double, nb double"))
+    assert "explode" not in d._jdf.queryExecution().executedPlan().toString()  # such rows were broadcast through the driver
+    ratio = lambda us, s: sum(u[s] for u in us) / sum(u[s + 1] for u in us)
+    means = sorted(ratio(us, 1) - ratio(us, 3) for us in drawn(units, 200))
+    r = d.first()
+    assert (r["difference"], r["low"], r["high"]) == pytest.approx((ratio(units, 1) - ratio(units, 3), means[5], means[195]), abs=1e-6)
+    assert r["p_at_most_zero"] == pytest.approx(sum(m <= 0 for m in means) / 200, abs=1e-6)
+
+
+def test_draws_over_blocks_and_keys(spark):
+    rng = random.Random(9)
+    units = {k: [(k, f"u{i:03}", float(rng.randint(0, 9)), rng.randint(1, 4)) for i in range(n)] for k, n in (("a", 37), ("b", 1), ("c", 90))}
+    d = spark.createDataFrame([u for us in units.values() for u in us] + [(None, "u", 1.0, 1)], "k string, unit string, s double, n bigint")
+    got = {(r["k"], r["draw"]): (r["s"], r["n"]) for r in I.resampled(d, ["k"], ["s", "n"], 20, "x", block=16).collect()}
+    assert got == {(k, i): (sum(u[2] for u in s), sum(u[3] for u in s)) for k, us in units.items() for i, s in enumerate(drawn(us, 20, "x"))}
+
+
 def test_rows_are_numbered_across_ranges(spark):
     d = spark.range(1000).select(F.concat(F.lit("k"), F.lpad((F.col("id") * 7919 % 1000).cast("string"), 4, "0")).alias("k"))
     got = [(r["k"], r["i"]) for r in I.numbered(d.repartition(7), "k").orderBy("k").collect()]
