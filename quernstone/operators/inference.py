@@ -203,12 +203,9 @@ def resampled(units: DataFrame, keys: list[str], sums: list[str], draws: int, se
 
 
 def cluster_bootstrap(units: DataFrame, keys: list[str], draws: int = 200, seed: str = "b") -> DataFrame:
-    """``units`` (keys, unit, s, n: a row for each cluster) to (keys, draw, mean): clusters drawn with replacement."""
-    w = Window.partitionBy(*keys).orderBy("unit")
-    u = units.withColumn("i", F.row_number().over(w) - 1).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    d = u.select(*keys, "i", "m", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    picks = d.select(*keys, "draw", hashed_index(seed, F.col("draw").cast("string"), F.col("i").cast("string"), F.col("m")).alias("i"))
-    return picks.join(u.select(*keys, F.col("i").cast("bigint").alias("i"), "s", "n"), [*keys, "i"]).groupBy(*keys, "draw").agg((F.sum("s") / F.sum("n")).alias("mean"))
+    """``units`` (keys, unit, s, n: a row for each cluster) to (keys, draw, mean): clusters drawn with replacement. A draw in which n
+    sums up to nothing has no mean."""
+    return resampled(units, keys, ["s", "n"], draws, seed).select(*keys, "draw", F.try_divide("s", "n").alias("mean"))
 
 
 def percentile_interval(draws: DataFrame, keys: list[str], value: str, alpha: float = 0.05) -> DataFrame:

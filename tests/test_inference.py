@@ -86,6 +86,13 @@ def test_draws_over_blocks_and_keys(spark):
     assert got == {(k, i): (sum(u[2] for u in s), sum(u[3] for u in s)) for k, us in units.items() for i, s in enumerate(drawn(us, 20, "x"))}
 
 
+def test_draws_without_a_denominator_have_no_mean(spark):
+    d = spark.createDataFrame([("k", "a", 1.0, 1), ("k", "b", 0.0, 0), ("none", "a", 0.0, 0)], "k string, unit string, s double, n int")
+    got = I.cluster_bootstrap(d, ["k"], 40).groupBy("k").agg(F.count(F.lit(1)).alias("draws"), F.count("mean").alias("means")).collect()
+    both = sum(any(u == "a" for u in s) for s in drawn(["a", "b"], 40))
+    assert {r["k"]: (r["draws"], r["means"]) for r in got} == {"k": (40, both), "none": (40, 0)} and 0 < both < 40
+
+
 def test_rows_are_numbered_across_ranges(spark):
     d = spark.range(1000).select(F.concat(F.lit("k"), F.lpad((F.col("id") * 7919 % 1000).cast("string"), 4, "0")).alias("k"))
     got = [(r["k"], r["i"]) for r in I.numbered(d.repartition(7), "k").orderBy("k").collect()]
