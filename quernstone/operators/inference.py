@@ -98,8 +98,9 @@ def proportion_size(baseline: Column, effect: Column, alpha: float = 0.05, power
 def bca(units: DataFrame, keys: list[str], draws: int = 200, alpha: float = 0.05, seed: str = "b", one_sided: bool = False) -> DataFrame:
     """(keys, point, low, high, n_units) of a ratio of sums: percentile levels corrected for bias (share of draws below the point) and
     acceleration (jackknife). ``one_sided``: the lower bound alone, ``high`` null. Under three units the plain percentiles stand."""
-    d = cluster_bootstrap(units, keys, draws, seed)
-    point = units.groupBy(*keys).agg((F.sum("s") / F.sum("n")).alias("point"))
+    units = materialize(units, "units")
+    d = materialize(cluster_bootstrap(units, keys, draws, seed), "draws")
+    point = units.groupBy(*keys).agg(F.try_divide(F.sum("s"), F.sum("n")).alias("point"))
     a = jackknife(units, keys, places=15)
     below = d.join(point, keys).groupBy(*keys).agg(F.avg((F.col("mean") < F.col("point")).cast("double")).alias("below"), F.max("point").alias("point"), F.count(F.lit(1)).alias("b"))
     below = below.withColumn("z0", normal_quantile(F.greatest(1 / (F.col("b") + 1), F.least(1 - 1 / (F.col("b") + 1), F.col("below")))))
@@ -218,7 +219,7 @@ def percentile_interval(draws: DataFrame, keys: list[str], value: str, alpha: fl
 def jackknife(units: DataFrame, keys: list[str], places: int = 6) -> DataFrame:
     """Acceleration of BCa from leave-one-out means, which are sums less a row."""
     part = Window.partitionBy(*keys)
-    leave = units.withColumn("v", (F.sum("s").over(part) - F.col("s")) / (F.sum("n").over(part) - F.col("n")))
+    leave = units.withColumn("v", F.try_divide(F.sum("s").over(part) - F.col("s"), F.sum("n").over(part) - F.col("n")))
     centred = leave.withColumn("d", F.avg("v").over(part) - F.col("v"))
     third, second = F.sum(F.pow("d", F.lit(3.0))), F.sum(F.pow("d", F.lit(2.0)))
     return centred.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_units"), F.round(F.when(second > 1e-18, third / (6 * F.pow(second, F.lit(1.5)))).otherwise(0.0), places).alias("acceleration"))

@@ -93,6 +93,15 @@ def test_draws_without_a_denominator_have_no_mean(spark):
     assert {r["k"]: (r["draws"], r["means"]) for r in got} == {"k": (40, both), "none": (40, 0)} and 0 < both < 40
 
 
+def test_bca_of_a_single_unit(spark):
+    d = spark.createDataFrame([("one", "a", 1.0, 2)], "k string, unit string, s double, n bigint")
+    for one_sided in (False, True):
+        b = I.bca(d, ["k"], one_sided=one_sided)
+        assert "explode" not in b._jdf.queryExecution().executedPlan().toString()
+        r = b.first()
+        assert (r["point"], r["low"], r["high"], r["n_units"]) == (0.5, 0.5, None if one_sided else 0.5, 1)
+
+
 def test_rows_are_numbered_across_ranges(spark):
     d = spark.range(1000).select(F.concat(F.lit("k"), F.lpad((F.col("id") * 7919 % 1000).cast("string"), 4, "0")).alias("k"))
     got = [(r["k"], r["i"]) for r in I.numbered(d.repartition(7), "k").orderBy("k").collect()]
