@@ -13,7 +13,7 @@ from quernstone.queries._registry import family
 from quernstone.queries.composition import GI, instances, query_records
 from quernstone.queries.pairs import CONTENT, CUES, NLI, _ruled, mine_rule_exceptions
 from quernstone.queries.retrieval import BM25, _items
-from quernstone.queries.text import ELEMENTS, documents, elements
+from quernstone.queries.text import ELEMENTS, documents, elements, pages
 
 QUERIES, ORACLES, query = family()
 
@@ -80,9 +80,10 @@ def detection_intervals(spark, sf_dir):
 @query(f"""WITH {ELEMENTS}, sn AS (SELECT DISTINCT doc AS home, txt AS s FROM el WHERE length(txt) BETWEEN 60 AND 120), k AS (SELECT doc, txt, substr(txt, 1, 60) AS h FROM el WHERE length(txt) >= 60) SELECT home, md5(s) AS snippet_md5, count(DISTINCT k.doc) AS n_pages, min(k.doc) AS first_page FROM sn JOIN k ON k.h = substr(s, 1, 60) GROUP BY home, s""")
 def snippet_pages(spark, sf_dir):
     """Pages on which an element begins with the first sixty letters of a short element: where a snippet may come from. The letters are
-    the key of the join; sixty are what the rule compares."""
-    e = elements(spark, sf_dir).select("doc", "txt")
-    s = e.where("length(txt) BETWEEN 60 AND 120").select(F.col("doc").alias("home"), F.col("txt").alias("s")).distinct()
-    key = lambda c: F.xxhash64(F.substring(c, 1, 60)).alias("h")
-    k = e.where("length(txt) >= 60").select("doc", key("txt")).distinct()
-    return s.select("home", "s", key("s")).join(k, "h").groupBy("home", F.md5("s").alias("snippet_md5")).agg(F.count_distinct("doc").alias("n_pages"), F.min("doc").alias("first_page"))
+    the key of the join; sixty are what the rule compares. Pages are counted once for all snippets that begin alike."""
+    long = F.filter(F.transform("elements", T.text_of), lambda x: F.length(x) >= 60)
+    e = materialize(pages(spark, sf_dir).select("doc", F.array_distinct(long).alias("t")), "texts")  # read twice, parsed once
+    begins = F.array_distinct(F.transform("t", lambda x: F.substring(x, 1, 60)))
+    k = e.select("doc", F.explode(begins).alias("h")).groupBy("h").agg(F.count("doc").alias("n_pages"), F.min("doc").alias("first_page"))
+    s = e.select(F.col("doc").alias("home"), F.explode(F.filter("t", lambda x: F.length(x) <= 120)).alias("s"))
+    return s.select("home", F.md5("s").alias("snippet_md5"), F.substring("s", 1, 60).alias("h")).join(k, "h").drop("h")

@@ -15,6 +15,7 @@ from quernstone.operators import scope as S
 from quernstone.operators.chunking import pack_elements, pack_sentences
 from quernstone.plans.components import components
 from quernstone.plans.skew import salted_join
+from quernstone.queries.dataset import snippet_pages
 
 
 def one(spark, column):
@@ -155,6 +156,16 @@ def test_similar_sets_against_all_pairs(spark):
     assert got == expected
 
 
+def test_pages_of_a_snippet_are_counted_before_the_join(spark, tmp_path):
+    text = "When you leave the scheme you must tell the office of your district within "
+    pages = [(i, f"https://x.example/{i}", "t", [f"<p>{text}{i % 3} days.</p>", f"<li>{text}{i % 3} days.</li>", f"<p>{text}{'a week ' * 20}</p>", "<p>short</p>"], "2024-01-01") for i in range(30)]
+    spark.createDataFrame(pages, "doc bigint, url string, title string, elements array<string>, fetched_at string").write.parquet(f"{tmp_path}/guide_docs.parquet")
+    d = snippet_pages(spark, str(tmp_path))
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")  # else each page meets each other one that has the snippet
+    assert [(r["home"], r["n_pages"], r["first_page"]) for r in d.orderBy("home").collect()] == [(i, 30, 0) for i in range(30)]
+
+
 def test_components_against_union_find(spark):
     rng = random.Random(2)
     edges = [(f"n{rng.randint(0, 120):03d}", f"n{rng.randint(0, 120):03d}") for _ in range(90)] + [("hub", f"leaf{i}") for i in range(40)] + [(f"p{i:03d}", f"p{i + 1:03d}") for i in range(60)] + [("alone", None)]
