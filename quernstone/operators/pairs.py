@@ -1,10 +1,13 @@
 """Pairs of passages: candidate joins, lexical features, a deterministic entailment stand-in and scores."""
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
+from quernstone.plans.materialize import materialize
 
 
 # Figures and years in a passage, and words that negate it.
@@ -97,24 +100,46 @@ def passage_pairs(records: DataFrame) -> DataFrame:
     return each.select("instance_id", F.col("x.id").alias("doc_i"), F.col("y.id").alias("doc_j"), F.coalesce("x.text", F.lit("")).alias("text_i"), F.coalesce("y.text", F.lit("")).alias("text_j"), F.col("x.source_type").alias("type_i"), F.col("y.source_type").alias("type_j"))
 
 
+#: Tokens that a candidate pair of sets must share among the rare ones of both.
+SHARED = 4
+
+
+def subsets(tokens: Column, k: int) -> Column:
+    """The subsets of k of an array's tokens, each in the array's order."""
+    if k == 1:
+        return F.transform(tokens, lambda x: F.array(x))
+    rest = lambda x, i: F.transform(subsets(F.slice(tokens, i + 2, F.size(tokens)), k - 1), lambda y: F.concat(F.array(x), y))
+    return F.flatten(F.transform(tokens, rest))
+
+
 def similar_sets(sets: DataFrame, key: str, tokens: str, threshold: float) -> DataFrame:
     """Pairs (a < b, common, jaccard) of rows whose token sets reach the Jaccard ``threshold``, exactly.
 
-    Prefix filter: tokens are ordered from rare to common, and two sets that similar share a token among the first
-    n - ceil(threshold * n) + 1 of each. Equal sets are one class, so copies do not meet each other; the class is returned by
-    its least key.
+    Prefix filter: tokens are ordered from rare to common, and two sets that similar share m tokens among the first
+    n - ceil(threshold * n) + m of each, for every m they have in common. Unequal sets so similar have at least
+    threshold / (1 - threshold) in common, so m is that, ``SHARED`` at most, and sets meet by m tokens together. Of those that
+    meet, 64 bits of each set tell most that differ in too many tokens before a pair is kept. Equal
+    sets are one class, so copies do not meet each other; the class is returned by its least key, and has a number till then.
     """
-    from pyspark.sql import Window
-
+    near = 1e-9  # of products and quotients that should be whole
+    m = max(1, min(SHARED, math.ceil(threshold / (1 - threshold) - near))) if threshold < 1 else SHARED
     s = sets.where(F.size(tokens) > 0).select(F.col(key).alias("k"), F.array_sort(F.array_distinct(tokens)).alias("t")).groupBy("t").agg(F.min("k").alias("k"))
-    each = s.select("k", F.size("t").alias("n"), F.explode("t").alias("w"))
+    s = materialize(s.withColumn("id", F.monotonically_increasing_id()), "sets")
+    each = s.select("id", F.size("t").alias("n"), F.explode("t").alias("w"))
     df = each.groupBy("w").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ranked = each.join(df, "w").withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("df", "w")) + F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("k")))
-    head = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("k", "n", "w")
-    a, b = head.select(F.col("k").alias("a"), F.col("n").alias("na"), "w"), head.select(F.col("k").alias("b"), F.col("n").alias("nb"), "w")
-    alike = F.least("na", "nb") >= threshold * F.greatest("na", "nb")
-    cand = a.join(b, "w").where((F.col("a") < F.col("b")) & alike).select("a", "b").distinct()
-    text = lambda c: s.select(F.col("k").alias(c), F.col("t").alias(f"t_{c}"))
+    ranked = each.join(df, "w").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("r"))
+    first = F.col("n") - F.ceil(F.col("n") * threshold - near).cast("int") + m - (F.col("n") - F.size("r"))  # a token of one set alone stands before all others
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(x["w"]), F.lit(64)).cast("int"))
+    bits = F.aggregate("r", F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(bit(x)))
+    head = ranked.select("id", "n", (F.col("n") - F.size("r")).alias("own"), bits.alias("bits"), F.slice(F.transform("r", lambda x: x["w"]), 1, F.greatest(first, F.lit(0))).alias("p"))
+    head = head.select("id", "n", "own", "bits", F.explode(F.transform(subsets(F.col("p"), m), lambda x: F.xxhash64(x))).alias("h"))
+    a, b = [head.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("own").alias(f"own{c}"), F.col("bits").alias(f"bits{c}"), "h") for c in "ab"]
+    alike = F.least("na", "nb") >= threshold * F.greatest("na", "nb") - near
+    # at least so many tokens stand in one of the two sets alone
+    apart = F.col("owna") + F.col("ownb") + F.bit_count(F.col("bitsa").bitwiseXOR(F.col("bitsb")))
+    close = apart <= (1 - threshold) / (1 + threshold) * (F.col("na") + F.col("nb")) + near
+    cand = a.join(b, "h").where((F.col("a") < F.col("b")) & alike & close).select("a", "b").distinct()
+    text = lambda c: s.select(F.col("id").alias(c), F.col("k").alias(f"k_{c}"), F.col("t").alias(f"t_{c}"))
     j = cand.join(text("a"), "a").join(text("b"), "b").withColumn("common", F.size(F.array_intersect("t_a", "t_b")).cast("bigint"))
-    j = j.withColumn("jaccard", F.col("common") / (F.size("t_a") + F.size("t_b") - F.col("common")))
-    return j.where(F.col("jaccard") >= threshold).select("a", "b", "common", F.round("jaccard", 6).alias("jaccard"))
+    j = j.withColumn("jaccard", F.col("common") / (F.size("t_a") + F.size("t_b") - F.col("common"))).where(F.col("jaccard") >= threshold)
+    return j.select(F.least("k_a", "k_b").alias("a"), F.greatest("k_a", "k_b").alias("b"), "common", F.round("jaccard", 6).alias("jaccard"))

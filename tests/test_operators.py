@@ -166,6 +166,20 @@ def test_pages_of_a_snippet_are_counted_before_the_join(spark, tmp_path):
     assert [(r["home"], r["n_pages"], r["first_page"]) for r in d.orderBy("home").collect()] == [(i, 30, 0) for i in range(30)]
 
 
+def test_similar_sets_meet_by_four_tokens(spark):
+    rng = random.Random(4)
+    base = [f"name{i % 40}" for i in range(400)]
+    sets = [(i, sorted({base[i], f"kind{i % 7}", f"sort{i % 3}", *rng.sample("bcdefghijklmn", rng.randint(1, 14 - 4))})) for i in range(300)]
+    sets += [(1000 + i, sorted({*t, "extra"})) for i, t in sets[:60]] + [(2000, ["a", "b", "c", "d"]), (2001, ["a", "b", "c", "d", "e"])]
+    d = P.similar_sets(spark.createDataFrame(sets, "k int, t array<string>"), "k", "t", 0.8)
+    least = {}
+    for i, t in sets:
+        least.setdefault(tuple(t), i)
+    expected = {tuple(sorted((i, j))) for (s, i), (t, j) in itertools.combinations(list(least.items()), 2) if len(set(s) & set(t)) / len(set(s) | set(t)) >= 0.8}
+    assert {(r["a"], r["b"]) for r in d.collect()} == expected and (2000, 2001) in expected and len(expected) > 40
+    assert one(spark, P.subsets(F.array(*map(F.lit, "abcd")), 3)) == [list("abc"), list("abd"), list("acd"), list("bcd")]
+
+
 def test_components_against_union_find(spark):
     rng = random.Random(2)
     edges = [(f"n{rng.randint(0, 120):03d}", f"n{rng.randint(0, 120):03d}") for _ in range(90)] + [("hub", f"leaf{i}") for i in range(40)] + [(f"p{i:03d}", f"p{i + 1:03d}") for i in range(60)] + [("alone", None)]
