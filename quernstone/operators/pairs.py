@@ -112,18 +112,20 @@ def subsets(tokens: Column, k: int) -> Column:
     return F.flatten(F.transform(tokens, rest))
 
 
-def similar_sets(sets: DataFrame, key: str, tokens: str, threshold: float) -> DataFrame:
+def similar_sets(sets: DataFrame, key: str, tokens: str, threshold: float, copies: bool = False) -> DataFrame:
     """Pairs (a < b, common, jaccard) of rows whose token sets reach the Jaccard ``threshold``, exactly.
 
     Prefix filter: tokens are ordered from rare to common, and two sets that similar share m tokens among the first
     n - ceil(threshold * n) + m of each, for every m they have in common. Unequal sets so similar have at least
     threshold / (1 - threshold) in common, so m is that, ``SHARED`` at most, and sets meet by m tokens together. Of those that
     meet, 64 bits of each set tell most that differ in too many tokens before a pair is kept. Equal
-    sets are one class, so copies do not meet each other; the class is returned by its least key, and has a number till then.
+    sets are one class, so copies do not meet each other, and a class has a number till its pairs are known. With ``copies`` each row of
+    a class is then paired with each of the other and of its own, so all pairs of rows are returned; without, a class is returned by its
+    least key. The keys of a class are one array: m of them give m * (m - 1) / 2 pairs, so it is small beside the result.
     """
     near = 1e-9  # of products and quotients that should be whole
     m = max(1, min(SHARED, math.ceil(threshold / (1 - threshold) - near))) if threshold < 1 else SHARED
-    s = sets.where(F.size(tokens) > 0).select(F.col(key).alias("k"), F.array_sort(F.array_distinct(tokens)).alias("t")).groupBy("t").agg(F.min("k").alias("k"))
+    s = sets.where(F.size(tokens) > 0).select(F.col(key).alias("k"), F.array_sort(F.array_distinct(tokens)).alias("t")).groupBy("t").agg((F.collect_set("k") if copies else F.array(F.min("k"))).alias("ks"))
     s = materialize(s.withColumn("id", F.monotonically_increasing_id()), "sets")
     each = s.select("id", F.size("t").alias("n"), F.explode("t").alias("w"))
     df = each.groupBy("w").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -139,7 +141,13 @@ def similar_sets(sets: DataFrame, key: str, tokens: str, threshold: float) -> Da
     apart = F.col("owna") + F.col("ownb") + F.bit_count(F.col("bitsa").bitwiseXOR(F.col("bitsb")))
     close = apart <= (1 - threshold) / (1 + threshold) * (F.col("na") + F.col("nb")) + near
     cand = a.join(b, "h").where((F.col("a") < F.col("b")) & alike & close).select("a", "b").distinct()
-    text = lambda c: s.select(F.col("id").alias(c), F.col("k").alias(f"k_{c}"), F.col("t").alias(f"t_{c}"))
-    j = cand.join(text("a"), "a").join(text("b"), "b").withColumn("common", F.size(F.array_intersect("t_a", "t_b")).cast("bigint"))
+    of = lambda c, x: s.select(F.col("id").alias(c), F.col(x).alias(f"{x}_{c}"))
+    j = cand.join(of("a", "t"), "a").join(of("b", "t"), "b").withColumn("common", F.size(F.array_intersect("t_a", "t_b")).cast("bigint"))
     j = j.withColumn("jaccard", F.col("common") / (F.size("t_a") + F.size("t_b") - F.col("common"))).where(F.col("jaccard") >= threshold)
-    return j.select(F.least("k_a", "k_b").alias("a"), F.greatest("k_a", "k_b").alias("b"), "common", F.round("jaccard", 6).alias("jaccard"))
+    j = j.select("a", "b", "common", F.round("jaccard", 6).alias("jaccard")).join(of("a", "ks"), "a").join(of("b", "ks"), "b")
+    rows = lambda d: d.withColumn("x", F.explode("ks_a")).withColumn("y", F.explode("ks_b")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "common", "jaccard", "x", "y")
+    out = rows(j)
+    if copies:
+        equal = s.where("size(ks) > 1").select(F.col("ks").alias("ks_a"), F.col("ks").alias("ks_b"), F.size("t").cast("bigint").alias("common"), F.lit(1.0).alias("jaccard"))
+        out = out.unionByName(rows(equal).where("x < y"))
+    return out.drop("x", "y")

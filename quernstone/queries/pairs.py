@@ -112,13 +112,13 @@ def detection_by_type(spark, sf_dir):
     return best.join(g, "instance_id").groupBy("gold_conflict_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), F.sum((F.col("score") >= 0.5).cast("bigint")).alias("n_detected"))
 
 
-@query(f"""WITH q AS (SELECT DISTINCT question FROM questions), s AS (SELECT question AS k, list_sort({CONTENT.format('question')}) AS t FROM q), c AS (SELECT t, min(k) AS k FROM s WHERE len(t) > 0 GROUP BY t),
+@query(f"""WITH q AS (SELECT DISTINCT question FROM questions), s AS (SELECT question AS k, list_sort({CONTENT.format('question')}) AS t FROM q), c AS (SELECT t, k FROM s WHERE len(t) > 0),
 p AS (SELECT a.k AS a, b.k AS b, len(list_intersect(a.t, b.t)) AS common, len(a.t) AS na, len(b.t) AS nb FROM c a JOIN c b ON a.k < b.k)
 SELECT a, b, common, round(common / (na + nb - common), 6) AS jaccard FROM p WHERE common / (na + nb - common) >= 0.8""")
 def similar_questions(spark, sf_dir):
-    """Questions whose content words have a Jaccard of 0.8 or more, by prefix-filtered join."""
+    """All pairs of questions whose content words have a Jaccard of 0.8 or more, by prefix-filtered join; those with equal content words too."""
     q = table(spark, sf_dir, "questions").select("question").distinct()
-    return P.similar_sets(q.select("question", T.content_tokens(F.col("question")).alias("t")), "question", "t", 0.8)
+    return P.similar_sets(q.select("question", T.content_tokens(F.col("question")).alias("t")), "question", "t", 0.8, copies=True)
 
 
 @query(rf"""WITH n AS (SELECT instance_id, unnest(p) AS x FROM (SELECT instance_id, any_value(passages) AS p FROM gold_instances GROUP BY 1)), t AS (SELECT instance_id, x.id AS pid, array_to_string(regexp_extract_all(lower(coalesce(x.text, '')), '[a-z0-9]+'), ' ') AS norm FROM n)

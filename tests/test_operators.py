@@ -3,6 +3,7 @@ import itertools
 import random
 
 import pytest
+from oracle import compare, duck
 from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
@@ -16,6 +17,7 @@ from quernstone.operators.chunking import pack_elements, pack_sentences
 from quernstone.plans.components import components
 from quernstone.plans.skew import salted_join
 from quernstone.queries.dataset import snippet_pages
+from quernstone.queries.pairs import ORACLES, similar_questions
 
 
 def one(spark, column):
@@ -180,6 +182,29 @@ def test_similar_sets_meet_by_four_tokens(spark):
     assert one(spark, P.subsets(F.array(*map(F.lit, "abcd")), 3)) == [list("abc"), list("abd"), list("acd"), list("bcd")]
 
 
+def test_similar_sets_pair_all_copies(spark):
+    rng = random.Random(6)
+    sets = [(f"k{i:03d}", rng.sample("abcdefghi", rng.randint(3, 9))) for i in range(120)] + [("none", []), ("nothing", [])]
+    sets += [(f"c{i:02d}", rng.sample("pqrstu", 6)) for i in range(12)] + [(f"d{i:02d}", [*"pqrstuv"]) for i in range(5)] + [(f"e{i}", ["only", "here"]) for i in range(3)]
+    d = P.similar_sets(spark.createDataFrame(sets, "k string, t array<string>"), "k", "t", 0.8, copies=True)
+    expected = {}
+    for (i, s), (j, t) in itertools.combinations(sorted(sets), 2):
+        common, either = len({*s} & {*t}), len({*s} | {*t})
+        if either and common / either >= 0.8:
+            expected[i, j] = (common, round(common / either, 6))
+    got = d.collect()
+    assert len(got) == len(expected) and {(r["a"], r["b"]): (r["common"], r["jaccard"]) for r in got} == expected
+    assert ("c03", "c07") in expected and ("c03", "d04") in expected and ("e1", "e2") in expected
+
+
+def test_similar_questions_of_equal_words(spark, tmp_path):
+    asked = ["Can I claim the Starter Loan if I lost 2 jobs?", "Can I claim the Starter Loan if I lost 3 jobs?", "Can I claim the starter loan if I lost a job or jobs?", "Can I claim the Starter Loan if I lost 3 jobs?", "Is it?", "Is he?", None]
+    spark.createDataFrame([(x,) for x in asked], "question string").write.parquet(f"{tmp_path}/questions.parquet")
+    got = sorted((r["a"], r["b"], r["common"], r["jaccard"]) for r in similar_questions(spark, str(tmp_path)).collect())
+    assert got == [(asked[0], asked[1], 5, 1.0), (asked[0], asked[2], 5, 0.833333), (asked[1], asked[2], 5, 0.833333)]
+    assert compare(spark, duck(str(tmp_path)), similar_questions, ORACLES["similar_questions"], str(tmp_path)) == ""
+
+
 def test_components_against_union_find(spark):
     rng = random.Random(2)
     edges = [(f"n{rng.randint(0, 120):03d}", f"n{rng.randint(0, 120):03d}") for _ in range(90)] + [("hub", f"leaf{i}") for i in range(40)] + [(f"p{i:03d}", f"p{i + 1:03d}") for i in range(60)] + [("alone", None)]
